@@ -44,7 +44,271 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      *[r6(F.avg(c)).alias(f"avg_{c}") for c in feats])
 
 
+
+
+# ----------------------------------------------------------------------------- encoders / decoders
+
+def q_encode_standard_onehot(spark, sf_dir):
+    """A8 + H5 + H3 on FX2 (orders x customer): standard scaling, one-hot."""
+    df, spec = fx.fx2(spark, sf_dir)
+    enc = fit_encoder(df, spec, "standard", "onehot")
+    lab = LabelModel.fit(df, spec.label, "multiclass")
+    flat = enc.flatten(enc.encode(df, keep=[lab.encode_col().alias("label")]), keep=["label"])
+    return flat.select(*[F.col(c).cast("double").alias(c) for c in flat.columns if c != "label"], "label")
+
+
+def _fx3_encoded(spark, sf_dir, num_kind="minmax", cat_kind="bits"):
+    df, spec = fx.fx3(spark, sf_dir)
+    enc = fit_encoder(df, spec, num_kind, cat_kind)
+    return df, spec, enc, enc.encode(df, keep=["event_id", "label"])
+
+
+def _noisy(enc_df, width, seed, scale):
+    from .functions.rand import gauss
+    noisy = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
+                        lambda j: F.col("features")[j].cast("double") + F.lit(scale) * gauss(seed, F.col("event_id"), j))
+    return enc_df.withColumn("features", noisy)
+
+
+def q_decode_noisy_clip(spark, sf_dir):
+    """H8 + H2 + P10 + P11 + J2 + P5: decode FX3 features perturbed by seeded
+    noise; bits rounded half-even, codes clipped, ints rounded."""
+    df, spec, enc, e = _fx3_encoded(spark, sf_dir)
+    d = enc.decode(_noisy(e, enc.width, 11, 0.3), keep=["event_id"])
+    return d.select("event_id", r6("value").alias("value"), "user_id", "event_type")
+
+
+def q_decode_noisy_reject(spark, sf_dir):
+    """P9 + U3 reject mode: rows with any out-of-domain code are dropped."""
+    df, spec, enc, e = _fx3_encoded(spark, sf_dir)
+    d = enc.decode(_noisy(e, enc.width, 12, 0.6), keep=["event_id"], on_invalid="reject")
+    return d.select("event_id", r6("value").alias("value"), "user_id", "event_type")
+
+
+def q_quantile_fit(spark, sf_dir):
+    """Exact quantile knots of FX3 numerics (nq = max(min(n//30,1000),10))."""
+    from .operators.encode import fit_numeric
+    df, spec = fx.fx3(spark, sf_dir)
+    params = fit_numeric(df, spec.num_cols, "quantile")
+    rows = [(c, i, float(r), float(q)) for c, p in params.items()
+            for i, (r, q) in enumerate(zip(p["references"], p["quantiles"]))]
+    t = spark.createDataFrame(rows, "col string, idx long, ref double, quantile double")
+    return t.select("col", "idx", r6("ref").alias("ref"), r6("quantile").alias("quantile"))
+
+
+def q_num2cat(spark, sf_dir):
+    """H18 on lineitem: integral numerics with < 15 distinct values become categories."""
+    from .operators.num2cat import categorise_low_cardinality
+    li = fx.table(spark, sf_dir, "lineitem").drop("l_shipdate")
+    return categorise_low_cardinality(li, 15)
+
+
+# ----------------------------------------------------------------------------- split / profile / set ops
+
+def _split_fx3(spark, sf_dir, seed=42):
+    from .operators.split import stratified_split
+    df, spec = fx.fx3(spark, sf_dir)
+    return stratified_split(df, "label", "event_id", (0.6, 0.2, 0.2), seed=seed), spec
+
+
+def q_stratified_split(spark, sf_dir):
+    """R3 + W4 + W6 + R1: per-class seeded 60/20/20 split of FX3."""
+    sp, _ = _split_fx3(spark, sf_dir)
+    return sp.select("event_id", "label", "split")
+
+
+def q_split_profile(spark, sf_dir):
+    """A5 + A6 + P1-P3: profile of the split FX3 table."""
+    from .spec import profile_df
+    sp, spec = _split_fx3(spark, sf_dir)
+    return profile_df(sp, spec, "events")
+
+
+def q_append_tables(spark, sf_dir):
+    """Stack orders and customers by column name, missing columns null."""
+    from .operators.setops import append_tables
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    c = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    return append_tables(o, c)
+
+
+def q_split_keys(spark, sf_dir):
+    """Key sets passing / failing a predicate (anti-join for the rest)."""
+    from .operators.setops import split_keys
+    ev = fx.table(spark, sf_dir, "events")
+    ok, bad = split_keys(ev, (F.col("value") > 10) & (F.col("event_type") != "error"), "event_id")
+    return ok.withColumn("part", F.lit("allowed")).unionByName(bad.withColumn("part", F.lit("rejected")))
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    """S1 + S2: write FX3 as CSV to the shared folder, read back with type inference."""
+    import os
+    import uuid
+    from .session import checkpoint_dir
+    from .sources.tables import read_table, write_table
+    ev = fx.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    path = os.path.join(checkpoint_dir(spark), f"csv-{uuid.uuid4().hex[:10]}")
+    write_table(ev, path, "csv")
+    return read_table(spark, path, "csv")
+
+
+# ----------------------------------------------------------------------------- privacy
+
+def q_dp_histogram(spark, sf_dir):
+    """A2 (+A1, R2): seeded Gaussian-mechanism histogram of FX2's label over a supplied domain."""
+    from .operators.private import dp_histogram
+    df, spec = fx.fx2(spark, sf_dir)
+    h = dp_histogram(df, "o_orderstatus", ["F", "O", "P"], epsilon=0.1, delta=1e-5, seed=7)
+    return h.select("o_orderstatus", "count", r6("noisy").alias("noisy"), r6("p").alias("p"))
+
+
+def q_label_distribution(spark, sf_dir):
+    """A1: exact class distribution over a supplied domain with an absent class."""
+    from .operators.private import label_distribution
+    df, spec = fx.fx5(spark, sf_dir)
+    d = label_distribution(df, "quality", [0, 1, 2])
+    return d.select(F.col("quality").cast("long").alias("quality"), "count", r6("p").alias("p"))
+
+
+def q_class_weights(spark, sf_dir):
+    """A20 + J5: class-balancing weights from the label distribution, attached per row and summed."""
+    from .operators.private import class_weights, label_distribution, with_class_weight
+    df, spec = fx.fx2(spark, sf_dir)
+    p = label_distribution(df, "o_orderstatus", ["F", "O", "P"])
+    w = class_weights(p, "o_orderstatus")
+    rows = with_class_weight(df, w, "o_orderstatus")
+    return rows.groupBy("o_orderstatus").agg(r6(F.first("p")).alias("p"), r6(F.first("weight")).alias("weight"),
+                                             r6(F.sum("weight")).alias("total_weight"))
+
+
+# ----------------------------------------------------------------------------- metrics
+
+def _fx3_predictions(spark, sf_dir):
+    from .functions.rand import u as uni
+    ev = fx.table(spark, sf_dir, "events")
+    score = F.floor((F.col("value") / 500.0 + uni(5, F.col("event_id"))) * 20) / 40.0
+    return ev.select("event_id", "user_id", "event_type", (F.col("value") > 50).cast("long").alias("y"),
+                     score.alias("score"))
+
+
+def q_binary_metrics(spark, sf_dir):
+    """A11 + A12 + A14 + P12 + W6: f1/accuracy/ROC-AUC (ties half) per event type."""
+    from .operators.metrics import binary_report
+    r = binary_report(_fx3_predictions(spark, sf_dir), "y", "score", by=["event_type"])
+    return r.select("event_type", r6("f1").alias("f1"), r6("accuracy").alias("accuracy"),
+                    r6("roc_auc").alias("roc_auc"))
+
+
+def q_best_threshold(spark, sf_dir):
+    """A16 + W5: F1-optimal threshold per event type."""
+    from .operators.metrics import best_threshold
+    r = best_threshold(_fx3_predictions(spark, sf_dir), "y", "score", by=["event_type"])
+    return r.select("event_type", r6("threshold").alias("threshold"), r6("f1").alias("f1"))
+
+
+def _fx4_probs(spark, sf_dir):
+    e = fx.fx4(spark, sf_dir)
+    logits = F.slice("embedding", 1, 10)
+    ex = F.transform(logits, lambda v: F.exp(v.cast("double")))
+    tot = F.aggregate(ex, F.lit(0.0), lambda a, b: a + b)
+    return e.select("vec_id", F.col("label").cast("long").alias("y"),
+                    F.transform(ex, lambda v: v / tot).alias("probs"))
+
+
+def q_multiclass_metrics(spark, sf_dir):
+    """A13 + A15 + T4: macro F1, accuracy and one-vs-rest AUC of softmax scores on FX4."""
+    from .operators.metrics import multiclass_report
+    r = multiclass_report(_fx4_probs(spark, sf_dir), "y", "probs")
+    return r.select(r6("f1").alias("f1"), r6("accuracy").alias("accuracy"), r6("roc_auc").alias("roc_auc"))
+
+
+def _runs(spark, sf_dir):
+    from .operators.metrics import binary_report
+    r = binary_report(_fx3_predictions(spark, sf_dir), "y", "score", by=["user_id"])
+    return r
+
+
+def q_average_metrics(spark, sf_dir):
+    """Mean of each metric over runs (here: per-user reports), rounded half-even to 4."""
+    from .operators.metrics import average_metrics
+    r = _runs(spark, sf_dir)
+    long = r.select("user_id", F.explode(F.array(
+        *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("f1", "accuracy", "roc_auc")])
+    ).alias("m")).select("user_id", "m.metric", "m.value").withColumn("split", F.lit("all"))
+    return average_metrics(long).select("split", "metric", "value", "n_runs")
+
+
+def q_best_run(spark, sf_dir):
+    """The run with the highest accuracy (lowest id on ties) and its metrics."""
+    from .operators.metrics import best_run
+    r = _runs(spark, sf_dir)
+    b = best_run(r, "accuracy", "user_id", ["f1"])
+    return b.select("user_id", r6("accuracy").alias("accuracy"), r6("f1").alias("f1"))
+
+
+# ----------------------------------------------------------------------------- statistics
+
+def q_norm_stats(spark, sf_dir):
+    """A10 + H10: per-class median/mean/std/max/min of embedding L2 norms."""
+    from .operators.stats import norm_stats
+    s = norm_stats(fx.fx4(spark, sf_dir), "embedding", by=["label"])
+    return s.select(F.col("label").cast("long").alias("label"),
+                    *[r6(c).alias(c) for c in ("p50", "mean", "std", "max", "min")])
+
+
+def q_loss_rollup(spark, sf_dir):
+    """Events as a batch log (k = event_id, loss = value, n = 1 + user_id % 5)."""
+    from .operators.stats import loss_rollup
+    ev = fx.table(spark, sf_dir, "events")
+    log = ev.select(F.col("event_id").alias("k"), F.col("value").alias("loss"),
+                    (1 + F.col("user_id") % 5).alias("n"))
+    return loss_rollup(log).select("step", r6("loss").alias("loss"))
+
+
+def q_gaussian_kl(spark, sf_dir):
+    """Per-column KL between Gaussian fits of FX3's train and test splits."""
+    from .operators.stats import gaussian_kl
+    sp, spec = _split_fx3(spark, sf_dir)
+    k = gaussian_kl(sp.where("split = 'train'"), sp.where("split = 'test'"), ["value", "user_id"])
+    return k.select("col", r6("kl").alias("kl"))
+
+
+def q_log_likelihood(spark, sf_dir):
+    """Discretised Gaussian log-likelihood of min-max encoded values per event type."""
+    from pyspark.sql import Window
+    from .operators.stats import mean_log_likelihood
+    df, spec, enc, e = _fx3_encoded(spark, sf_dir)
+    t = e.join(df.select("event_id", "event_type"), "event_id").select(
+        "event_type", F.col("features")[0].cast("double").alias("x"))
+    w = Window.partitionBy("event_type")
+    t = t.withColumns({"mu": F.avg("x").over(w), "ls": F.log(F.stddev_pop("x").over(w))})
+    r = mean_log_likelihood(t, "x", "mu", "ls", by=["event_type"])
+    return r.select("event_type", r6("mean_log_likelihood").alias("mean_log_likelihood"), "n")
+
+
 QUERIES = {
     "encode_minmax_bits": q_encode_minmax_bits,
     "encoded_label_means": flagship,
+    "encode_standard_onehot": q_encode_standard_onehot,
+    "decode_noisy_clip": q_decode_noisy_clip,
+    "decode_noisy_reject": q_decode_noisy_reject,
+    "quantile_fit": q_quantile_fit,
+    "num2cat": q_num2cat,
+    "stratified_split": q_stratified_split,
+    "split_profile": q_split_profile,
+    "append_tables": q_append_tables,
+    "split_keys": q_split_keys,
+    "csv_roundtrip": q_csv_roundtrip,
+    "dp_histogram": q_dp_histogram,
+    "label_distribution": q_label_distribution,
+    "class_weights": q_class_weights,
+    "binary_metrics": q_binary_metrics,
+    "best_threshold": q_best_threshold,
+    "multiclass_metrics": q_multiclass_metrics,
+    "average_metrics": q_average_metrics,
+    "best_run": q_best_run,
+    "norm_stats": q_norm_stats,
+    "loss_rollup": q_loss_rollup,
+    "gaussian_kl": q_gaussian_kl,
+    "log_likelihood": q_log_likelihood,
 }

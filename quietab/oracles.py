@@ -14,7 +14,7 @@ def R6(x: str) -> str:
 def U(seed, *keys: str) -> str:
     """Seeded uniform, identical to ``quietab.functions.rand.u``."""
     s = f"'{seed}'" + "".join(f" || ':' || CAST({k} AS VARCHAR)" for k in keys)
-    return f"(CAST(('0x' || substr(md5({s}), 1, 13)) AS BIGINT) / 4503599627370496.0)"
+    return f"(CAST(('0x' || substr(md5({s}), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
 
 
 def GAUSS(seed, *keys: str) -> str:
@@ -73,6 +73,114 @@ LEFT JOIN dl ON fx.l_linestatus = dl.v"""
 
 ENCODE_FX1 = _encode_fx1_sql()
 
+def D(x: float) -> str:
+    """An exact DOUBLE literal (plain decimals parse as DECIMAL in DuckDB)."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+FX5 = """(SELECT d.doc_id, n_chars, lang, source, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def onehot(code: str, n: int, start: int) -> list[str]:
+    eff = f"(CASE WHEN {code} < 0 THEN {n - 1} ELSE {code} END)"
+    return [f"CAST(CAST(CASE WHEN {eff} = {j} THEN 1 ELSE 0 END AS FLOAT) AS DOUBLE) AS cat_{start + j}"
+            for j in range(n)]
+
+
+def _encode_fx2_sql() -> str:
+    nums = ["o_totalprice", "c_acctbal"]
+    p = ", ".join(f"avg({c}) AS m{i}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s{i}"
+                  for i, c in enumerate(nums))
+    num_sel = [f"CAST(CAST(({c} - p.m{i}) / p.s{i} AS FLOAT) AS DOUBLE) AS num_{i}" for i, c in enumerate(nums)]
+    cat_sel = (onehot("coalesce(d1.code, -1)", 5, 0) + onehot("coalesce(d2.code, -1)", 5, 5)
+               + onehot("coalesce(d3.code, -1)", 25, 10))
+    return f"""
+WITH fx AS {FX2},
+p AS (SELECT {p} FROM fx),
+{dict_cte('d1', 'o_orderpriority', 'fx')},
+{dict_cte('d2', 'c_mktsegment', 'fx')},
+{dict_cte('d3', 'c_nation', 'fx')},
+{dict_cte('dl', 'o_orderstatus', 'fx')}
+SELECT {', '.join(num_sel + cat_sel)}, dl.code AS label
+FROM fx CROSS JOIN p
+LEFT JOIN d1 ON fx.o_orderpriority = d1.v
+LEFT JOIN d2 ON fx.c_mktsegment = d2.v
+LEFT JOIN d3 ON fx.c_nation = d3.v
+LEFT JOIN dl ON fx.o_orderstatus = dl.v"""
+
+
+def _fx3_features_cte() -> str:
+    """FX3 min-max + bits encoding as columns f0..f4 plus the fitted constants."""
+    nums = ["value", "user_id"]
+    feats = [f"CAST(CAST({c} * p.s{i} + p.o{i} AS FLOAT) AS DOUBLE) AS f{i}" for i, c in enumerate(nums)]
+    feats += [f"CAST((coalesce(d.code, -1) >> {2 - j}) & 1 AS DOUBLE) AS f{2 + j}" for j in range(3)]
+    return f"""fx AS {FX3},
+p AS ({minmax_params(nums, 'fx')}),
+{dict_cte('d', 'event_type', 'fx')},
+enc AS (SELECT fx.event_id, fx.label, fx.event_type, {', '.join(feats)}, p.s0, p.o0, p.s1, p.o1
+        FROM fx CROSS JOIN p LEFT JOIN d ON fx.event_type = d.v)"""
+
+
+def _decode_noisy_sql(seed: int, scale: float, reject: bool) -> str:
+    g = [f"f{j} + {D(scale)} * {GAUSS(seed, 'event_id', str(j))} AS g{j}" for j in range(5)]
+    code = "(round_even(g2, 0) * 4 + round_even(g3, 0) * 2 + round_even(g4, 0))"
+    where = f"WHERE {code} >= 0 AND {code} < 5" if reject else ""
+    return f"""
+WITH {_fx3_features_cte()},
+noisy AS (SELECT event_id, s0, o0, s1, o1, {', '.join(g)} FROM enc),
+dec AS (SELECT event_id, (g0 - o0) / s0 AS value, CAST(round_even((g1 - o1) / s1, 0) AS BIGINT) AS user_id,
+               CAST(greatest(0, least({code}, 4)) AS BIGINT) AS code
+        FROM noisy {where})
+SELECT event_id, {R6('value')} AS value, user_id, d.v AS event_type FROM dec LEFT JOIN d ON dec.code = d.code"""
+
+
+def _quantile_fit_sql() -> str:
+    parts = []
+    for c in ("value", "user_id"):
+        parts.append(f"""
+(WITH v AS (SELECT CAST({c} AS DOUBLE) AS x, row_number() OVER (ORDER BY {c}) - 1 AS pos FROM events
+            WHERE {c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))),
+ n AS (SELECT count(*) AS n FROM v),
+ nq AS (SELECT least(greatest(least(n // 30, 1000), 10), n) AS nq, n FROM n),
+ r AS (SELECT i AS idx, CASE WHEN i = nq - 1 THEN 1.0 ELSE i * (1.0 / (nq - 1)) + 0.0 END AS ref, n
+       FROM nq, range(0, nq) t(i)),
+ h AS (SELECT idx, ref, ref * (n - 1) AS h, CAST(floor(ref * (n - 1)) AS BIGINT) AS lo,
+              CAST(ceil(ref * (n - 1)) AS BIGINT) AS hi FROM r)
+ SELECT '{c}' AS col, CAST(idx AS BIGINT) AS idx, {R6('ref')} AS ref,
+        {R6('a.x + (h.h - h.lo) * (b.x - a.x)')} AS quantile
+ FROM h JOIN v a ON a.pos = h.lo JOIN v b ON b.pos = h.hi)""")
+    return " UNION ALL ".join(parts)
+
+
+SPLIT_FX3 = f"""
+(WITH d AS (SELECT event_id, value, user_id, event_type, CAST(value > 50 AS INTEGER) AS label,
+                   {U(42, 'event_id')} AS u FROM events),
+ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY u, event_id) AS rk,
+              count(*) OVER (PARTITION BY label) AS n FROM d)
+ SELECT event_id, value, user_id, event_type, label,
+        CASE WHEN rk <= floor({D(0.6)} * n + 0.5) THEN 'train'
+             WHEN rk <= floor({D(0.8)} * n + 0.5) THEN 'val' ELSE 'test' END AS split FROM r)"""
+
+PRED_FX3 = f"""(SELECT event_id, user_id, event_type, CAST(value > 50 AS BIGINT) AS y,
+        floor((value / {D(500.0)} + {U(5, 'event_id')}) * 20) / {D(40.0)} AS score FROM events)"""
+
+
+def _binary_report_sql(by: str) -> str:
+    return f"""
+WITH pr AS {PRED_FX3},
+a AS (SELECT {by}, avg(CAST(y = CAST(score > {D(0.5)} AS BIGINT) AS DOUBLE)) AS accuracy,
+             sum(CASE WHEN y = 1 AND score > 0.5 THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN y <> 1 AND score > 0.5 THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN y = 1 AND NOT score > 0.5 THEN 1 ELSE 0 END) AS fn FROM pr GROUP BY {by}),
+g AS (SELECT {by}, score, sum(y) AS pos, sum(1 - y) AS neg FROM pr GROUP BY {by}, score),
+c AS (SELECT {by}, pos, neg, coalesce(sum(neg) OVER (PARTITION BY {by} ORDER BY score
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+auc AS (SELECT {by}, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+             THEN sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) END AS roc_auc FROM c GROUP BY {by})
+SELECT a.{by}, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1,
+       accuracy, roc_auc FROM a JOIN auc ON a.{by} = auc.{by}"""
+
+
 ORACLES = {
     "encode_minmax_bits": ENCODE_FX1,
     "encoded_label_means": f"""
@@ -81,3 +189,133 @@ SELECT label, count(*) AS n,
   {', '.join(R6(f'avg(cat_{i})') + f' AS avg_cat_{i}' for i in range(5))}
 FROM ({ENCODE_FX1}) GROUP BY label""",
 }
+
+
+ORACLES.update({
+    "encode_standard_onehot": _encode_fx2_sql(),
+    "decode_noisy_clip": _decode_noisy_sql(11, 0.3, False),
+    "decode_noisy_reject": _decode_noisy_sql(12, 0.6, True),
+    "quantile_fit": _quantile_fit_sql(),
+    "num2cat": """
+WITH r AS (SELECT l_linenumber AS v, row_number() OVER (ORDER BY l_linenumber) - 1 AS rk
+           FROM (SELECT DISTINCT l_linenumber FROM lineitem))
+SELECT l_orderkey, l_partkey, l_suppkey, 'd' || CAST(r.rk AS VARCHAR) AS l_linenumber, l_quantity,
+       l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus
+FROM lineitem JOIN r ON lineitem.l_linenumber = r.v""",
+    "stratified_split": f"SELECT event_id, label, split FROM {SPLIT_FX3}",
+    "split_profile": f"""
+SELECT 'events' AS name,
+  CASE WHEN count(DISTINCT label) < 100 THEN CASE WHEN count(DISTINCT label) = 2 THEN 'binclass'
+       ELSE 'multiclass' END ELSE 'regression' END AS task_type,
+  CAST(count(DISTINCT label) AS BIGINT) AS n_classes, CAST(2 AS BIGINT) AS n_num_features,
+  CAST(1 AS BIGINT) AS n_cat_features,
+  CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train_size,
+  CAST(sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) AS BIGINT) AS val_size,
+  CAST(sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS test_size
+FROM {SPLIT_FX3}""",
+    "append_tables": """
+SELECT o_orderkey, o_custkey, o_totalprice, CAST(NULL AS DOUBLE) AS c_acctbal FROM orders
+UNION ALL SELECT CAST(NULL AS BIGINT), c_custkey, CAST(NULL AS DOUBLE), c_acctbal FROM customer""",
+    "split_keys": """
+SELECT event_id, 'allowed' AS part FROM events WHERE value > 10 AND event_type <> 'error'
+UNION ALL SELECT event_id, 'rejected' AS part FROM events WHERE NOT (value > 10 AND event_type <> 'error')""",
+    "csv_roundtrip": "SELECT event_id, user_id, event_type, value FROM events",
+    "dp_histogram": f"""
+WITH dom AS (SELECT * FROM (VALUES ('F'), ('O'), ('P')) t(o_orderstatus)),
+c AS (SELECT o_orderstatus, count(*) AS n FROM {FX2} GROUP BY 1),
+h AS (SELECT dom.o_orderstatus, CAST(coalesce(c.n, 0) AS BIGINT) AS count
+      FROM dom LEFT JOIN c ON dom.o_orderstatus = c.o_orderstatus),
+z AS (SELECT *, greatest(count + {D(__import__('math').sqrt(2 * __import__('math').log(1.25 / 1e-5)) / 0.1)}
+                         * {GAUSS(7, 'o_orderstatus')}, {D(1e-6)}) AS noisy FROM h)
+SELECT o_orderstatus, count, {R6('noisy')} AS noisy, {R6('noisy / sum(noisy) OVER ()')} AS p FROM z""",
+    "label_distribution": f"""
+WITH dom AS (SELECT * FROM (VALUES (0), (1), (2)) t(quality)),
+c AS (SELECT quality, count(*) AS n FROM {FX5} GROUP BY 1),
+h AS (SELECT dom.quality, coalesce(c.n, 0) AS n FROM dom LEFT JOIN c ON dom.quality = c.quality)
+SELECT CAST(quality AS BIGINT) AS quality, CAST(n AS BIGINT) AS count, {R6('n / sum(n) OVER ()')} AS p FROM h""",
+    "class_weights": f"""
+WITH dom AS (SELECT * FROM (VALUES ('F'), ('O'), ('P')) t(o_orderstatus)),
+c AS (SELECT o_orderstatus, count(*) AS n FROM {FX2} GROUP BY 1),
+pd AS (SELECT dom.o_orderstatus, coalesce(c.n, 0) AS cnt,
+              coalesce(c.n, 0) / sum(coalesce(c.n, 0)) OVER () AS p
+       FROM dom LEFT JOIN c ON dom.o_orderstatus = c.o_orderstatus),
+w0 AS (SELECT *, pow((p + {D(0.01)}) / ({D(1.0)} + {D(0.01)} * count(*) OVER ()), {D(-0.5)}) AS w FROM pd),
+w AS (SELECT *, least(w / avg(w) OVER (), {D(5.0)}) AS weight FROM w0)
+SELECT o_orderstatus, {R6('p')} AS p, {R6('weight')} AS weight, {R6('weight * cnt')} AS total_weight
+FROM w WHERE cnt > 0""",
+    "binary_metrics": f"""
+SELECT event_type, {R6('f1')} AS f1, {R6('accuracy')} AS accuracy, {R6('roc_auc')} AS roc_auc
+FROM ({_binary_report_sql('event_type')})""",
+    "best_threshold": f"""
+WITH pr AS {PRED_FX3},
+g AS (SELECT event_type, score, sum(y) AS pos, sum(1 - y) AS neg FROM pr GROUP BY 1, 2),
+r AS (SELECT event_type, score,
+             sum(pos) OVER (PARTITION BY event_type ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+             sum(neg) OVER (PARTITION BY event_type ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp,
+             sum(pos) OVER (PARTITION BY event_type) AS pp FROM g),
+f AS (SELECT event_type, score, tp / (tp + fp) AS prec, tp / pp AS rec FROM r),
+f2 AS (SELECT event_type, score, 2 * prec * rec / (prec + rec + {D(1e-8)}) AS f1 FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY f1 DESC NULLS LAST, score ASC) AS rn FROM f2)
+SELECT event_type, {R6('score')} AS threshold, {R6('f1')} AS f1 FROM b WHERE rn = 1""",
+    "multiclass_metrics": f"""
+WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS y,
+                  list_transform(embedding[1:10], lambda x: exp(CAST(x AS DOUBLE))) AS ex FROM embeddings),
+p AS (SELECT vec_id, y, list_transform(ex, lambda v: v / list_reduce(ex, lambda a, b: a + b)) AS probs FROM e),
+pr AS (SELECT vec_id, y, probs, CAST(list_position(probs, list_max(probs)) - 1 AS BIGINT) AS pred FROM p),
+cm AS (SELECT y, pred, count(*) AS n FROM pr GROUP BY 1, 2),
+t AS (SELECT y AS cls, sum(CASE WHEN y = pred THEN n ELSE 0 END) AS tp, sum(n) AS nt FROM cm GROUP BY 1),
+q AS (SELECT pred AS cls, sum(n) AS np FROM cm GROUP BY 1),
+per AS (SELECT coalesce(tp, 0) AS tp, coalesce(nt, 0) AS nt, coalesce(np, 0) AS np
+        FROM t FULL OUTER JOIN q ON t.cls = q.cls),
+f1 AS (SELECT avg(CASE WHEN nt + np > 0 THEN 2.0 * tp / (nt + np) ELSE 0.0 END) AS f1 FROM per),
+acc AS (SELECT avg(CAST(y = pred AS DOUBLE)) AS accuracy FROM pr),
+ex AS (SELECT CAST(y = i - 1 AS BIGINT) AS is_c, i - 1 AS cls, probs[i] AS s
+       FROM pr, (SELECT unnest(generate_series(1, 10)) AS i) gi),
+g AS (SELECT cls, s, sum(is_c) AS pos, sum(1 - is_c) AS neg FROM ex GROUP BY 1, 2),
+c AS (SELECT cls, pos, neg, coalesce(sum(neg) OVER (PARTITION BY cls ORDER BY s
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+au AS (SELECT cls, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+             THEN sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) END AS auc FROM c GROUP BY cls)
+SELECT {R6('f1')} AS f1, {R6('accuracy')} AS accuracy, {R6('(SELECT avg(auc) FROM au)')} AS roc_auc
+FROM f1, acc""",
+    "average_metrics": f"""
+WITH r AS ({_binary_report_sql('user_id')}),
+l AS (SELECT 'f1' AS metric, f1 AS value FROM r UNION ALL SELECT 'accuracy', accuracy FROM r
+      UNION ALL SELECT 'roc_auc', roc_auc FROM r)
+SELECT 'all' AS split, metric, round_even(avg(value), 4) AS value, count(*) AS n_runs FROM l GROUP BY metric""",
+    "best_run": f"""
+WITH r AS ({_binary_report_sql('user_id')})
+SELECT user_id, {R6('accuracy')} AS accuracy, {R6('f1')} AS f1 FROM r
+ORDER BY accuracy DESC, user_id ASC LIMIT 1""",
+    "norm_stats": f"""
+WITH n AS (SELECT CAST(label AS BIGINT) AS label,
+                  sqrt(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)),
+                                   lambda a, b: a + b)) AS nrm FROM embeddings)
+SELECT label, {R6('quantile_cont(nrm, 0.5)')} AS p50, {R6('avg(nrm)')} AS mean, {R6('stddev_pop(nrm)')} AS std,
+       {R6('max(nrm)')} AS max, {R6('min(nrm)')} AS min FROM n GROUP BY label""",
+    "loss_rollup": f"""
+WITH log AS (SELECT event_id AS k, value AS loss, 1 + user_id % 5 AS n FROM events),
+g AS (SELECT CAST(floor((k + 1) / 10) AS BIGINT) AS w, sum(loss * n) / sum(n) AS m, max(k) AS last
+      FROM log GROUP BY 1)
+SELECT CAST((w + 1) * 10 AS BIGINT) AS step, {R6('round_even(m, 3)')} AS loss FROM g WHERE last >= w * 10 + 8""",
+    "gaussian_kl": f"""
+WITH sp AS {SPLIT_FX3},
+m AS (SELECT split, avg(value) AS m_v, ln(var_pop(value)) AS lv_v, avg(user_id) AS m_u,
+             ln(var_pop(user_id)) AS lv_u FROM sp GROUP BY split),
+a AS (SELECT * FROM m WHERE split = 'train'), b AS (SELECT * FROM m WHERE split = 'test')
+SELECT 'value' AS col, {R6('0.5 * (-1.0 + b.lv_v - a.lv_v + exp(a.lv_v - b.lv_v) + (a.m_v - b.m_v) * (a.m_v - b.m_v) * exp(-b.lv_v))')} AS kl FROM a, b
+UNION ALL
+SELECT 'user_id', {R6('0.5 * (-1.0 + b.lv_u - a.lv_u + exp(a.lv_u - b.lv_u) + (a.m_u - b.m_u) * (a.m_u - b.m_u) * exp(-b.lv_u))')} FROM a, b""",
+    "log_likelihood": f"""
+WITH {_fx3_features_cte()},
+t AS (SELECT event_type, f0 AS x, avg(f0) OVER (PARTITION BY event_type) AS mu,
+             ln(stddev_pop(f0) OVER (PARTITION BY event_type)) AS ls FROM enc),
+c AS (SELECT event_type, x, exp(-ls) * (x - mu + 1.0 / 255.0) AS pin, exp(-ls) * (x - mu - 1.0 / 255.0) AS min_in FROM t),
+dd AS (SELECT event_type, x,
+             0.5 * (1.0 + tanh(sqrt(2.0 / pi()) * (pin + 0.044715 * pow(pin, 3)))) AS cp,
+             0.5 * (1.0 + tanh(sqrt(2.0 / pi()) * (min_in + 0.044715 * pow(min_in, 3)))) AS cm FROM c),
+l AS (SELECT event_type, CASE WHEN x < -0.999 THEN ln(greatest(cp, 1e-12))
+                             WHEN x > 0.999 THEN ln(greatest(1.0 - cm, 1e-12))
+                             ELSE ln(greatest(cp - cm, 1e-12)) END AS ll FROM dd)
+SELECT event_type, {R6('avg(ll)')} AS mean_log_likelihood, count(*) AS n FROM l GROUP BY event_type""",
+})
