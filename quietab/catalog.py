@@ -286,6 +286,108 @@ def q_log_likelihood(spark, sf_dir):
     return r.select("event_type", r6("mean_log_likelihood").alias("mean_log_likelihood"), "n")
 
 
+def r4(c) -> Column:
+    """Rounding for outputs that amplify last-ulp libm differences (late timesteps)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.floor(c.cast("double") * 1e4 + 0.5) / 1e4).cast("double")
+
+
+# ----------------------------------------------------------------------------- diffusion schedule
+
+def _forward_draws(spark, sf_dir, k=3, seed=3, weights_method=None):
+    from .operators.schedule import noise_schedule, timestep_weights, training_draws
+    df, spec, enc, e = _fx3_encoded(spark, sf_dir)
+    sched = noise_schedule(spark, 500, "cosine").cache()
+    w = timestep_weights(sched, weights_method) if weights_method else None
+    return training_draws(e, "features", "event_id", sched, enc.width, k=k, seed=seed, weights=w), sched
+
+
+def q_forward_noise(spark, sf_dir):
+    """H11 + W1 + W3 + J4 + R5 + R2 + R7 + H13: K=3 uniform-timestep noisings of encoded FX3."""
+    d, _ = _forward_draws(spark, sf_dir)
+    return d.select("event_id", "draw", "t", *[r6(F.col("x_t")[j]).alias(f"xt_{j}") for j in range(5)],
+                    r6("q_variance").alias("q_variance"))
+
+
+def q_reverse_step(spark, sf_dir):
+    """One ancestral reverse step from each noised draw, given its noise
+    as the prediction and fresh seeded noise z."""
+    from .functions.rand import gauss
+    from .operators.schedule import reverse_step
+    d, sched = _forward_draws(spark, sf_dir)
+    z = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: gauss(4, F.col("event_id"), F.col("draw"), j))
+    d = d.withColumn("z", z)
+    r = reverse_step(d, sched, "x_t", "t", "noise", "z", "x_prev")
+    return r.select("event_id", "draw", "t", *[r4(F.col("x_prev")[j]).alias(f"xp_{j}") for j in range(5)])
+
+
+def q_timestep_draws_snr(spark, sf_dir):
+    """H12 (snr) + R4: timesteps drawn by inverse CDF of the SNR weights."""
+    d, _ = _forward_draws(spark, sf_dir, k=1, seed=6, weights_method="snr")
+    return d.select("event_id", "t")
+
+
+def q_timestep_draws_ada(spark, sf_dir):
+    """H12 (ada: Gaussian in log-SNR, sample std) + R4."""
+    d, _ = _forward_draws(spark, sf_dir, k=1, seed=8, weights_method="ada")
+    return d.select("event_id", "t")
+
+
+def q_importance_weights(spark, sf_dir):
+    """H12 (importance) + H17: p_t from the per-timestep mean MSE of the
+    forward draws (uniform until every t has more than 10 draws)."""
+    from .functions.arrays import row_mse
+    from .operators.schedule import timestep_weights
+    d, sched = _forward_draws(spark, sf_dir)
+    hist = d.groupBy("t").agg(F.avg(row_mse(F.col("x_t"), F.col("noise"))).alias("loss"),
+                              F.count(F.lit(1)).alias("count"))
+    w = timestep_weights(sched, "importance", loss_history=hist)
+    return w.select("t", r6("p").alias("p"))
+
+
+# ----------------------------------------------------------------------------- sampling
+
+def q_poisson_sample(spark, sf_dir):
+    """Poisson subsample of events (q = 0.3, step 5)."""
+    from .operators.sampling import poisson_sample
+    return poisson_sample(fx.table(spark, sf_dir, "events"), 0.3, "event_id", 9, 5).select("event_id")
+
+
+def q_minibatches(spark, sf_dir):
+    """R6 + W6: shuffled 128-row batches of events (epoch 2)."""
+    from .operators.sampling import minibatches
+    return minibatches(fx.table(spark, sf_dir, "events"), "event_id", 128, 9, 2).select("event_id", "batch")
+
+
+def q_exactly_n(spark, sf_dir):
+    """The n lowest-id accepted events, n = half the table."""
+    from .functions.rand import u as uni
+    from .operators.sampling import exactly_n
+    ev = fx.table(spark, sf_dir, "events")
+    n = ev.count() // 2
+    cand = ev.select("event_id", (uni(13, F.col("event_id")) < 0.7).alias("ok"))
+    return exactly_n(cand, n, "event_id", "ok").select("event_id")
+
+
+# ----------------------------------------------------------------------------- nearest neighbours
+
+def q_knn_join(spark, sf_dir):
+    """J6 + T3: leave-one-out 5 nearest embeddings (Euclidean, ties by id)."""
+    from .operators.knn import knn_join
+    e = fx.fx4(spark, sf_dir)
+    nb = knn_join(e, e, 5, "vec_id", "vec_id", "embedding", exclude_self=True)
+    return nb.select(F.col("q_key").alias("vec_id"), F.col("r_key").alias("neighbor"), "rank",
+                     r6("dist").alias("dist"))
+
+
+def q_knn_classify(spark, sf_dir):
+    """M8: leave-one-out distance-weighted 5-NN vote over the 10 embedding classes."""
+    from .operators.knn import knn_classify
+    e = fx.fx4(spark, sf_dir)
+    c = knn_classify(e, e, "label", 10, 5, "vec_id", "vec_id", "embedding", exclude_self=True)
+    return c.select("vec_id", "pred", r6(F.array_max("probs")).alias("p_pred"))
+
+
 QUERIES = {
     "encode_minmax_bits": q_encode_minmax_bits,
     "encoded_label_means": flagship,
@@ -311,4 +413,14 @@ QUERIES = {
     "loss_rollup": q_loss_rollup,
     "gaussian_kl": q_gaussian_kl,
     "log_likelihood": q_log_likelihood,
+    "forward_noise": q_forward_noise,
+    "reverse_step": q_reverse_step,
+    "timestep_draws_snr": q_timestep_draws_snr,
+    "timestep_draws_ada": q_timestep_draws_ada,
+    "importance_weights": q_importance_weights,
+    "poisson_sample": q_poisson_sample,
+    "minibatches": q_minibatches,
+    "exactly_n": q_exactly_n,
+    "knn_join": q_knn_join,
+    "knn_classify": q_knn_classify,
 }

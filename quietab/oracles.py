@@ -319,3 +319,102 @@ l AS (SELECT event_type, CASE WHEN x < -0.999 THEN ln(greatest(cp, 1e-12))
                              ELSE ln(greatest(cp - cm, 1e-12)) END AS ll FROM dd)
 SELECT event_type, {R6('avg(ll)')} AS mean_log_likelihood, count(*) AS n FROM l GROUP BY event_type""",
 })
+
+
+def R4(x: str) -> str:
+    return f"CAST(floor(CAST({x} AS DOUBLE) * 1e4 + 0.5) / 1e4 AS DOUBLE)"
+
+
+def _cosbar(t: str) -> str:
+    return f"pow(cos(({t} + {D(0.008)}) / {D(1.008)} * {D(__import__('math').pi / 2)}), 2)"
+
+
+SCHEDULE = f"""
+(WITH b AS (SELECT i AS t, least({D(1.0)} - {_cosbar(f'CAST(i + 1 AS DOUBLE) / 500')} / {_cosbar('CAST(i AS DOUBLE) / 500')},
+                           {D(0.999)}) AS beta FROM range(0, 500) r(i)),
+ a AS (SELECT t, beta, 1.0 - beta AS alpha FROM b),
+ c AS (SELECT t, beta, alpha, product(alpha) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ab
+       FROM a),
+ d AS (SELECT *, coalesce(lag(ab, 1) OVER (ORDER BY t), 1.0) AS ab_prev FROM c),
+ e AS (SELECT *, beta * (1.0 - ab_prev) / (1.0 - ab) AS pv FROM d)
+ SELECT t, beta, alpha, ab, ab_prev, sqrt(ab) AS sab, sqrt(1.0 - ab) AS s1mab,
+        sqrt(1.0 / ab) AS srab, sqrt(1.0 / ab - 1.0) AS srm1ab, pv,
+        beta * sqrt(ab_prev) / (1.0 - ab) AS coef1, (1.0 - ab_prev) * sqrt(alpha) / (1.0 - ab) AS coef2,
+        ln(CASE WHEN t = 0 THEN lead(pv, 1) OVER (ORDER BY t) ELSE beta END) AS mlv
+ FROM e)"""
+
+
+def _draws_sql(seed: int, k: int, tdraw: str | None = None) -> str:
+    """Forward draws over encoded FX3: one row per (event, draw) with t, noise n_j, x_t xt_j."""
+    t = tdraw or f"CAST(floor({U(seed, 'event_id', 'draw', chr(39) + 't' + chr(39))} * 500) AS BIGINT)"
+    noise = [f"{GAUSS(seed, 'event_id', 'draw', str(j))} AS n{j}" for j in range(5)]
+    xt = [f"s.sab * f{j} + s.s1mab * n{j} AS xt{j}" for j in range(5)]
+    return f"""
+WITH {_fx3_features_cte()},
+sched AS {SCHEDULE},
+ex AS (SELECT enc.*, CAST(dr AS BIGINT) AS draw FROM enc, range(1, {k + 1}) r(dr)),
+tt AS (SELECT *, {t} AS t FROM ex),
+nz AS (SELECT *, {', '.join(noise)} FROM tt),
+dr AS (SELECT nz.*, s.ab, {', '.join(xt)} FROM nz JOIN sched s ON nz.t = s.t)"""
+
+
+def _tdraw_sql(seed: int, weights: str) -> str:
+    return f"""
+WITH w AS ({weights}),
+cum AS (SELECT t, sum(p) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM w),
+ev AS (SELECT event_id, {U(seed, 'event_id', '1', chr(39) + 't' + chr(39))} AS u FROM events)
+SELECT event_id, CAST(least(499, (SELECT count(*) FROM cum WHERE c <= ev.u)) AS BIGINT) AS t FROM ev"""
+
+
+SNR_WEIGHTS = f"""SELECT t, sqrt(ab * (1.0 - ab)) / sum(sqrt(ab * (1.0 - ab))) OVER () AS p FROM {SCHEDULE}"""
+ADA_WEIGHTS = f"""
+WITH l AS (SELECT t, ln(ab / (1.0 - ab + {D(1e-8)}) + {D(1e-8)}) AS ls FROM {SCHEDULE}),
+m AS (SELECT t, ls, avg(ls) OVER () AS mu, stddev_samp(ls) OVER () AS sd FROM l),
+w AS (SELECT t, exp(-pow(ls - mu, 2) / (2.0 * pow(sd, 2))) AS w FROM m)
+SELECT t, w / sum(w) OVER () AS p FROM w"""
+
+_MSE = " + ".join(f"(xt{j} - n{j}) * (xt{j} - n{j})" for j in range(5))
+
+ORACLES.update({
+    "forward_noise": _draws_sql(3, 3) + f"""
+SELECT event_id, draw, t, {', '.join(R6(f'xt{j}') + f' AS xt_{j}' for j in range(5))},
+       {R6('1.0 - ab')} AS q_variance FROM dr""",
+    "reverse_step": _draws_sql(3, 3) + f""",
+rs AS (SELECT dr.event_id, dr.draw, dr.t, s.coef1, s.coef2, s.srab, s.srm1ab, s.mlv,
+              {', '.join(f'xt{j}, n{j}, {GAUSS(4, "dr.event_id", "dr.draw", str(j))} AS z{j}' for j in range(5))}
+       FROM dr JOIN sched s ON dr.t = s.t)
+SELECT event_id, draw, t, {', '.join(R4(f"coef1 * (srab * xt{j} - srm1ab * n{j}) + coef2 * xt{j} + (CASE WHEN t <> 0 THEN exp(0.5 * mlv) ELSE 0.0 END) * z{j}") + f' AS xp_{j}' for j in range(5))}
+FROM rs""",
+    "timestep_draws_snr": _tdraw_sql(6, SNR_WEIGHTS),
+    "timestep_draws_ada": _tdraw_sql(8, ADA_WEIGHTS),
+    "importance_weights": _draws_sql(3, 3) + f""",
+h AS (SELECT t, avg(({_MSE}) / 5) AS loss, count(*) AS cnt FROM dr GROUP BY t),
+j AS (SELECT s.t, h.loss, coalesce(h.cnt, 0) AS cnt FROM sched s LEFT JOIN h ON s.t = h.t),
+l AS (SELECT t, cnt, sqrt(coalesce(loss, 0.0) + {D(1e-10)}) + {D(1e-4)} AS lt FROM j),
+l2 AS (SELECT t, CASE WHEN min(cnt) OVER () > 10 THEN
+                   CASE WHEN t = 0 THEN max(CASE WHEN t = 1 THEN lt END) OVER () ELSE lt END ELSE 1.0 END AS w FROM l)
+SELECT t, {R6('w / sum(w) OVER ()')} AS p FROM l2""",
+    "poisson_sample": f"SELECT event_id FROM events WHERE {U(9, 'event_id', '5', chr(39) + 'poisson' + chr(39))} < {D(0.3)}",
+    "minibatches": f"""
+SELECT event_id, CAST((row_number() OVER (ORDER BY {U(9, 'event_id', '2', chr(39) + 'batch' + chr(39))}, event_id) - 1) // 128
+       AS BIGINT) AS batch FROM events""",
+    "exactly_n": f"""
+WITH a AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rk FROM events WHERE {U(13, 'event_id')} < {D(0.7)})
+SELECT event_id FROM a WHERE rk <= (SELECT count(*) // 2 FROM events)""",
+    "knn_join": f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS neighbor, list_distance(a.v, b.v) AS dist FROM e a, e b WHERE a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbor) AS rank FROM d)
+SELECT vec_id, neighbor, CAST(rank AS BIGINT) AS rank, {R6('dist')} AS dist FROM k WHERE rank <= 5""",
+    "knn_classify": f"""
+WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+           FROM embeddings),
+d AS (SELECT a.vec_id, b.label, list_distance(a.v, b.v) AS dist, b.vec_id AS nb FROM e a, e b WHERE a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, nb) AS rank FROM d),
+t AS (SELECT *, min(dist) OVER (PARTITION BY vec_id) AS dmin FROM k WHERE rank <= 5),
+w AS (SELECT vec_id, label, sum(CASE WHEN dmin = 0 THEN CAST(dist = 0 AS DOUBLE) ELSE 1.0 / dist END) AS w
+      FROM t GROUP BY vec_id, label),
+p AS (SELECT vec_id, label, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM w),
+b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, label) AS rn FROM p)
+SELECT vec_id, label AS pred, {R6('p')} AS p_pred FROM b WHERE rn = 1""",
+})
