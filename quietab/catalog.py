@@ -388,6 +388,126 @@ def q_knn_classify(spark, sf_dir):
     return c.select("vec_id", "pred", r6(F.array_max("probs")).alias("p_pred"))
 
 
+# ----------------------------------------------------------------------------- persistence / streaming
+
+def q_encoder_save_load(spark, sf_dir):
+    """The fitted encoder saved as small tables, loaded back, applied -- equals encode_minmax_bits."""
+    import os
+    import uuid
+    from .operators.encode import EncoderModel
+    from .session import checkpoint_dir
+    enc, lab, df, spec, _ = _encoded_fx1(spark, sf_dir)
+    path = os.path.join(checkpoint_dir(spark), f"encoder-{uuid.uuid4().hex[:10]}")
+    enc.save(spark, path)
+    enc2 = EncoderModel.load(spark, path)
+    flat = enc2.flatten(enc2.encode(df, keep=[lab.encode_col().alias("label")]), keep=["label"])
+    return flat.select(*[F.col(c).cast("double").alias(c) for c in flat.columns if c != "label"], "label")
+
+
+def q_streaming_encode(spark, sf_dir):
+    """Structured Streaming: the batch-fitted FX3 encoder applied to events read as a file stream."""
+    from .streaming.encode_stream import encode_stream, read_stream, run_available_now
+    df, spec = fx.fx3(spark, sf_dir)
+    enc = fit_encoder(df, spec, "minmax", "bits")
+    schema = fx.table(spark, sf_dir, "events").schema
+    st = read_stream(spark, sf_dir, schema, glob="events.parquet")
+    st = st.select("event_id", "value", "user_id", "event_type", (F.col("value") > 50).cast("int").alias("label"))
+    sink = run_available_now(encode_stream(enc, st, keep=["event_id", "label"]))
+    out = enc.flatten(spark.read.parquet(sink), keep=["event_id", "label"])
+    return out.select("event_id", "label", *[F.col(c).cast("double").alias(c) for c in out.columns
+                                             if c not in ("event_id", "label")])
+
+
+def q_training_view(spark, sf_dir):
+    """S5 + P4: flattened encoded FX1 columns back into a typed training view; per-position means."""
+    from .sources.tables import training_view
+    flat = q_encode_minmax_bits(spark, sf_dir)
+    feats = [c for c in flat.columns if c != "label"]
+    v = training_view(flat, feats, "label", "binclass", width=len(feats))
+    ex = v.select(F.posexplode("features").alias("pos", "x"))
+    return ex.groupBy(F.col("pos").cast("long").alias("pos")).agg(r6(F.avg("x")).alias("mean"))
+
+
+# ----------------------------------------------------------------------------- model jobs (invariant-checked)
+
+def _small_generator(steps=10):
+    from .plans.generator import GeneratorConfig
+    return GeneratorConfig(d_layers=(64, 64), dim_t=32, num_timesteps=100, steps=steps, sample_rate=0.1,
+                           sigma=1.0, clip=1.0, k=3, lr=2e-3, seed=3, init_seed=0, noise_seed=5)
+
+
+def _fx3_real_splits(spark, sf_dir):
+    sp, spec = _split_fx3(spark, sf_dir)
+    train = sp.where("split = 'train'")
+    enc = fit_encoder(train, spec, "minmax", "bits")
+    e = lambda part: enc.encode(sp.where(F.col("split") == part),
+                                keep=[F.col("event_id").alias("id"), F.col("label").cast("long").alias("label")])
+    return enc, e("train"), e("val"), e("test")
+
+
+def q_utility_real(spark, sf_dir):
+    """M4 + M6 + M8 + M9: tree, logistic and 5-NN trained on real FX3 train, scored on train/val/test."""
+    from .plans.evaluate import evaluate
+    enc, tr, va, te = _fx3_real_splits(spark, sf_dir)
+    m = evaluate(tr, va, te, "binclass", 2, ("tree", "logistic", "knn"))
+    return m.select("model", "split", "metric", r6("value").alias("value"))
+
+
+def q_utility_models(spark, sf_dir):
+    """M3 + M5 + M7: boosted trees (validation early stopping), forest, MLP on real FX3."""
+    from .plans.evaluate import evaluate
+    enc, tr, va, te = _fx3_real_splits(spark, sf_dir)
+    m = evaluate(tr, va, te, "binclass", 2, ("gbt", "forest", "mlp"),
+                 params={"gbt": {"iterations": 30}, "forest": {"num_trees": 30}, "mlp": {"max_iter": 50}})
+    return m.select("model", "split", "metric", r6("value").alias("value"))
+
+
+def _fit_small(spark, sf_dir, steps=10):
+    from .operators.private import dp_histogram
+    from .plans.generator import fit_generator
+    enc, tr, va, te = _fx3_real_splits(spark, sf_dir)
+    p_y = [r["p"] for r in dp_histogram(tr, "label", [0, 1], seed=17).orderBy("label").collect()]
+    return enc, tr, va, te, fit_generator(tr, "id", enc.width, 2, p_y, _small_generator(steps))
+
+
+def q_generator_loss(spark, sf_dir):
+    """M1 + A19: DP-SGD fit of the denoiser on encoded FX3 train; per-step loss log rolled up."""
+    from .operators.stats import loss_rollup
+    enc, tr, va, te, model = _fit_small(spark, sf_dir, steps=20)
+    log = spark.createDataFrame(model.loss_log, "k long, loss double, n long")
+    return loss_rollup(log, every=5).select("step", "loss")
+
+
+def q_synthetic_rows(spark, sf_dir):
+    """M2 + T2 + P8 + H8: exactly N decoded synthetic rows (N = real train size)."""
+    enc, tr, va, te, model = _fit_small(spark, sf_dir)
+    n = tr.count()
+    _, dec = model.generate(spark, n, seed=4, encoder=enc)
+    return dec
+
+
+def q_pipeline_metrics(spark, sf_dir):
+    """Split -> encode -> DP histogram -> DP fit -> generate -> utility on real val/test."""
+    from .plans.pipeline import PipelineConfig, run_pipeline
+    df, spec = fx.fx3(spark, sf_dir)
+    cfg = PipelineConfig(generator=_small_generator(), hist_seed=17, eval_models=("tree", "logistic"))
+    out = run_pipeline(df, spec, cfg)
+    return out["metrics"].select("model", "split", "metric", r6("value").alias("value"))
+
+
+def q_sweep_best(spark, sf_dir):
+    """M10 + A17 + A18: random search over tree depth / leaf size on real FX3, best by validation AUC."""
+    from .plans.evaluate import evaluate
+    from .plans.sweep import draw_params, sweep
+    enc, tr, va, te = _fx3_real_splits(spark, sf_dir)
+    space = {"max_depth": ("int", 2, 10), "min_leaf": ("int", 1, 50)}
+    params = draw_params(spark, space, 3, seed=21)
+    run = lambda p, s: evaluate(tr, va, te, "binclass", 2, ("tree",), seed=s,
+                                params={"tree": {"max_depth": int(p["max_depth"]), "min_leaf": int(p["min_leaf"])}})
+    runs, best = sweep(params, run, "roc_auc", "val")
+    return best
+
+
 QUERIES = {
     "encode_minmax_bits": q_encode_minmax_bits,
     "encoded_label_means": flagship,
@@ -423,4 +543,13 @@ QUERIES = {
     "exactly_n": q_exactly_n,
     "knn_join": q_knn_join,
     "knn_classify": q_knn_classify,
+    "encoder_save_load": q_encoder_save_load,
+    "streaming_encode": q_streaming_encode,
+    "training_view": q_training_view,
+    "utility_real": q_utility_real,
+    "utility_models": q_utility_models,
+    "generator_loss": q_generator_loss,
+    "synthetic_rows": q_synthetic_rows,
+    "pipeline_metrics": q_pipeline_metrics,
+    "sweep_best": q_sweep_best,
 }

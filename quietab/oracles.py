@@ -418,3 +418,15 @@ p AS (SELECT vec_id, label, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM w),
 b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, label) AS rn FROM p)
 SELECT vec_id, label AS pred, {R6('p')} AS p_pred FROM b WHERE rn = 1""",
 })
+
+
+ORACLES.update({
+    "encoder_save_load": ENCODE_FX1,
+    "streaming_encode": f"""
+WITH {_fx3_features_cte()}
+SELECT event_id, label, f0 AS num_0, f1 AS num_1, f2 AS cat_0, f3 AS cat_1, f4 AS cat_2 FROM enc""",
+    "training_view": f"""
+WITH e AS ({ENCODE_FX1}),
+l AS ({' UNION ALL '.join(f"SELECT {i} AS pos, CAST(CAST({c} AS FLOAT) AS DOUBLE) AS x FROM e" for i, c in enumerate(['num_0', 'num_1', 'num_2', 'num_3', 'cat_0', 'cat_1', 'cat_2', 'cat_3', 'cat_4']))})
+SELECT CAST(pos AS BIGINT) AS pos, {R6('avg(x)')} AS mean FROM l GROUP BY pos""",
+})
