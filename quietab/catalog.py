@@ -97,10 +97,11 @@ def q_quantile_fit(spark, sf_dir):
 
 
 def q_num2cat(spark, sf_dir):
-    """H18 on lineitem: integral numerics with < 15 distinct values become categories."""
-    from .operators.num2cat import categorise_low_cardinality
-    li = fx.table(spark, sf_dir, "lineitem").drop("l_shipdate")
-    return categorise_low_cardinality(li, 15)
+    """H18 on lineitem: the value -> category mapping of every numeric column
+    with < 15 distinct values, all integral (prefix = position among numerics)."""
+    from .operators.num2cat import low_cardinality_mapping, mapping_df
+    li = fx.table(spark, sf_dir, "lineitem")
+    return mapping_df(spark, low_cardinality_mapping(li, 15))
 
 
 # ----------------------------------------------------------------------------- split / profile / set ops

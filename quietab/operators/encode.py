@@ -135,7 +135,7 @@ def exact_quantiles(df: DataFrame, col: str, probs) -> list[float]:
     for p in probs:
         h = p * (n - 1)
         lo, hi = int(np.floor(h)), int(np.ceil(h))
-        out.append(at[lo] + (h - lo) * (at[hi] - at[lo]))
+        out.append(at[lo] if hi == lo else (hi - h) * at[lo] + (h - lo) * at[hi])
     return out
 
 

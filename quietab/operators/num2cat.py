@@ -24,11 +24,15 @@ def prefix(i: int) -> str:
     return letters[i // 26 % 26] + letters[i % 26] if i < 676 else f"c{i + 26}"
 
 
-def categorise_low_cardinality(df: DataFrame, threshold: int = 15) -> DataFrame:
+def low_cardinality_mapping(df: DataFrame, threshold: int = 15) -> dict:
+    """``{col: (prefix, sorted values)}`` for every column that converts.
+
+    One unpivot + distinct over the numeric columns; the per-column distinct
+    counts and integrality flags are one small aggregate; only columns under
+    the threshold have their (fewer than ``threshold``) values collected."""
     num_cols = [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
     if not num_cols:
-        return df
-    # pass 1: per-column distinct count (capped) and integrality, one aggregation
+        return {}
     pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in num_cols])
     long = df.select(F.explode(pairs).alias("kv")).select("kv.*").where("v is not null and not isnan(v)")
     distinct = long.distinct().persist()
@@ -40,11 +44,18 @@ def categorise_low_cardinality(df: DataFrame, threshold: int = 15) -> DataFrame:
         for r in distinct.where(F.col("col").isin(convert)).orderBy("col", "v").collect():
             values[r["col"]].append(r["v"])
     distinct.unpersist()
+    return {c: (prefix(i), values[c]) for i, c in enumerate(num_cols) if c in values}
+
+
+def mapping_df(spark, mapping: dict) -> DataFrame:
+    rows = [(c, float(v), f"{p}{j}") for c, (p, vals) in mapping.items() for j, v in enumerate(vals)]
+    return spark.createDataFrame(rows, "col string, value double, category string")
+
+
+def categorise_low_cardinality(df: DataFrame, threshold: int = 15) -> DataFrame:
+    mapping = low_cardinality_mapping(df, threshold)
     out = {}
-    for i, c in enumerate(num_cols):
-        if c not in values:
-            continue
-        p = prefix(i)
-        m = F.create_map(*[x for j, v in enumerate(values[c]) for x in (F.lit(float(v)), F.lit(f"{p}{j}"))])
+    for c, (p, vals) in mapping.items():
+        m = F.create_map(*[x for j, v in enumerate(vals) for x in (F.lit(float(v)), F.lit(f"{p}{j}"))])
         out[c] = F.try_element_at(m, F.col(c).cast("double"))
     return df.withColumns(out) if out else df

@@ -147,7 +147,7 @@ def _quantile_fit_sql() -> str:
  h AS (SELECT idx, ref, ref * (n - 1) AS h, CAST(floor(ref * (n - 1)) AS BIGINT) AS lo,
               CAST(ceil(ref * (n - 1)) AS BIGINT) AS hi FROM r)
  SELECT '{c}' AS col, CAST(idx AS BIGINT) AS idx, {R6('ref')} AS ref,
-        {R6('a.x + (h.h - h.lo) * (b.x - a.x)')} AS quantile
+        {R6('CASE WHEN h.hi = h.lo THEN a.x ELSE (h.hi - h.h) * a.x + (h.h - h.lo) * b.x END')} AS quantile
  FROM h JOIN v a ON a.pos = h.lo JOIN v b ON b.pos = h.hi)""")
     return " UNION ALL ".join(parts)
 
@@ -197,11 +197,12 @@ ORACLES.update({
     "decode_noisy_reject": _decode_noisy_sql(12, 0.6, True),
     "quantile_fit": _quantile_fit_sql(),
     "num2cat": """
-WITH r AS (SELECT l_linenumber AS v, row_number() OVER (ORDER BY l_linenumber) - 1 AS rk
-           FROM (SELECT DISTINCT l_linenumber FROM lineitem))
-SELECT l_orderkey, l_partkey, l_suppkey, 'd' || CAST(r.rk AS VARCHAR) AS l_linenumber, l_quantity,
-       l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus
-FROM lineitem JOIN r ON lineitem.l_linenumber = r.v""",
+WITH u AS (SELECT 'l_orderkey' AS col, 0 AS pos, CAST(l_orderkey AS DOUBLE) AS v FROM lineitem UNION ALL SELECT 'l_partkey' AS col, 1 AS pos, CAST(l_partkey AS DOUBLE) AS v FROM lineitem UNION ALL SELECT 'l_suppkey' AS col, 2 AS pos, CAST(l_suppkey AS DOUBLE) AS v FROM lineitem UNION ALL SELECT 'l_linenumber' AS col, 3 AS pos, CAST(l_linenumber AS DOUBLE) AS v FROM lineitem UNION ALL SELECT 'l_quantity' AS col, 4 AS pos, CAST(l_quantity AS DOUBLE) AS v FROM lineitem UNION ALL SELECT 'l_extendedprice' AS col, 5 AS pos, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem UNION ALL SELECT 'l_discount' AS col, 6 AS pos, CAST(l_discount AS DOUBLE) AS v FROM lineitem UNION ALL SELECT 'l_tax' AS col, 7 AS pos, CAST(l_tax AS DOUBLE) AS v FROM lineitem),
+d AS (SELECT DISTINCT col, pos, v FROM u WHERE v IS NOT NULL AND NOT isnan(v)),
+s AS (SELECT col, count(*) AS n, bool_and(v = floor(v)) AS integral FROM d GROUP BY col),
+r AS (SELECT d.col, d.pos, d.v, row_number() OVER (PARTITION BY d.col ORDER BY d.v) - 1 AS rk
+      FROM d JOIN s ON d.col = s.col WHERE s.n < 15 AND s.integral)
+SELECT col, v AS value, chr(97 + pos) || CAST(rk AS VARCHAR) AS category FROM r""",
     "stratified_split": f"SELECT event_id, label, split FROM {SPLIT_FX3}",
     "split_profile": f"""
 SELECT 'events' AS name,
