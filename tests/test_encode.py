@@ -1,0 +1,114 @@
+"""Encoder round trips and edge cases (widths, nulls, NaN, unseen categories)."""
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quietab import fixtures as fx
+from quietab.functions.arrays import bit_width
+from quietab.functions.normal import ndtr, ndtri, quantile_forward, quantile_inverse
+from quietab.operators.encode import EncoderModel, fit_encoder
+from quietab.spec import TableSpec
+
+from conftest import SF_SMALL
+
+
+@pytest.mark.parametrize("n,w", [(1, 1), (2, 1), (3, 2), (8, 3), (9, 4), (2 ** 29, 29), (2 ** 29 + 1, 30)])
+def test_bit_width_exact(n, w):
+    assert bit_width(n) == w
+
+
+@pytest.mark.parametrize("num_kind", ["minmax", "standard", "quantile"])
+@pytest.mark.parametrize("cat_kind", ["bits", "onehot"])
+def test_round_trip(spark, num_kind, cat_kind):
+    df, spec = fx.fx3(spark, SF_SMALL)
+    enc = fit_encoder(df, spec, num_kind, cat_kind)
+    e = enc.encode(df, keep=["event_id"])
+    d = enc.decode(e, keep=["event_id"]).toPandas().set_index("event_id").sort_index()
+    src = df.toPandas().set_index("event_id").sort_index()
+    assert (d["event_type"] == src["event_type"]).all()
+    assert (d["user_id"] == src["user_id"]).all()  # integral column: rounded back exactly
+    tol = 1e-4 * (src["value"].abs().max() + 1)
+    assert np.allclose(d["value"], src["value"], atol=tol)
+
+
+def test_widths_and_unseen(spark):
+    base = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    cols = {f"k{n}": (F.col("event_id") % n).cast("string") for n in (1, 2, 3, 8, 9)}
+    df = base.select("event_id", "value", *[v.alias(k) for k, v in cols.items()])
+    spec = TableSpec(("value",), tuple(cols), None, ("event_id",))
+    enc = fit_encoder(df, spec, "minmax", "bits")
+    assert [r["width"] for r in enc.layout] == [1, 1, 1, 2, 3, 4]
+    oh = fit_encoder(df, spec, "minmax", "onehot")
+    assert oh.width == 1 + 1 + 2 + 3 + 8 + 9
+    # a category unseen at fit time encodes as all ones (bits) / the last slot (one-hot)
+    probe = spark.createDataFrame([(1, 5.0, "zz", "zz", "zz", "zz", "zz")],
+                                  "event_id long, value double, k1 string, k2 string, k3 string, k8 string, k9 string")
+    fb = enc.encode(probe).first()["features"]
+    assert fb[1:] == [1.0] * 11
+    fo = oh.encode(probe).first()["features"]
+    assert fo[1] == 1.0 and fo[2:4] == [0.0, 1.0] and fo[-1] == 1.0 and sum(fo[1:]) == 5
+
+
+def test_nulls_and_nan_skipped_at_fit(spark):
+    base = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    df = base.select("event_id",
+                     F.when(F.col("event_id") % 17 == 0, None).when(F.col("event_id") % 23 == 0, float("nan"))
+                     .otherwise(F.col("value")).alias("value"),
+                     F.when(F.col("event_id") % 19 == 0, None).otherwise(F.col("event_type")).alias("event_type"),
+                     F.lit(1.0).alias("const"))
+    spec = TableSpec(("value", "const"), ("event_type",), None, ("event_id",))
+    enc = fit_encoder(df, spec, "minmax", "bits")
+    clean = base.agg(F.min("value"), F.max("value")).first()
+    p = enc.num_params["value"]
+    assert p["min"] >= clean[0] and p["max"] <= clean[1] and not math.isnan(p["max"])
+    assert enc.num_params["const"]["scale"] == 2.0  # zero range -> scale 1 -> 2/1
+    assert enc.sizes["event_type"] == 5
+    e = enc.encode(df, keep=["event_id"]).where(F.col("event_id") == 19).first()["features"]
+    assert e[2:] == [1.0, 1.0, 1.0]  # null category -> code -1 -> all ones
+
+
+def test_fit_from_subset_transform_all(spark):
+    """Fit on rows without 'view', transform all: 'view' is unseen."""
+    df, spec = fx.fx3(spark, SF_SMALL)
+    enc = fit_encoder(df.where("event_type <> 'view'"), spec, "minmax", "onehot")
+    assert enc.sizes["event_type"] == 4
+    v = enc.encode(df.where("event_type = 'view'"), keep=[]).first()["features"]
+    assert v[2:] == [0.0, 0.0, 0.0, 1.0]
+
+
+def test_decode_reject_and_clip(spark):
+    df, spec = fx.fx3(spark, SF_SMALL)
+    enc = fit_encoder(df, spec, "minmax", "bits")  # 5 categories in 3 bits: codes 5..7 are invalid
+    bad = spark.createDataFrame([(1, [0.0, 0.0, 1.0, 1.0, 1.0]), (2, [0.0, 0.0, 0.0, 0.0, 1.0])],
+                                "id long, features array<float>")
+    clipped = {r["id"]: r["event_type"] for r in enc.decode(bad, keep=["id"]).collect()}
+    assert clipped[1] == enc.small_dicts["event_type"][-1]
+    rejected = enc.decode(bad, keep=["id"], on_invalid="reject").collect()
+    assert [r["id"] for r in rejected] == [2]
+
+
+def test_save_load(spark, tmp_path):
+    df, spec = fx.fx2(spark, SF_SMALL)
+    enc = fit_encoder(df, spec, "quantile", "onehot")
+    enc.save(spark, str(tmp_path / "enc"))
+    enc2 = EncoderModel.load(spark, str(tmp_path / "enc"))
+    a = enc.encode(df, keep=["o_orderkey"]).orderBy("o_orderkey").collect()
+    b = enc2.encode(df, keep=["o_orderkey"]).orderBy("o_orderkey").collect()
+    assert a == b
+
+
+def test_normal_functions():
+    from statistics import NormalDist
+    ps = np.array([1e-300, 1e-10, 0.001, 0.2, 0.5, 0.7, 0.999, 1 - 1e-12])
+    ref = np.array([NormalDist().inv_cdf(p) for p in ps])
+    assert np.allclose(ndtri(ps), ref, rtol=1e-12, atol=1e-12)
+    xs = np.array([-8.0, -1.0, 0.0, 0.3, 5.0])
+    assert np.allclose(ndtr(xs), [0.5 * math.erfc(-x / math.sqrt(2)) for x in xs], rtol=1e-12, atol=1e-300)
+    q = np.array([0.0, 1.0, 1.0, 1.0, 5.0])  # tied knots map to the middle of their range
+    refs = np.linspace(0, 1, 5)
+    u = quantile_forward(np.array([1.0]), q, refs, to_normal=False)
+    assert u[0] == pytest.approx(0.5)
+    x = np.array([0.5, 2.0, 4.9])
+    assert np.allclose(quantile_inverse(quantile_forward(x, q, refs), q, refs), x)
