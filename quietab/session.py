@@ -17,8 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app: str = "quietab") -> SparkSession:
     master = master or os.environ.get("QUIETAB_MASTER", "local[8]")
+    # one BLAS thread per Python worker: Spark already runs one worker per core
+    for var in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        os.environ.setdefault(var, "1")
     spark = (
         SparkSession.builder.master(master).appName(app)
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
