@@ -509,6 +509,55 @@ def q_sweep_best(spark, sf_dir):
     return best
 
 
+def q_layout(spark, sf_dir):
+    """A4 + W7 + P6: FX2 one-hot layout (offset = exclusive running width) and the
+    per-column block sums of the encoded rows."""
+    df, spec = fx.fx2(spark, sf_dir)
+    enc = fit_encoder(df, spec, "standard", "onehot")
+    e = enc.encode(df, keep=["o_orderkey"])
+    sums = e.select(*[F.aggregate(enc.column_block("features", c), F.lit(0.0),
+                                  lambda a, x: a + x.cast("double")).alias(c) for c in spec.cat_cols])
+    tot = sums.agg(*[F.sum(c).alias(c) for c in spec.cat_cols]).first()
+    lay = enc.layout_df(spark).where("kind = 'cat'")
+    vals = spark.createDataFrame([(c, float(tot[c])) for c in spec.cat_cols], "col string, block_sum double")
+    return lay.join(vals, "col").select("col", "offset", "width", "block_sum")
+
+
+def q_drop_nan_rows(spark, sf_dir):
+    """Encoded FX3 rows with injected NaN (event_id % 23 == 0) are dropped."""
+    from .functions.arrays import drop_nan_rows
+    df, spec, enc, e = _fx3_encoded(spark, sf_dir)
+    nan_first = F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice("features", 2, enc.width - 1))
+    inj = e.withColumn("features", F.when(F.col("event_id") % 23 == 0, nan_first).otherwise(F.col("features")))
+    return drop_nan_rows(inj).select("event_id", "label")
+
+
+def q_profile_roundtrip(spark, sf_dir):
+    """S3: the split profile written as JSON to the shared folder and read back."""
+    import os
+    import uuid
+    from .session import checkpoint_dir
+    from .sources.tables import write_profile
+    path = os.path.join(checkpoint_dir(spark), f"profile-{uuid.uuid4().hex[:10]}")
+    write_profile(q_split_profile(spark, sf_dir), path)
+    return spark.read.schema(q_split_profile(spark, sf_dir).schema).json(path)
+
+
+def q_metrics_roundtrip(spark, sf_dir):
+    """The per-event-type metric table written long-format and read back."""
+    import os
+    import uuid
+    from .session import checkpoint_dir
+    from .sources.tables import write_metrics
+    m = q_binary_metrics(spark, sf_dir)
+    long = m.select("event_type", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value"))
+                                                      for k in ("f1", "accuracy", "roc_auc")])).alias("m")) \
+        .select("event_type", "m.metric", "m.value")
+    path = os.path.join(checkpoint_dir(spark), f"metrics-{uuid.uuid4().hex[:10]}")
+    write_metrics(long, path, "parquet")
+    return spark.read.parquet(path)
+
+
 QUERIES = {
     "encode_minmax_bits": q_encode_minmax_bits,
     "encoded_label_means": flagship,
@@ -553,4 +602,8 @@ QUERIES = {
     "synthetic_rows": q_synthetic_rows,
     "pipeline_metrics": q_pipeline_metrics,
     "sweep_best": q_sweep_best,
+    "layout": q_layout,
+    "drop_nan_rows": q_drop_nan_rows,
+    "profile_roundtrip": q_profile_roundtrip,
+    "metrics_roundtrip": q_metrics_roundtrip,
 }

@@ -55,3 +55,8 @@ def row_mse(a: Column, b: Column) -> Column:
 def has_nan(vec: Column) -> Column:
     """P8 predicate: any NaN (or null) element."""
     return F.exists(vec, lambda x: F.isnan(x) | x.isNull())
+
+
+def drop_nan_rows(df, features: str = "features"):
+    """Drop rows whose vector holds any NaN (labels stay aligned: same row)."""
+    return df.where(~has_nan(F.col(features)))

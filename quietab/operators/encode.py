@@ -214,6 +214,12 @@ class EncoderModel:
     def width(self) -> int:
         return sum(r["width"] for r in self.layout)
 
+    def column_block(self, features: Column | str, col: str) -> Column:
+        """The slice of the feature vector that encodes source column ``col``."""
+        row = next(r for r in self.layout if r["col"] == col)
+        f = F.col(features) if isinstance(features, str) else features
+        return F.slice(f, row["offset"] + 1, row["width"])
+
     def layout_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.layout, "col string, kind string, offset long, width long")
 

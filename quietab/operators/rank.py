@@ -59,7 +59,8 @@ def _sampled_bucket(df: DataFrame, order: Sequence[str], buckets: int) -> Column
 
 def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, Column] | None = None,
                    by: Sequence[str] = (), buckets: int | None = None, uniform: bool = False,
-                   rank_col: str | None = "rank", inclusive: bool = True) -> DataFrame:
+                   rank_col: str | None = "rank", inclusive: bool = True,
+                   total_col: str | None = None) -> DataFrame:
     """Add running sums of ``values`` (and a 1-based ``rank_col``) in ``order``
     within ``by`` groups.  Ties in ``order`` must be broken by the caller (the
     last order column should be a unique key); the result then equals
@@ -72,6 +73,10 @@ def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, Column
     if uniform:
         bucket = F.least(F.floor(F.col(order[0]) * buckets).cast("int"), F.lit(buckets - 1))
     else:
+        # boundaries need a count and a sample of the input: write it once to
+        # the shared checkpoint folder so neither re-runs its upstream plan
+        from ..session import materialise
+        df = materialise(df, "rank-input")
         bucket = _sampled_bucket(df, order, buckets).cast("int")
     tmp = {name: f"__v_{i}" for i, name in enumerate(values)}
     base = df.withColumn("__bucket", bucket)
@@ -84,6 +89,7 @@ def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, Column
         *by, "__bucket",
         F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off_n"),
         *[F.coalesce(F.sum(f"{tmp[k]}_t").over(wb), F.lit(0)).alias(f"{tmp[k]}_o") for k in values],
+        *([F.sum("__n").over(Window.partitionBy(*by)).alias(total_col)] if total_col else []),
     ).cache()
     if offsets.count() <= OFFSETS_BROADCAST_MAX:
         offsets = F.broadcast(offsets)

@@ -431,3 +431,26 @@ WITH e AS ({ENCODE_FX1}),
 l AS ({' UNION ALL '.join(f"SELECT {i} AS pos, CAST(CAST({c} AS FLOAT) AS DOUBLE) AS x FROM e" for i, c in enumerate(['num_0', 'num_1', 'num_2', 'num_3', 'cat_0', 'cat_1', 'cat_2', 'cat_3', 'cat_4']))})
 SELECT CAST(pos AS BIGINT) AS pos, {R6('avg(x)')} AS mean FROM l GROUP BY pos""",
 })
+
+
+ORACLES.update({
+    "layout": f"""
+WITH fx AS {FX2},
+n AS (SELECT 'o_orderpriority' AS col, 1 AS pos, count(DISTINCT o_orderpriority) AS width FROM fx
+      UNION ALL SELECT 'c_mktsegment', 2, count(DISTINCT c_mktsegment) FROM fx
+      UNION ALL SELECT 'c_nation', 3, count(DISTINCT c_nation) FROM fx),
+o AS (SELECT col, width, 2 + coalesce(sum(width) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS "offset" FROM n),
+b AS (SELECT 'o_orderpriority' AS col, count(o_orderpriority) AS s FROM fx
+      UNION ALL SELECT 'c_mktsegment', count(c_mktsegment) FROM fx
+      UNION ALL SELECT 'c_nation', count(c_nation) FROM fx)
+SELECT o.col, CAST(o."offset" AS BIGINT) AS "offset", CAST(o.width AS BIGINT) AS width, CAST(b.s AS DOUBLE) AS block_sum
+FROM o JOIN b ON o.col = b.col""",
+    "drop_nan_rows": "SELECT event_id, CAST(value > 50 AS INTEGER) AS label FROM events WHERE event_id % 23 <> 0",
+    "profile_roundtrip": ORACLES["split_profile"],
+    "metrics_roundtrip": f"""
+WITH m AS (SELECT event_type, {R6('f1')} AS f1, {R6('accuracy')} AS accuracy, {R6('roc_auc')} AS roc_auc
+           FROM ({_binary_report_sql('event_type')}))
+SELECT event_type, 'f1' AS metric, f1 AS value FROM m UNION ALL SELECT event_type, 'accuracy', accuracy FROM m
+UNION ALL SELECT event_type, 'roc_auc', roc_auc FROM m""",
+})
