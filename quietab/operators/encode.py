@@ -24,16 +24,13 @@ from ..functions.arrays import (argmax, bit_width, bits_to_code, clip_code, code
                                 code_to_onehot)
 from ..functions.normal import quantile_forward, quantile_inverse
 from ..spec import TableSpec
-from .rank import global_rank
+from .rank import global_rank, running_totals
 
 INTEGRAL_TYPES = {"tinyint", "smallint", "int", "bigint"}
 #: dictionaries up to this size are collected and applied as literal maps
 DICT_LITERAL_MAX = 1_000
 #: dictionaries up to this size are collected (and broadcast when joined)
 DICT_COLLECT_MAX = 100_000
-#: ``percentile`` keeps a value->count map per group; above this many distinct
-#: values exact quantiles switch to the value-count + prefix-sum route
-PERCENTILE_DISTINCT_MAX = 1_000_000
 
 
 def _clean(c: str) -> Column:
@@ -62,8 +59,6 @@ def fit_numeric(df: DataFrame, cols, kind: str = "minmax", quantile_method: str
         x = _clean(c)
         aggs += [F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"),
                  F.stddev_pop(x).alias(f"sd{i}"), F.count(x).alias(f"n{i}")]
-        if kind == "quantile" and quantile_method == "exact":
-            aggs.append(F.approx_count_distinct(x).alias(f"d{i}"))
     r = df.agg(*aggs).first().asDict()
     params = {}
     for i, c in enumerate(cols):
@@ -74,7 +69,6 @@ def fit_numeric(df: DataFrame, cols, kind: str = "minmax", quantile_method: str
             p.update(scale=scale, offset=-1.0 - (mn if mn is not None else 0.0) * scale)
         elif kind == "standard":
             p.update(scale=_handle_zero(sd), mean=av if av is not None else 0.0)
-        p["distinct_estimate"] = r.get(f"d{i}")
         params[c] = p
     if kind == "quantile":
         _fit_quantiles(df, cols, params, quantile_method)
@@ -82,68 +76,77 @@ def fit_numeric(df: DataFrame, cols, kind: str = "minmax", quantile_method: str
 
 
 def _fit_quantiles(df, cols, params, method):
-    exact_small, exact_large = [], []
-    aggs = []
-    for i, c in enumerate(cols):
+    probs = {}
+    for c in cols:
         p = params[c]
         nq = n_quantiles(p["n"])
-        refs = np.linspace(0.0, 1.0, nq)
-        p["references"] = refs.tolist()
+        p["references"] = np.linspace(0.0, 1.0, nq).tolist()
         if p["n"] == 0:
             p["quantiles"] = [0.0] * nq
-            continue
-        probs = F.array(*[F.lit(float(v)) for v in refs])
-        if method == "approx":
-            aggs.append(F.percentile_approx(_clean(c), probs, 10000).alias(f"q{i}"))
-        elif (p.get("distinct_estimate") or 0) <= PERCENTILE_DISTINCT_MAX:
-            aggs.append(F.percentile(_clean(c), probs).alias(f"q{i}"))
-            exact_small.append(c)
         else:
-            exact_large.append(c)
-    if aggs:
-        r = df.agg(*aggs).first().asDict()
-        for i, c in enumerate(cols):
-            if f"q{i}" in r:
-                params[c]["quantiles"] = [float(v) for v in r[f"q{i}"]]
-    for c in exact_large:
-        params[c]["quantiles"] = exact_quantiles(df, c, params[c]["references"])
+            probs[c] = p["references"]
+    if probs and method == "approx":
+        aggs = [F.percentile_approx(_clean(c), F.array(*[F.lit(float(v)) for v in probs[c]]), 10000)
+                .alias(f"q{i}") for i, c in enumerate(probs)]
+        r = df.agg(*aggs).first()
+        for i, c in enumerate(probs):
+            params[c]["quantiles"] = [float(v) for v in r[f"q{i}"]]
+    elif probs:
+        got = exact_quantiles(df, probs, {c: params[c]["n"] for c in probs})
+        for c in probs:
+            params[c]["quantiles"] = got[c]
     for c in cols:
         q = np.maximum.accumulate(np.asarray(params[c]["quantiles"], dtype=np.float64))
         params[c]["quantiles"] = q.tolist()
 
 
-def exact_quantiles(df: DataFrame, col: str, probs) -> list[float]:
-    """Exact linear-interpolation quantiles without a per-group value map:
-    value counts -> bucketed running totals -> pick the two ranks around each
-    ``p * (n-1)`` via a bucketed equi-join (range join on rank)."""
-    x = _clean(col)
-    counts = df.select(x.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    cum = _running(counts)
-    n = cum.agg(F.max("cum").alias("n")).first()["n"]
-    if not n:
-        return [0.0] * len(probs)
-    ranks = sorted({int(np.floor(p * (n - 1))) for p in probs} | {int(np.ceil(p * (n - 1))) for p in probs})
-    width = max(1, n // max(len(ranks), 1))
+def exact_quantiles(df: DataFrame, probs: dict, counts: dict) -> dict:
+    """Exact linear-interpolation quantiles of several columns in one job,
+    with no per-column value map held by a single task:
+
+    unpivot -> value counts per (col, value) (map-side combined) -> global
+    running count over (col, value) with bucketed windows -> per column, the
+    ranks ``floor/ceil(p (n-1))`` are found by a bucketed equi-join of each
+    value's rank span [cum - c, cum) against the (small, broadcast) rank table.
+    ``counts`` holds each column's non-null, non-NaN row count."""
+    cols = sorted(probs)
+    start, acc = {}, 0
+    for c in cols:  # Spark orders the col names like Python str (code points)
+        start[c] = acc
+        acc += counts[c]
+    width = {c: max(1, counts[c] // max(len(probs[c]), 1)) for c in cols}
+    want = []
+    for c in cols:
+        n = counts[c]
+        rk = {int(np.floor(p * (n - 1))) for p in probs[c]} | {int(np.ceil(p * (n - 1))) for p in probs[c]}
+        want += [(c, r, r // width[c]) for r in sorted(rk)]
     spark = df.sparkSession
-    rk = spark.createDataFrame([(r, r // width) for r in ranks], "r long, b long")
-    spans = cum.select("v", (F.col("cum") - F.col("c")).alias("lo"), F.col("cum").alias("hi")) \
-        .withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width).cast("long"),
-                                              F.floor((F.col("hi") - 1) / width).cast("long"))))
-    hit = spans.join(F.broadcast(rk), "b").where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
-    at = {int(r["r"]): float(r["v"]) for r in hit.select("r", "v").collect()}
-    out = []
-    for p in probs:
-        h = p * (n - 1)
-        lo, hi = int(np.floor(h)), int(np.ceil(h))
-        out.append(at[lo] if hi == lo else (hi - h) * at[lo] + (h - lo) * at[hi])
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), _clean(c).alias("v")) for c in cols])
+    vc = df.select(F.explode(pairs).alias("kv")).select("kv.*").where("v is not null") \
+        .groupBy("col", "v").agg(F.count(F.lit(1)).alias("c"))
+    cum = running_totals(vc, ["col", "v"], {"cum": F.col("c")}, rank_col=None)
+    m_start = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(start[c]))])
+    m_width = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(width[c]))])
+    hi = F.col("cum") - F.element_at(m_start, F.col("col"))
+    spans = cum.select("col", "v", (hi - F.col("c")).alias("lo"), hi.alias("hi"),
+                       F.element_at(m_width, F.col("col")).alias("w"))
+    spans = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / F.col("w")).cast("long"),
+                                                       F.floor((F.col("hi") - 1) / F.col("w")).cast("long"))))
+    rk = spark.createDataFrame(want, "col string, r long, b long")
+    hit = spans.join(F.broadcast(rk), ["col", "b"]).where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+    at = {(r["col"], int(r["r"])): float(r["v"]) for r in hit.select("col", "r", "v").collect()}
+    out = {}
+    for c in cols:
+        n, vals = counts[c], []
+        for p in probs[c]:
+            h = p * (n - 1)
+            lo, hi_ = int(np.floor(h)), int(np.ceil(h))
+            a, b = at[(c, lo)], at[(c, hi_)]
+            vals.append(a if hi_ == lo else (hi_ - h) * a + (h - lo) * b)
+        out[c] = vals
     return out
 
 
-def _running(counts: DataFrame) -> DataFrame:
-    from .rank import running_totals
-    return running_totals(counts, ["v"], {"cum": F.col("c")}, rank_col=None)
-
-
 # --------------------------------------------------------------------------- fit: categorical
 
 def unpivot_values(df: DataFrame, cols) -> DataFrame:
