@@ -438,7 +438,9 @@ def _small_generator(steps=10):
 
 
 def _fx3_real_splits(spark, sf_dir):
+    from .session import materialise
     sp, spec = _split_fx3(spark, sf_dir)
+    sp = materialise(sp, "fx3-split")  # fit and three encodes read it: compute the split once
     train = sp.where("split = 'train'")
     enc = fit_encoder(train, spec, "minmax", "bits")
     e = lambda part: enc.encode(sp.where(F.col("split") == part),
