@@ -560,6 +560,17 @@ def q_metrics_roundtrip(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def q_quantile_encode_uniform(spark, sf_dir):
+    """H6 uniform stage: FX3 numerics through the fitted piecewise-linear CDF
+    (mean of forward and backward interpolation, so tied knots map to the
+    middle of their range), saturating at both ends."""
+    df, spec = fx.fx3(spark, sf_dir)
+    enc = fit_encoder(df, spec, "quantile", "bits", quantile_output="uniform")
+    flat = enc.flatten(enc.encode(df, keep=["event_id"]), keep=["event_id"])
+    return flat.select("event_id", F.col("num_0").cast("double").alias("num_0"),
+                       F.col("num_1").cast("double").alias("num_1"))
+
+
 QUERIES = {
     "encode_minmax_bits": q_encode_minmax_bits,
     "encoded_label_means": flagship,
@@ -608,4 +619,5 @@ QUERIES = {
     "drop_nan_rows": q_drop_nan_rows,
     "profile_roundtrip": q_profile_roundtrip,
     "metrics_roundtrip": q_metrics_roundtrip,
+    "quantile_encode_uniform": q_quantile_encode_uniform,
 }

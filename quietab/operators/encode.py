@@ -49,7 +49,8 @@ def _handle_zero(scale: float) -> float:
 
 # --------------------------------------------------------------------------- fit: numeric
 
-def fit_numeric(df: DataFrame, cols, kind: str = "minmax", quantile_method: str = "exact") -> dict:
+def fit_numeric(df: DataFrame, cols, kind: str = "minmax", quantile_method: str = "exact",
+                quantile_output: str = "normal") -> dict:
     """A7 / A8 / A9.  All columns in one aggregation; quantiles in a second."""
     cols = list(cols)
     if not cols:
@@ -71,6 +72,10 @@ def fit_numeric(df: DataFrame, cols, kind: str = "minmax", quantile_method: str
             p.update(scale=_handle_zero(sd), mean=av if av is not None else 0.0)
         params[c] = p
     if kind == "quantile":
+        if quantile_output not in ("normal", "uniform"):
+            raise ValueError(f"unknown quantile output: {quantile_output}")
+        for c in cols:
+            params[c]["output"] = quantile_output
         _fit_quantiles(df, cols, params, quantile_method)
     return params
 
@@ -235,10 +240,11 @@ class EncoderModel:
         if p["kind"] == "standard":
             return (x - F.lit(p["mean"])) / F.lit(p["scale"])
         q, refs = np.asarray(p["quantiles"]), np.asarray(p["references"])
+        normal = p.get("output", "normal") == "normal"
 
         @F.pandas_udf(T.DoubleType())
         def fwd(s: pd.Series) -> pd.Series:
-            return pd.Series(quantile_forward(s.to_numpy(dtype=np.float64, na_value=np.nan), q, refs))
+            return pd.Series(quantile_forward(s.to_numpy(dtype=np.float64, na_value=np.nan), q, refs, normal))
         return fwd(x)
 
     def code_expr(self, c: str) -> Column:
@@ -307,10 +313,11 @@ class EncoderModel:
             x = y * F.lit(p["scale"]) + F.lit(p["mean"])
         else:
             q, refs = np.asarray(p["quantiles"]), np.asarray(p["references"])
+            normal = p.get("output", "normal") == "normal"
 
             @F.pandas_udf(T.DoubleType())
             def inv(s: pd.Series) -> pd.Series:
-                return pd.Series(quantile_inverse(s.to_numpy(dtype=np.float64, na_value=np.nan), q, refs))
+                return pd.Series(quantile_inverse(s.to_numpy(dtype=np.float64, na_value=np.nan), q, refs, normal))
             x = inv(y)
         dt = self.dtypes.get(c)
         if dt in INTEGRAL_TYPES:
@@ -411,12 +418,12 @@ class EncoderModel:
 
 
 def fit_encoder(df: DataFrame, spec: TableSpec, num_kind: str = "minmax", cat_kind: str = "bits",
-                quantile_method: str = "exact") -> EncoderModel:
+                quantile_method: str = "exact", quantile_output: str = "normal") -> EncoderModel:
     if num_kind not in ("minmax", "standard", "quantile"):
         raise ValueError(f"unknown numeric encoder: {num_kind}")
     if cat_kind not in ("bits", "onehot"):
         raise ValueError(f"unknown categorical encoder: {cat_kind}")
-    params = fit_numeric(df, spec.num_cols, num_kind, quantile_method)
+    params = fit_numeric(df, spec.num_cols, num_kind, quantile_method, quantile_output)
     sizes, small, large = fit_dictionary(df, spec.cat_cols)
     dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in spec.feature_cols}
     raw = tuple(c for c in df.columns if c in spec.feature_cols)

@@ -454,3 +454,51 @@ WITH m AS (SELECT event_type, {R6('f1')} AS f1, {R6('accuracy')} AS accuracy, {R
 SELECT event_type, 'f1' AS metric, f1 AS value FROM m UNION ALL SELECT event_type, 'accuracy', accuracy FROM m
 UNION ALL SELECT event_type, 'roc_auc', roc_auc FROM m""",
 })
+
+
+def _quantile_uniform_sql() -> str:
+    """Knots exactly as fitted (linear interpolation between order statistics,
+    Spark's form), then numpy-interp semantics forward and backward."""
+    knots = []
+    for c in ("value", "user_id"):
+        knots.append(f"""
+(WITH v AS (SELECT CAST({c} AS DOUBLE) AS x, row_number() OVER (ORDER BY {c}) - 1 AS pos FROM events
+            WHERE {c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))),
+ n AS (SELECT count(*) AS n FROM v),
+ nq AS (SELECT least(greatest(least(n // 30, 1000), 10), n) AS nq, n FROM n),
+ r AS (SELECT i AS idx, CASE WHEN i = nq - 1 THEN 1.0 ELSE i * (1.0 / (nq - 1)) + 0.0 END AS ref, n, nq
+       FROM nq, range(0, nq) t(i)),
+ h AS (SELECT idx, ref, nq, ref * (n - 1) AS h, CAST(floor(ref * (n - 1)) AS BIGINT) AS lo,
+              CAST(ceil(ref * (n - 1)) AS BIGINT) AS hi FROM r)
+ SELECT '{c}' AS col, idx, nq AS m, ref AS r,
+        CASE WHEN h.hi = h.lo THEN a.x ELSE (h.hi - h.h) * a.x + (h.h - h.lo) * b.x END AS q
+ FROM h JOIN v a ON a.pos = h.lo JOIN v b ON b.pos = h.hi)""")
+    cols = []
+    for i, c in enumerate(("value", "user_id")):
+        x = f"CAST(e.{c} AS DOUBLE)"
+        k = f"(SELECT * FROM kn WHERE col = '{c}')"
+        cle = f"(SELECT count(*) FROM kn WHERE col = '{c}' AND q <= {x})"
+        clt = f"(SELECT count(*) FROM kn WHERE col = '{c}' AND q < {x})"
+        cols.append(f"""
+  (SELECT CAST(CAST(
+     CASE WHEN {x} - 1e-7 < k0.q THEN 0.0 WHEN {x} + 1e-7 > kl.q THEN 1.0 ELSE 0.5 * (
+       (CASE WHEN f.j < 0 THEN 0.0 WHEN f.j >= kl.idx OR {x} = kl.q THEN 1.0 WHEN {x} = f.qj THEN f.rj
+             ELSE ((f.rj1 - f.rj) / (f.qj1 - f.qj)) * ({x} - f.qj) + f.rj END)
+       - (CASE WHEN g.b >= kl.idx + 1 THEN -1.0 WHEN g.b = 0 OR {x} = k0.q THEN -0.0 WHEN {x} = g.qb THEN -g.rb
+               ELSE ((g.rb - g.ra) / (g.qb - g.qa)) * (g.qb - {x}) - g.rb END)) END
+   AS FLOAT) AS DOUBLE)
+   FROM (SELECT * FROM {k} WHERE idx = 0) k0,
+        (SELECT * FROM {k} WHERE idx = m - 1) kl,
+        (SELECT {cle} - 1 AS j, max(CASE WHEN idx = {cle} - 1 THEN q END) AS qj,
+                max(CASE WHEN idx = {cle} - 1 THEN r END) AS rj, max(CASE WHEN idx = {cle} THEN q END) AS qj1,
+                max(CASE WHEN idx = {cle} THEN r END) AS rj1 FROM {k}) f,
+        (SELECT {clt} AS b, max(CASE WHEN idx = {clt} THEN q END) AS qb, max(CASE WHEN idx = {clt} THEN r END) AS rb,
+                max(CASE WHEN idx = {clt} - 1 THEN q END) AS qa, max(CASE WHEN idx = {clt} - 1 THEN r END) AS ra
+         FROM {k}) g) AS num_{i}""")
+    return f"""
+WITH kn AS ({' UNION ALL '.join(knots)})
+SELECT e.event_id, {', '.join(cols)}
+FROM events e"""
+
+
+ORACLES["quantile_encode_uniform"] = _quantile_uniform_sql()
