@@ -276,13 +276,14 @@ def q_gaussian_kl(spark, sf_dir):
 
 def q_log_likelihood(spark, sf_dir):
     """Discretised Gaussian log-likelihood of min-max encoded values per event type."""
-    from pyspark.sql import Window
     from .operators.stats import mean_log_likelihood
     df, spec, enc, e = _fx3_encoded(spark, sf_dir)
     t = e.join(df.select("event_id", "event_type"), "event_id").select(
         "event_type", F.col("features")[0].cast("double").alias("x"))
-    w = Window.partitionBy("event_type")
-    t = t.withColumns({"mu": F.avg("x").over(w), "ls": F.log(F.stddev_pop("x").over(w))})
+    # per-type moments as a grouped aggregate joined back (one row per type), not a
+    # window that would hold a whole type in one task
+    mom = t.groupBy("event_type").agg(F.avg("x").alias("mu"), F.log(F.stddev_pop("x")).alias("ls"))
+    t = t.join(mom, "event_type")
     r = mean_log_likelihood(t, "x", "mu", "ls", by=["event_type"])
     return r.select("event_type", r6("mean_log_likelihood").alias("mean_log_likelihood"), "n")
 
