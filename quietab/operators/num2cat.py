@@ -33,7 +33,14 @@ def low_cardinality_mapping(df: DataFrame, threshold: int = 15) -> dict:
     num_cols = [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
     if not num_cols:
         return {}
-    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in num_cols])
+    # cheap HLL pass first: a column estimated far above the threshold cannot
+    # convert, so only plausible columns go through the exact distinct
+    est = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), 0.01).alias(f"e{i}")
+                   for i, c in enumerate(num_cols)]).first()
+    cand = [c for i, c in enumerate(num_cols) if est[f"e{i}"] <= 2 * threshold + 10]
+    if not cand:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cand])
     long = df.select(F.explode(pairs).alias("kv")).select("kv.*").where("v is not null and not isnan(v)")
     distinct = long.distinct().persist()
     stats = {r["col"]: (r["n"], r["integral"]) for r in distinct.groupBy("col").agg(
