@@ -572,6 +572,20 @@ def q_quantile_encode_uniform(spark, sf_dir):
                        F.col("num_1").cast("double").alias("num_1"))
 
 
+def q_utility_raw_gbt(spark, sf_dir):
+    """M3: boosted trees on raw mixed FX5 columns (documents x labels), string-indexed
+    categoricals, validation early stopping, after a stratified split on quality."""
+    from .operators.split import stratified_split
+    from .plans.evaluate import evaluate_raw
+    df, spec = fx.fx5(spark, sf_dir)
+    sp = stratified_split(df, "quality", "doc_id", seed=42)
+    lab = LabelModel.fit(sp.where("split = 'train'"), "quality", "binclass")
+    parts = {s: sp.where(F.col("split") == s) for s in ("train", "val", "test")}
+    m = evaluate_raw(parts["train"], parts["val"], parts["test"], spec, lab, ("gbt", "tree"),
+                     params={"gbt": {"iterations": 50}})
+    return m.select("model", "split", "metric", r6("value").alias("value"))
+
+
 QUERIES = {
     "encode_minmax_bits": q_encode_minmax_bits,
     "encoded_label_means": flagship,
@@ -621,4 +635,5 @@ QUERIES = {
     "profile_roundtrip": q_profile_roundtrip,
     "metrics_roundtrip": q_metrics_roundtrip,
     "quantile_encode_uniform": q_quantile_encode_uniform,
+    "utility_raw_gbt": q_utility_raw_gbt,
 }

@@ -98,3 +98,14 @@ def test_pipeline_real_and_synthetic(spark):
     assert out["synthetic"].count() == 100
     assert all(0 <= r["value"] <= 1 for r in out["metrics"].collect() if r["value"] is not None)
     assert {e["name"] for e in out["ledger"].entries} >= {"dp_histogram", "dp_sgd", "encoder_state"}
+
+
+def test_raw_column_utility_multiclass(spark):
+    from quietab.operators.split import stratified_split
+    from quietab.plans.evaluate import evaluate_raw
+    df, spec = fx.fx2(spark, SF_SMALL)
+    sp = stratified_split(df, spec.label, "o_orderkey", seed=1)
+    lab = LabelModel.fit(sp.where("split = 'train'"), spec.label, "multiclass")
+    m = evaluate_raw(sp.where("split = 'train'"), sp.where("split = 'val'"), sp.where("split = 'test'"),
+                     spec, lab, ("tree",)).collect()
+    assert len(m) == 9 and all(r["value"] is None or 0 <= r["value"] <= 1 for r in m)
