@@ -277,9 +277,9 @@ def q_gaussian_kl(spark, sf_dir):
 def q_log_likelihood(spark, sf_dir):
     """Discretised Gaussian log-likelihood of min-max encoded values per event type."""
     from .operators.stats import mean_log_likelihood
-    df, spec, enc, e = _fx3_encoded(spark, sf_dir)
-    t = e.join(df.select("event_id", "event_type"), "event_id").select(
-        "event_type", F.col("features")[0].cast("double").alias("x"))
+    df, spec = fx.fx3(spark, sf_dir)
+    enc = fit_encoder(df, spec, "minmax", "bits")
+    t = enc.encode(df, keep=["event_type"]).select("event_type", F.col("features")[0].cast("double").alias("x"))
     # per-type moments as a grouped aggregate joined back (one row per type), not a
     # window that would hold a whole type in one task
     mom = t.groupBy("event_type").agg(F.avg("x").alias("mu"), F.log(F.stddev_pop("x")).alias("ls"))

@@ -42,6 +42,11 @@ def macro_f1(df: DataFrame, y: str, pred: str, by=()) -> DataFrame:
     """Per-class F1 over the union of true and predicted labels, averaged."""
     by = list(by)
     cm = df.groupBy(*by, y, pred).agg(F.count(F.lit(1)).alias("n"))
+    return macro_f1_from_counts(cm, y, pred, by)
+
+
+def macro_f1_from_counts(cm: DataFrame, y: str, pred: str, by=()) -> DataFrame:
+    by = list(by)
     as_true = cm.groupBy(*by, F.col(y).alias("cls")).agg(
         F.sum(F.when(F.col(y) == F.col(pred), F.col("n")).otherwise(0)).alias("tp"),
         F.sum("n").alias("n_true"))
@@ -82,29 +87,44 @@ def roc_auc_ovr(df: DataFrame, y: str, probs: str, by=()) -> DataFrame:
 
 
 def _grouped(df: DataFrame, by):
-    """Ungrouped metrics run as one constant group so results join on a key."""
+    """Ungrouped metrics run as one constant group."""
     by = list(by)
     if by:
         return df, by, by
     return df.withColumn("__all", F.lit(0)), ["__all"], []
 
 
+def _combine(parts, by, cols):
+    """Side-by-side columns of per-group metric tables without a join: union
+    (missing columns null) and one small group-by.  Ungrouped (one-row) tables
+    would otherwise be joined on a constant, which plans as a cross join."""
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    return u.groupBy(*by).agg(*[F.max(c).alias(c) for c in cols])
+
+
 def binary_report(df: DataFrame, y: str, score: str, by=(), threshold: float = 0.5) -> DataFrame:
     """f1 / accuracy / roc_auc per group for a binary prediction table."""
     df, gb, out = _grouped(df, by)
     p = df.withColumn("__pred", predict_label(F.col(score), threshold))
     a = accuracy_f1(p, y, "__pred", gb)
     r = roc_auc(df, y, score, gb)
-    return a.join(r, on=gb, how="inner").select(*out, "f1", "accuracy", "roc_auc")
+    return _combine([a, r], gb, ["f1", "accuracy", "roc_auc"]).select(*out, "f1", "accuracy", "roc_auc")
 
 
 def multiclass_report(df: DataFrame, y: str, probs: str, by=()) -> DataFrame:
+    """macro F1 / accuracy / one-vs-rest ROC-AUC per group; accuracy comes from
+    the same confusion counts as F1 (one pass over the predictions)."""
     df, gb, out = _grouped(df, by)
     p = df.withColumn("__pred", predict_class(F.col(probs)))
-    f1 = macro_f1(p, y, "__pred", gb)
-    acc = p.groupBy(*gb).agg(F.avg((F.col(y) == F.col("__pred")).cast("double")).alias("accuracy"))
+    cm = p.groupBy(*gb, y, "__pred").agg(F.count(F.lit(1)).alias("n")).cache()
+    f1 = macro_f1_from_counts(cm, y, "__pred", gb)
+    acc = cm.groupBy(*gb).agg((F.sum(F.when(F.col(y) == F.col("__pred"), F.col("n")).otherwise(0))
+                               / F.sum("n")).alias("accuracy"))
     auc = roc_auc_ovr(df, y, probs, gb)
-    return f1.join(acc, gb).join(auc, gb).select(*out, F.col("f1_macro").alias("f1"), "accuracy", "roc_auc")
+    res = _combine([f1, acc, auc], gb, ["f1_macro", "accuracy", "roc_auc"])
+    return res.select(*out, F.col("f1_macro").alias("f1"), "accuracy", "roc_auc")
 
 
 def best_threshold(df: DataFrame, y: str, score: str, by=(), compat: bool = False) -> DataFrame:

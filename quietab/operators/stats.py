@@ -55,10 +55,9 @@ def norm_stats(df: DataFrame, vec: str, by=(), q: float = 0.5) -> DataFrame:
     quant = grouped_quantiles(d, "__norm", by, [q], [qname])
     mom = d.groupBy(*by).agg(F.avg("__norm").alias("mean"), F.stddev_pop("__norm").alias("std"),
                              F.max("__norm").alias("max"), F.min("__norm").alias("min"))
-    if not by:  # both sides are one row: join on a constant key
-        quant, mom = quant.withColumn("__g", F.lit(0)), mom.withColumn("__g", F.lit(0))
-        return quant.join(mom, "__g").select(qname, "mean", "std", "max", "min")
-    return quant.join(mom, by).select(*by, qname, "mean", "std", "max", "min")
+    # side by side without a join (a one-row join on a constant plans as a cross join)
+    u = quant.unionByName(mom, allowMissingColumns=True)
+    return u.groupBy(*by).agg(*[F.max(c).alias(c) for c in (qname, "mean", "std", "max", "min")])
 
 
 def loss_rollup(log: DataFrame, k: str = "k", loss: str = "loss", n: str = "n", every: int = 10,
