@@ -20,7 +20,6 @@ sys.path.insert(0, ROOT)
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    from pyspark.sql import functions as F
 
     from quietab import catalog as cat
     from quietab import fixtures as fx

@@ -28,10 +28,6 @@ def default_buckets(df: DataFrame) -> int:
     return max(16, 4 * sp)
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def _sampled_bucket(df: DataFrame, order: Sequence[str], buckets: int) -> Column:
     n = df.count()
     if n == 0 or buckets <= 1:

@@ -1,7 +1,6 @@
 """Code paths that only large inputs take, forced on small data."""
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quietab import fixtures as fx
 from quietab.operators import encode as encmod
