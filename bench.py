@@ -60,7 +60,7 @@ def main():
                  "minibatches", "exactly_n", "knn_join", "knn_classify", "num2cat", "decode_noisy_clip"):
         run(name, lambda n=name: cat.QUERIES[n](spark, sf_dir))
 
-    # M1: DP-SGD steps on encoded FX3 train (reference-sized denoiser, 500 timesteps)
+    # M1: DP-SGD steps on encoded FX3 train (512/256 denoiser, 500 timesteps)
     enc3, tr, va, te = cat._fx3_real_splits(spark, sf_dir)
     tr = tr.cache()
     n_train = tr.count()
