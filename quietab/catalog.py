@@ -490,12 +490,12 @@ def q_synthetic_rows(spark, sf_dir):
     return dec
 
 
-def q_pipeline_metrics(spark, sf_dir):
+def q_end_to_end_metrics(spark, sf_dir):
     """Split -> encode -> DP histogram -> DP fit -> generate -> utility on real val/test."""
-    from .plans.pipeline import PipelineConfig, run_pipeline
+    from .plans.end_to_end import EndToEndConfig, run_end_to_end
     df, spec = fx.fx3(spark, sf_dir)
-    cfg = PipelineConfig(generator=_small_generator(), hist_seed=17, eval_models=("tree", "logistic"))
-    out = run_pipeline(df, spec, cfg)
+    cfg = EndToEndConfig(generator=_small_generator(), hist_seed=17, eval_models=("tree", "logistic"))
+    out = run_end_to_end(df, spec, cfg)
     return out["metrics"].select("model", "split", "metric", r6("value").alias("value"))
 
 
@@ -628,7 +628,7 @@ QUERIES = {
     "utility_models": q_utility_models,
     "generator_loss": q_generator_loss,
     "synthetic_rows": q_synthetic_rows,
-    "pipeline_metrics": q_pipeline_metrics,
+    "end_to_end_metrics": q_end_to_end_metrics,
     "sweep_best": q_sweep_best,
     "layout": q_layout,
     "drop_nan_rows": q_drop_nan_rows,

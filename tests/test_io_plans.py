@@ -1,4 +1,4 @@
-"""Sources/sinks, table spec, label model, DP pieces, sweep and pipeline."""
+"""Sources/sinks, table spec, label model, DP pieces, sweep and the end-to-end job."""
 import math
 
 import pytest
@@ -8,7 +8,7 @@ from quietab import fixtures as fx
 from quietab.operators.label import LabelModel
 from quietab.operators.private import Ledger, dp_histogram, gaussian_sigma
 from quietab.plans.generator import GeneratorConfig
-from quietab.plans.pipeline import PipelineConfig, run_pipeline
+from quietab.plans.end_to_end import EndToEndConfig, run_end_to_end
 from quietab.plans.sweep import draw_params
 from quietab.sources.tables import read_profile, read_table, training_view, write_profile, write_table
 from quietab.spec import TableSpec, infer_task, trim_headers
@@ -88,13 +88,13 @@ def test_sweep_draws(spark):
     assert len({r["depth"] for r in t}) == 4
 
 
-def test_pipeline_real_and_synthetic(spark):
+def test_end_to_end_real_and_synthetic(spark):
     df, spec = fx.fx3(spark, SF_SMALL)
-    out = run_pipeline(df, spec, PipelineConfig(eval_type="real", hist_seed=1, eval_models=("tree",)))
+    out = run_end_to_end(df, spec, EndToEndConfig(eval_type="real", hist_seed=1, eval_models=("tree",)))
     m = {(r["split"], r["metric"]): r["value"] for r in out["metrics"].collect()}
     assert m[("test", "accuracy")] > 0.9
     gen = GeneratorConfig(d_layers=(16,), dim_t=8, num_timesteps=10, steps=2, sample_rate=0.3, noise_seed=1)
-    out = run_pipeline(df, spec, PipelineConfig(generator=gen, hist_seed=1, n_samples=100, eval_models=("tree",)))
+    out = run_end_to_end(df, spec, EndToEndConfig(generator=gen, hist_seed=1, n_samples=100, eval_models=("tree",)))
     assert out["synthetic"].count() == 100
     assert all(0 <= r["value"] <= 1 for r in out["metrics"].collect() if r["value"] is not None)
     assert {e["name"] for e in out["ledger"].entries} >= {"dp_histogram", "dp_sgd", "encoder_state"}

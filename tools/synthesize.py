@@ -44,7 +44,7 @@ def main(argv=None):
     a = ap.parse_args(argv)
 
     from quietab.plans.generator import GeneratorConfig
-    from quietab.plans.pipeline import PipelineConfig, run_pipeline
+    from quietab.plans.end_to_end import EndToEndConfig, run_end_to_end
     from quietab.session import get_session
     from quietab.sources.tables import read_table, write_metrics, write_table
     from quietab.spec import TableSpec
@@ -55,10 +55,10 @@ def main(argv=None):
     gen = GeneratorConfig(d_layers=tuple(int(x) for x in a.layers.split(",") if x), num_timesteps=a.timesteps,
                           steps=a.steps, sample_rate=a.sample_rate, sigma=a.sigma, clip=a.clip, k=a.k, lr=a.lr,
                           dp=not a.no_dp)
-    cfg = PipelineConfig(num_kind=a.num_encoder, cat_kind=a.cat_encoder, generator=gen, n_samples=a.samples,
+    cfg = EndToEndConfig(num_kind=a.num_encoder, cat_kind=a.cat_encoder, generator=gen, n_samples=a.samples,
                          eval_models=tuple(m for m in a.eval.split(",") if m),
                          eval_type="real" if a.eval_real else "synthetic")
-    out = run_pipeline(df, spec, cfg)
+    out = run_end_to_end(df, spec, cfg)
     write_table(out["splits"], os.path.join(a.out, "splits"), "parquet", partition_by="split")
     write_metrics(out["metrics"], os.path.join(a.out, "metrics"), "json")
     out["ledger"].to_df(spark).write.mode("overwrite").json(os.path.join(a.out, "ledger"))
