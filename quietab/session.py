@@ -65,3 +65,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan sizing for a job reading ``input_bytes`` on ``total_cores``.
+
+    Initial shuffle partitions are sized so each holds ~``target_partition_bytes``
+    of the input (at least 2 per core); AQE then coalesces small ones and splits
+    skewed ones towards the same advisory size.  Scan splits use the same target.
+    At 100 TB this gives ~400k initial shuffle partitions of ~256 MB, each far
+    below executor memory, so sorts and aggregations spill gracefully.
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+
+
+def apply_scale_conf(spark: SparkSession, input_paths, total_cores: int | None = None) -> dict:
+    """Size the session for the given input files (sizes from the file system)."""
+    jvm = spark.sparkContext._jvm
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in input_paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(hconf).getContentSummary(path).getLength()
+    cores = total_cores or spark.sparkContext.defaultParallelism
+    conf = scale_conf(total, cores)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

@@ -130,3 +130,10 @@ def test_sample_only_run_from_saved_state(spark, tmp_path):
     _, dec = gen2.generate(spark, 50, seed=2, encoder=enc2, label_model=lab2)
     rows = dec.collect()
     assert len(rows) == 50 and {r["label"] for r in rows} <= {0, 1}
+
+
+def test_scale_conf_sizes_partitions(spark):
+    from quietab.session import scale_conf
+    c = scale_conf(100 * 10 ** 12, 8000)  # 100 TB on 1000 executors x 8 cores
+    assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (256 << 20))
+    assert int(scale_conf(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 16
