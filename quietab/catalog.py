@@ -314,12 +314,11 @@ def q_forward_noise(spark, sf_dir):
 def q_reverse_step(spark, sf_dir):
     """One ancestral reverse step from each noised draw, given its noise
     as the prediction and fresh seeded noise z."""
-    from .functions.rand import gauss
     from .operators.schedule import reverse_step
     d, sched = _forward_draws(spark, sf_dir)
-    z = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: gauss(4, F.col("event_id"), F.col("draw"), j))
-    d = d.withColumn("z", z)
-    r = reverse_step(d, sched, "x_t", "t", "noise", "z", "x_prev")
+    from .functions.rand import gauss_vector
+    d = d.withColumn("z", gauss_vector(4, 5, F.col("event_id"), F.col("draw")))
+    r = reverse_step(d, sched, "x_t", "t", "noise", "z", "x_prev", dim=5)
     return r.select("event_id", "draw", "t", *[r4(F.col("x_prev")[j]).alias(f"xp_{j}") for j in range(5)])
 
 

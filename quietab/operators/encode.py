@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrays import (argmax, bit_width, bits_to_code, clip_code, code_to_bits,
+from ..functions.arrays import (UNROLL_MAX, argmax, bit_width, bits_to_code, clip_code, code_to_bits,
                                 code_to_onehot)
 from ..functions.normal import quantile_forward, quantile_inverse
 from ..spec import TableSpec
@@ -320,8 +320,8 @@ class EncoderModel:
                 return pd.Series(quantile_inverse(s.to_numpy(dtype=np.float64, na_value=np.nan), q, refs, normal))
             x = inv(y)
         dt = self.dtypes.get(c)
-        if dt in INTEGRAL_TYPES:
-            return F.bround(x, 0).cast(dt)
+        if dt in INTEGRAL_TYPES:  # half-even to an integer: rint (exact), not a decimal round trip
+            return F.rint(x).cast(dt)
         return x.cast(dt) if dt else x
 
     def decoded_codes(self, df: DataFrame, features: str = "features") -> DataFrame:
@@ -330,8 +330,12 @@ class EncoderModel:
         for row in self.layout:
             if row["kind"] != "cat":
                 continue
-            block = F.slice(F.col(features), row["offset"] + 1, row["width"])
-            cols[f"__raw_{row['col']}"] = bits_to_code(block) if self.cat_kind == "bits" else argmax(block)
+            if self.cat_kind == "bits" and row["width"] <= UNROLL_MAX:  # index the vector, no slice copies
+                code = bits_to_code([F.col(features)[row["offset"] + j] for j in range(row["width"])])
+            else:
+                block = F.slice(F.col(features), row["offset"] + 1, row["width"])
+                code = bits_to_code(block, row["width"]) if self.cat_kind == "bits" else argmax(block)
+            cols[f"__raw_{row['col']}"] = code
         return df.withColumns(cols) if cols else df
 
     def valid_predicate(self) -> Column:
