@@ -56,8 +56,17 @@ def draw_timestep(num_timesteps: int, uniform: Column) -> Column:
 
 
 def gauss_vector(seed, dim: int, *keys) -> Column:
-    """``dim`` independent normals as an array, element j keyed by (keys, j)."""
-    return F.array(*[gauss(seed, *keys, j) for j in range(dim)])
+    """``dim`` independent normals as an array from ceil(dim/2) uniform pairs:
+    element 2p is r*cos(theta_p), element 2p+1 is r*sin(theta_p), with
+    r = sqrt(-2 ln(1 - u(seed, keys, p, 0))) and theta = 2 pi u(seed, keys, p, 1)."""
+    out = []
+    for p in range((dim + 1) // 2):
+        r = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u(seed, *keys, p, 0)))
+        th = F.lit(2.0 * math.pi) * u(seed, *keys, p, 1)
+        out.append(r * F.cos(th))
+        if 2 * p + 1 < dim:
+            out.append(r * F.sin(th))
+    return F.array(*out)
 
 
 # ----------------------------------------------------------------------------- fast variants

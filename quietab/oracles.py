@@ -17,6 +17,17 @@ def U(seed, *keys: str) -> str:
     return f"(CAST(('0x' || substr(md5({s}), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
 
 
+def GAUSS_VEC(seed, dim: int, *keys: str) -> list[str]:
+    """Element j of ``quietab.functions.rand.gauss_vector`` (Box-Muller pairs)."""
+    out = []
+    for j in range(dim):
+        p = j // 2
+        r = f"sqrt(-2.0 * ln(1.0 - {U(seed, *keys, str(p), '0')}))"
+        th = f"(2.0 * pi() * {U(seed, *keys, str(p), '1')})"
+        out.append(f"({r} * {'cos' if j % 2 == 0 else 'sin'}{th})")
+    return out
+
+
 def GAUSS(seed, *keys: str) -> str:
     u1 = U(seed, *keys, "0")
     u2 = U(seed, *keys, "1")
@@ -348,7 +359,7 @@ SCHEDULE = f"""
 def _draws_sql(seed: int, k: int, tdraw: str | None = None) -> str:
     """Forward draws over encoded FX3: one row per (event, draw) with t, noise n_j, x_t xt_j."""
     t = tdraw or f"CAST(floor({U(seed, 'event_id', 'draw', chr(39) + 't' + chr(39))} * 500) AS BIGINT)"
-    noise = [f"{GAUSS(seed, 'event_id', 'draw', str(j))} AS n{j}" for j in range(5)]
+    noise = [f"{g} AS n{j}" for j, g in enumerate(GAUSS_VEC(seed, 5, 'event_id', 'draw'))]
     xt = [f"s.sab * f{j} + s.s1mab * n{j} AS xt{j}" for j in range(5)]
     return f"""
 WITH {_fx3_features_cte()},
@@ -382,7 +393,7 @@ SELECT event_id, draw, t, {', '.join(R6(f'xt{j}') + f' AS xt_{j}' for j in range
        {R6('1.0 - ab')} AS q_variance FROM dr""",
     "reverse_step": _draws_sql(3, 3) + f""",
 rs AS (SELECT dr.event_id, dr.draw, dr.t, s.coef1, s.coef2, s.srab, s.srm1ab, s.mlv,
-              {', '.join(f'xt{j}, n{j}, {GAUSS(4, "dr.event_id", "dr.draw", str(j))} AS z{j}' for j in range(5))}
+              {', '.join(f'xt{j}, n{j}, {g} AS z{j}' for j, g in enumerate(GAUSS_VEC(4, 5, "dr.event_id", "dr.draw")))}
        FROM dr JOIN sched s ON dr.t = s.t)
 SELECT event_id, draw, t, {', '.join(R4(f"coef1 * (srab * xt{j} - srm1ab * n{j}) + coef2 * xt{j} + (CASE WHEN t <> 0 THEN exp(0.5 * mlv) ELSE 0.0 END) * z{j}") + f' AS xp_{j}' for j in range(5))}
 FROM rs""",
