@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax
-from .rank import running_totals
+from .rank import approx_bounds, default_buckets, running_totals
 
 
 def predict_label(score: Column, threshold: float = 0.5) -> Column:
@@ -69,7 +69,8 @@ def roc_auc(df: DataFrame, y: str, score: str, by=(), positive=1) -> DataFrame:
     pos = (F.col(y) == F.lit(positive)).cast("long")
     g = df.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(
         F.sum(pos).alias("__pos"), F.sum(1 - pos).alias("__neg"))
-    run = running_totals(g, ["__s"], {"__neg_le": F.col("__neg")}, by=by, rank_col=None)
+    bounds = approx_bounds(df, score, default_buckets(df))
+    run = running_totals(g, ["__s"], {"__neg_le": F.col("__neg")}, by=by, rank_col=None, bounds=bounds)
     contrib = F.col("__pos") * (F.col("__neg_le") - F.col("__neg") + F.col("__neg") / 2.0)
     t = run.groupBy(*by).agg(F.sum(contrib).alias("__num"), F.sum("__pos").alias("__P"),
                             F.sum("__neg").alias("__N"))
@@ -137,7 +138,9 @@ def best_threshold(df: DataFrame, y: str, score: str, by=(), compat: bool = Fals
         F.sum(pos).alias("__pos"), F.sum(1 - pos).alias("__neg"))
     # running counts in descending score order == ascending order of -score
     g = g.withColumn("__ns", -F.col("__s"))
-    run = running_totals(g, ["__ns"], {"tp": F.col("__pos"), "fp": F.col("__neg")}, by=by, rank_col="__r")
+    bounds = [-b for b in reversed(approx_bounds(df, score, default_buckets(df)))]
+    run = running_totals(g, ["__ns"], {"tp": F.col("__pos"), "fp": F.col("__neg")}, by=by, rank_col="__r",
+                         bounds=bounds)
     tot = run.groupBy(*by).agg(F.sum("__pos").alias("__P"))
     j = run.join(F.broadcast(tot), on=by, how="inner")
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))

@@ -8,8 +8,10 @@ work is spread over ``groups x buckets`` tasks and recomputation after a lost
 executor lands every row in the same bucket again.
 
 Boundaries come from the order column itself when it is a seeded uniform in
-[0, 1) (``uniform=True``: ``floor(u * B)``, perfectly balanced), otherwise from
-a bounded sample of the order tuple, sorted by Spark.
+[0, 1) (``uniform=True``: ``floor(u * B)``, perfectly balanced), from the
+caller (``bounds``, e.g. one ``percentile_approx`` pass), or from a bounded
+sample of the order tuple, sorted by Spark.  A row finds its bucket through a
+balanced CASE tree over the literal boundaries.
 """
 
 from __future__ import annotations
@@ -23,57 +25,94 @@ from pyspark.sql import functions as F
 OFFSETS_BROADCAST_MAX = 1_000_000
 
 
-def default_buckets(df: DataFrame) -> int:
+#: literal boundaries (sampled or approximate) per ordering; uniform orders scale freely
+LITERAL_BUCKETS_MAX = 4096
+
+
+def default_buckets(df: DataFrame, literal: bool = True) -> int:
+    """~4 buckets per shuffle partition; at most LITERAL_BUCKETS_MAX when the
+    boundaries are literals (they become a CASE tree and a percentile list)."""
     sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(16, 4 * sp)
+    b = max(16, 4 * sp)
+    return min(b, LITERAL_BUCKETS_MAX) if literal else b
+
+
+def _bucket_expr(bounds: list, order: Sequence[str]) -> Column:
+    """Number of (strictly increasing) boundary tuples <= the row's order tuple,
+    as a balanced CASE tree: ~log2(B) comparisons, compiled by codegen (a
+    ``filter`` over a literal array would run interpreted, B comparisons)."""
+    if not bounds:
+        return F.lit(0)
+    if len(order) == 1:
+        x = F.col(order[0])
+        lits = [F.lit(b[0] if isinstance(b, (tuple, list)) else b) for b in bounds]
+    else:
+        x = F.struct(*[F.col(c).alias(f"c{j}") for j, c in enumerate(order)])
+        lits = [F.struct(*[F.lit(v).alias(f"c{j}") for j, v in enumerate(b)]) for b in bounds]
+
+    def upper(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < lits[mid], upper(lo, mid)).otherwise(upper(mid + 1, hi))
 
+    tree = upper(0, len(lits))
+    return F.when(x.isNull(), F.lit(0)).otherwise(tree) if len(order) == 1 else tree
 
-def _sampled_bucket(df: DataFrame, order: Sequence[str], buckets: int) -> Column:
+
+def _sampled_bounds(df: DataFrame, order: Sequence[str], buckets: int) -> list:
     n = df.count()
     if n == 0 or buckets <= 1:
-        return F.lit(0)
+        return []
     frac = min(1.0, buckets * 64 / n)
     rows = (df.select(*order).sample(False, frac, seed=20231).na.drop()
             .orderBy(*order).collect())
     if not rows:
-        return F.lit(0)
+        return []
     step = len(rows) / buckets
     bounds = []
     for i in range(1, buckets):
-        r = rows[min(len(rows) - 1, int(i * step))]
-        if not bounds or tuple(r) != tuple(bounds[-1]):
+        r = tuple(rows[min(len(rows) - 1, int(i * step))])
+        if not bounds or r != bounds[-1]:
             bounds.append(r)
-    if len(order) == 1:
-        arr = F.array(*[F.lit(b[0]) for b in bounds])
-        x = F.col(order[0])
-    else:
-        arr = F.array(*[F.struct(*[F.lit(v).alias(f"c{j}") for j, v in enumerate(b)])
-                        for b in bounds])
-        x = F.struct(*[F.col(c).alias(f"c{j}") for j, c in enumerate(order)])
-    return F.size(F.filter(arr, lambda b: b <= x))
+    return bounds
+
+
+def approx_bounds(df: DataFrame, col: str, buckets: int) -> list:
+    """Equal-frequency boundaries of a numeric column from one bounded-memory
+    ``percentile_approx`` pass (no count, no sample, nothing materialised)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    vals = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10000)).first()[0] or []
+    out = []
+    for v in vals:
+        if v is not None and (not out or v > out[-1]):
+            out.append(v)
+    return out
 
 
 def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, Column] | None = None,
                    by: Sequence[str] = (), buckets: int | None = None, uniform: bool = False,
                    rank_col: str | None = "rank", inclusive: bool = True,
-                   total_col: str | None = None) -> DataFrame:
+                   total_col: str | None = None, bounds: list | None = None) -> DataFrame:
     """Add running sums of ``values`` (and a 1-based ``rank_col``) in ``order``
     within ``by`` groups.  Ties in ``order`` must be broken by the caller (the
     last order column should be a unique key); the result then equals
     ``sum(v) over (partition by by order by order rows unbounded preceding)``.
     """
     values = dict(values or {})
-    buckets = buckets or default_buckets(df)
+    buckets = buckets or default_buckets(df, literal=not uniform)
     order = list(order)
     by = list(by)
     if uniform:
         bucket = F.least(F.floor(F.col(order[0]) * buckets).cast("int"), F.lit(buckets - 1))
+    elif bounds is not None:  # caller-supplied literal boundaries (e.g. approx_bounds)
+        bucket = _bucket_expr(bounds, order).cast("int")
     else:
         # boundaries need a count and a sample of the input: write it once to
         # the shared checkpoint folder so neither re-runs its upstream plan
         from ..session import materialise
         df = materialise(df, "rank-input")
-        bucket = _sampled_bucket(df, order, buckets).cast("int")
+        bucket = _bucket_expr(_sampled_bounds(df, order, buckets), order).cast("int")
     tmp = {name: f"__v_{i}" for i, name in enumerate(values)}
     base = df.withColumn("__bucket", bucket)
     if values:
