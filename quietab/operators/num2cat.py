@@ -35,7 +35,7 @@ def low_cardinality_mapping(df: DataFrame, threshold: int = 15) -> dict:
         return {}
     # cheap HLL pass first: a column estimated far above the threshold cannot
     # convert, so only plausible columns go through the exact distinct
-    est = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), 0.01).alias(f"e{i}")
+    est = df.agg(*[F.approx_count_distinct(F.col(c).cast("double")).alias(f"e{i}")
                    for i, c in enumerate(num_cols)]).first()
     cand = [c for i, c in enumerate(num_cols) if est[f"e{i}"] <= 2 * threshold + 10]
     if not cand:
