@@ -137,3 +137,11 @@ def test_scale_conf_sizes_partitions(spark):
     c = scale_conf(100 * 10 ** 12, 8000)  # 100 TB on 1000 executors x 8 cores
     assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (256 << 20))
     assert int(scale_conf(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_end_to_end_with_class_balancing(spark):
+    df, spec = fx.fx3(spark, SF_SMALL)
+    gen = GeneratorConfig(d_layers=(16,), dim_t=8, num_timesteps=10, steps=2, sample_rate=0.3, noise_seed=1, seed=2)
+    out = run_end_to_end(df, spec, EndToEndConfig(generator=gen, hist_seed=1, n_samples=50, eval_models=("tree",),
+                                                  balance_classes=True))
+    assert out["synthetic"].count() == 50 and out["model"].config.class_weights is not None
