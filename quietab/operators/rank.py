@@ -93,10 +93,13 @@ def approx_bounds(df: DataFrame, col: str, buckets: int) -> list:
 def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, Column] | None = None,
                    by: Sequence[str] = (), buckets: int | None = None, uniform: bool = False,
                    rank_col: str | None = "rank", inclusive: bool = True,
-                   total_col: str | None = None, bounds: list | None = None) -> DataFrame:
+                   total_col: str | None = None, bounds: list | None = None,
+                   tiebreak: bool = False) -> DataFrame:
     """Add running sums of ``values`` (and a 1-based ``rank_col``) in ``order``
     within ``by`` groups.  Ties in ``order`` must be broken by the caller (the
-    last order column should be a unique key); the result then equals
+    last order column should be a unique key, or pass ``tiebreak=True`` to
+    append a unique, stable row id -- it splits even fully identical rows
+    across buckets); the result then equals
     ``sum(v) over (partition by by order by order rows unbounded preceding)``.
     """
     values = dict(values or {})
@@ -112,6 +115,9 @@ def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, Column
         # the shared checkpoint folder so neither re-runs its upstream plan
         from ..session import materialise
         df = materialise(df, "rank-input")
+        if tiebreak:  # unique and stable: ids of a fixed written file layout
+            df = df.withColumn("__tb", F.monotonically_increasing_id())
+            order = [*order, "__tb"]
         bucket = _bucket_expr(_sampled_bounds(df, order, buckets), order).cast("int")
     tmp = {name: f"__v_{i}" for i, name in enumerate(values)}
     base = df.withColumn("__bucket", bucket)
@@ -142,7 +148,7 @@ def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, Column
         inside = F.coalesce(F.sum(tmp[k]).over(w), F.lit(0))
         out[k] = inside + F.col(f"{tmp[k]}_o")
     res = joined.withColumns(out)
-    drop = ["__bucket", "__off_n", *tmp.values(), *[f"{t}_o" for t in tmp.values()]]
+    drop = ["__bucket", "__off_n", "__tb", *tmp.values(), *[f"{t}_o" for t in tmp.values()]]
     return res.drop(*drop)
 
 

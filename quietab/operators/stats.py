@@ -15,17 +15,17 @@ from .rank import running_totals
 def grouped_quantiles(df: DataFrame, value: str, by=(), probs=(0.5,), names=None) -> DataFrame:
     """Exact linear-interpolation quantiles per group without holding any
     group in one task: rows are ranked inside their group with the bucketed
-    prefix sum (a row hash breaks ties, so even one hot value is spread over
-    buckets), then only the two order statistics around ``p (n-1)`` are kept
-    and combined per group."""
+    prefix sum (a unique stable row id breaks ties, so even a third of
+    identical rows is spread over buckets), then only the two order statistics
+    around ``p (n-1)`` are kept and combined per group."""
     by = list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    d = df.select(*by, F.col(value).cast("double").alias("__v"), F.xxhash64(*df.columns).alias("__t")) \
+    d = df.select(*by, F.col(value).cast("double").alias("__v")) \
         .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     if not by:
         d = d.withColumn("__g", F.lit(0))
     gb = by or ["__g"]
-    r = running_totals(d, ["__v", "__t"], by=gb, rank_col="__r", total_col="__n")
+    r = running_totals(d, ["__v"], by=gb, rank_col="__r", total_col="__n", tiebreak=True)
     pos = F.col("__r") - 1
     aggs = []
     keep = F.lit(False)

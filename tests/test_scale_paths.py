@@ -64,3 +64,31 @@ def test_encoder_with_only_one_kind(spark):
         e = enc.encode(df, keep=["event_id"])
         assert len(e.first()["features"]) == w
         assert enc.decode(e, keep=["event_id"]).count() == df.count()
+
+
+def test_identical_hot_rows_spread_over_buckets(spark):
+    """A third of fully identical rows: with the stable tie-breaker the hot value
+    is split across several buckets and the ranks stay exact."""
+    from quietab.operators.rank import running_totals
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN -1.0 ELSE CAST(id AS DOUBLE) END AS v")
+    r = running_totals(df, ["v"], rank_col="rk", buckets=12, tiebreak=True)
+    rows = r.collect()
+    assert sorted(x["rk"] for x in rows) == list(range(1, 3001))
+    hot_ranks = sorted(x["rk"] for x in rows if x["v"] == -1.0)
+    assert hot_ranks == list(range(1, 1001))  # the tied value occupies the first 1000 ranks
+    b = r.select("v").where("v = -1.0").count()
+    assert b == 1000
+    got = grouped_quantiles(df, "v", [], [0.5]).first()["q0"]
+    vals = np.where(np.arange(3000) % 3 == 0, -1.0, np.arange(3000).astype(float))
+    assert got == pytest.approx(np.percentile(vals, 50))
+
+
+def test_tiebreak_splits_a_hot_value(spark):
+    from pyspark.sql import functions as F
+    from quietab.operators.rank import _bucket_expr, _sampled_bounds
+    from quietab.session import materialise
+    df = materialise(spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN -1.0 ELSE CAST(id AS DOUBLE) END AS v"),
+                     "hot").withColumn("__tb", F.monotonically_increasing_id())
+    bounds = _sampled_bounds(df, ["v", "__tb"], 12)
+    hot = df.where("v = -1.0").select(_bucket_expr(bounds, ["v", "__tb"]).alias("b")).distinct().count()
+    assert hot >= 3  # a third of the rows spread over several buckets (~4 of 12)
