@@ -507,7 +507,7 @@ def q_sweep_best(spark, sf_dir):
     params = draw_params(spark, space, 3, seed=21)
     run = lambda p, s: evaluate(tr, va, te, "binclass", 2, ("tree",), seed=s,
                                 params={"tree": {"max_depth": int(p["max_depth"]), "min_leaf": int(p["min_leaf"])}})
-    runs, best = sweep(params, run, "roc_auc", "val")
+    runs, best = sweep(params, run, "roc_auc", "val", parallel=3)
     return best
 
 

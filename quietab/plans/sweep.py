@@ -41,18 +41,30 @@ def draw_params(spark: SparkSession, space: dict, n_trials: int, seed: int = 0)
 
 
 def sweep(param_table: DataFrame, run, metric: str = "roc_auc", split: str = "val",
-          seeds=(0,)) -> tuple[DataFrame, DataFrame]:
+          seeds=(0,), parallel: int = 1) -> tuple[DataFrame, DataFrame]:
     """Run ``run(params: dict, seed) -> metrics (model, split, metric, value)``
-    for every parameter row and seed; return (runs table, best run)."""
+    for every parameter row and seed; return (runs table, best run).
+
+    ``parallel > 1`` submits trials from that many driver threads: each trial
+    is its own set of Spark jobs, so small trials share the cluster instead of
+    queueing (Spark schedules jobs from concurrent threads)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    trials = [(row.asDict(), s) for row in param_table.collect() for s in seeds]  # bounded: trials x seeds
+
+    def one(item):
+        params, s = item
+        m = run(params, s).withColumn("run_id", F.lit(params["run_id"])).withColumn("seed", F.lit(s))
+        rows = m.collect()  # a handful of metric rows per trial
+        return rows, m.schema
+
+    if parallel > 1:
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            done = list(pool.map(one, trials))
+    else:
+        done = [one(t) for t in trials]
     spark = param_table.sparkSession
-    trials = param_table.collect()  # bounded: one row per trial
-    results = None
-    for row in trials:
-        params = row.asDict()
-        for s in seeds:
-            m = run(params, s).withColumn("run_id", F.lit(params["run_id"])).withColumn("seed", F.lit(s))
-            results = m if results is None else results.unionByName(m)
-    runs = results.cache()
+    runs = spark.createDataFrame([r for rows, _ in done for r in rows], done[0][1]).cache()
     per_run = average_metrics(runs.where((F.col("split") == split) & (F.col("metric") == metric)),
                               by=("run_id",)).withColumnRenamed("value", "score")
     scored = per_run.join(param_table, "run_id")
