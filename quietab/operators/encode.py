@@ -310,7 +310,7 @@ class EncoderModel:
         return df.select(*keep, *cols)
 
     # ---- decode
-    def _num_inverse(self, c: str, y: Column) -> Column:
+    def _num_inverse(self, c: str, y: Column, clip: bool = False) -> Column:
         p = self.num_params[c]
         y = y.cast("double")
         if p["kind"] == "minmax":
@@ -325,6 +325,8 @@ class EncoderModel:
             def inv(s: pd.Series) -> pd.Series:
                 return pd.Series(quantile_inverse(s.to_numpy(dtype=np.float64, na_value=np.nan), q, refs, normal))
             x = inv(y)
+        if clip and p.get("min") is not None:  # optional: keep decoded values inside the fitted range
+            x = F.least(F.greatest(x, F.lit(float(p["min"]))), F.lit(float(p["max"])))
         dt = self.dtypes.get(c)
         if dt in INTEGRAL_TYPES:  # half-even to an integer: rint (exact), not a decimal round trip
             return F.rint(x).cast(dt)
@@ -353,11 +355,13 @@ class EncoderModel:
         return cond
 
     def decode(self, df: DataFrame, features: str = "features", keep=(),
-               on_invalid: str = "clip") -> DataFrame:
+               on_invalid: str = "clip", clip_numeric: bool = False) -> DataFrame:
         """Inverse of :meth:`encode`; columns come back in source order and type.
 
         ``on_invalid='clip'`` clips out-of-domain codes (the default path);
-        ``'reject'`` drops rows with any out-of-domain code.
+        ``'reject'`` drops rows with any out-of-domain code.  Numerics are not
+        clipped (min-max decode can leave the fitted range) unless
+        ``clip_numeric``.
         """
         d = self.decoded_codes(df, features)
         if on_invalid == "reject":
@@ -365,7 +369,7 @@ class EncoderModel:
         layout = {r["col"]: r for r in self.layout}
         out = {}
         for c in self.spec.num_cols:
-            out[c] = self._num_inverse(c, F.col(features)[layout[c]["offset"]])
+            out[c] = self._num_inverse(c, F.col(features)[layout[c]["offset"]], clip_numeric)
         joins = []
         for c in self.spec.cat_cols:
             code = clip_code(F.col(f"__raw_{c}"), max(self.sizes[c], 1))

@@ -112,3 +112,14 @@ def test_normal_functions():
     assert u[0] == pytest.approx(0.5)
     x = np.array([0.5, 2.0, 4.9])
     assert np.allclose(quantile_inverse(quantile_forward(x, q, refs), q, refs), x)
+
+
+def test_decode_clip_numeric(spark):
+    df, spec = fx.fx3(spark, SF_SMALL)
+    enc = fit_encoder(df, spec, "minmax", "bits")
+    far = spark.createDataFrame([(1, [5.0, -5.0, 0.0, 0.0, 1.0])], "id long, features array<float>")
+    free = enc.decode(far, keep=["id"]).first()
+    held = enc.decode(far, keep=["id"], clip_numeric=True).first()
+    p = enc.num_params
+    assert free["value"] > p["value"]["max"] and free["user_id"] < p["user_id"]["min"]
+    assert held["value"] == pytest.approx(p["value"]["max"]) and held["user_id"] == p["user_id"]["min"]
