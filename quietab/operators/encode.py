@@ -209,6 +209,20 @@ class EncoderModel:
     large_dicts: dict = field(default_factory=dict)
     dtypes: dict = field(default_factory=dict)
     raw_columns: tuple = ()
+    unknown: str = "default"  # default: code -1 (all bits 1 / last one-hot slot); keep: reserved bucket; error
+
+    def domain(self, c: str) -> int:
+        """Codes a categorical column can take (one more with a reserved bucket)."""
+        return self.sizes[c] + (1 if self.unknown == "keep" else 0)
+
+    def _finish_code(self, code: Column, c: str) -> Column:
+        if self.unknown == "keep":
+            return F.when(code < 0, F.lit(self.sizes[c])).otherwise(code).cast("long")
+        if self.unknown == "error":
+            return F.when(code < 0, F.raise_error(F.concat(F.lit(f"unseen or null value in {c}: "),
+                                                           F.coalesce(F.col(c).cast("string"), F.lit("NULL")))))\
+                .otherwise(code).cast("long")
+        return code
 
     # ---- layout
     @property
@@ -218,7 +232,7 @@ class EncoderModel:
             rows.append({"col": c, "kind": "num", "offset": off, "width": 1})
             off += 1
         for c in self.spec.cat_cols:
-            n = self.sizes[c]
+            n = self.domain(c)
             w = bit_width(n) if self.cat_kind == "bits" else max(n, 1)
             rows.append({"col": c, "kind": "cat", "offset": off, "width": w})
             off += w
@@ -257,9 +271,9 @@ class EncoderModel:
         """Dictionary code of column ``c`` (literal map path); -1 if unseen/null."""
         values = self.small_dicts[c]
         if not values:
-            return F.lit(-1).cast("long")
+            return self._finish_code(F.lit(-1).cast("long"), c)
         m = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
-        return F.coalesce(F.try_element_at(m, F.col(c).cast("string")), F.lit(-1)).cast("long")
+        return self._finish_code(F.coalesce(F.try_element_at(m, F.col(c).cast("string")), F.lit(-1)).cast("long"), c)
 
     def with_codes(self, df: DataFrame) -> DataFrame:
         """Adds ``__code_<col>`` for every categorical column."""
@@ -281,8 +295,8 @@ class EncoderModel:
             d = self.large_dicts[c]
         d = d.select(F.col("value").alias(f"__k_{c}"), F.col("code").alias(f"__c_{c}"))
         j = df.join(d, df[c].cast("string") == d[f"__k_{c}"], "left")
-        return j.withColumn(f"__code_{c}", F.coalesce(F.col(f"__c_{c}"), F.lit(-1)).cast("long")) \
-                .drop(f"__k_{c}", f"__c_{c}")
+        code = self._finish_code(F.coalesce(F.col(f"__c_{c}"), F.lit(-1)).cast("long"), c)
+        return j.withColumn(f"__code_{c}", code).drop(f"__k_{c}", f"__c_{c}")
 
     def feature_exprs(self) -> list[Column]:
         parts = [F.array(*[self._num_expr(c).cast("float") for c in self.spec.num_cols])] \
@@ -351,7 +365,7 @@ class EncoderModel:
         cond = F.lit(True)
         for c in self.spec.cat_cols:
             code = F.col(f"__raw_{c}")
-            cond = cond & (code >= 0) & (code < self.sizes[c])
+            cond = cond & (code >= 0) & (code < self.domain(c))
         return cond
 
     def decode(self, df: DataFrame, features: str = "features", keep=(),
@@ -372,11 +386,11 @@ class EncoderModel:
             out[c] = self._num_inverse(c, F.col(features)[layout[c]["offset"]], clip_numeric)
         joins = []
         for c in self.spec.cat_cols:
-            code = clip_code(F.col(f"__raw_{c}"), max(self.sizes[c], 1))
+            code = clip_code(F.col(f"__raw_{c}"), max(self.domain(c), 1))
             if c in self.small_dicts and len(self.small_dicts[c]) <= DICT_LITERAL_MAX:
                 vals = F.array(*[F.lit(v) for v in self.small_dicts[c]]) if self.small_dicts[c] \
                     else F.array(F.lit(None).cast("string"))
-                v = F.element_at(vals, (code + 1).cast("int"))
+                v = F.try_element_at(vals, (code + 1).cast("int"))  # the reserved bucket decodes to null
                 dt = self.dtypes.get(c)
                 out[c] = v.cast(dt) if dt and dt != "string" else v
             else:
@@ -402,7 +416,7 @@ class EncoderModel:
         meta = {"num_cols": list(self.spec.num_cols), "cat_cols": list(self.spec.cat_cols),
                 "label": self.spec.label, "key": list(self.spec.key), "num_kind": self.num_kind,
                 "cat_kind": self.cat_kind, "sizes": self.sizes, "dtypes": self.dtypes,
-                "raw_columns": list(self.raw_columns), "large": sorted(self.large_dicts)}
+                "raw_columns": list(self.raw_columns), "large": sorted(self.large_dicts), "unknown": self.unknown}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
             .write.mode("overwrite").json(os.path.join(path, "meta"))
         spark.createDataFrame([(c, json.dumps(p)) for c, p in self.num_params.items()] or [("", "{}")],
@@ -428,11 +442,17 @@ class EncoderModel:
                 small[r["col"]].append(r["value"])
         spec = TableSpec(tuple(meta["num_cols"]), tuple(meta["cat_cols"]), meta["label"], tuple(meta["key"]))
         return EncoderModel(spec, meta["num_kind"], meta["cat_kind"], params, meta["sizes"], small,
-                            large, meta["dtypes"], tuple(meta["raw_columns"]))
+                            large, meta["dtypes"], tuple(meta["raw_columns"]), meta.get("unknown", "default"))
 
 
 def fit_encoder(df: DataFrame, spec: TableSpec, num_kind: str = "minmax", cat_kind: str = "bits",
-                quantile_method: str = "exact", quantile_output: str = "normal") -> EncoderModel:
+                quantile_method: str = "exact", quantile_output: str = "normal",
+                unknown: str = "default") -> EncoderModel:
+    """``unknown``: how a category unseen at fit (or null) is encoded -- ``default``
+    code -1 (all bits 1 / last one-hot slot), ``keep`` a reserved extra
+    bucket (decoded to null), ``error`` fail the job."""
+    if unknown not in ("default", "keep", "error"):
+        raise ValueError(f"unknown 'unknown' mode: {unknown}")
     if num_kind not in ("minmax", "standard", "quantile"):
         raise ValueError(f"unknown numeric encoder: {num_kind}")
     if cat_kind not in ("bits", "onehot"):
@@ -441,4 +461,4 @@ def fit_encoder(df: DataFrame, spec: TableSpec, num_kind: str = "minmax", cat_ki
     sizes, small, large = fit_dictionary(df, spec.cat_cols)
     dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in spec.feature_cols}
     raw = tuple(c for c in df.columns if c in spec.feature_cols)
-    return EncoderModel(spec, num_kind, cat_kind, params, sizes, small, large, dtypes, raw)
+    return EncoderModel(spec, num_kind, cat_kind, params, sizes, small, large, dtypes, raw, unknown)

@@ -123,3 +123,20 @@ def test_decode_clip_numeric(spark):
     p = enc.num_params
     assert free["value"] > p["value"]["max"] and free["user_id"] < p["user_id"]["min"]
     assert held["value"] == pytest.approx(p["value"]["max"]) and held["user_id"] == p["user_id"]["min"]
+
+
+def test_unknown_modes(spark):
+    df, spec = fx.fx3(spark, SF_SMALL)
+    fit_on = df.where("event_type <> 'view'")              # 4 seen categories
+    probe = df.where("event_type = 'view'").limit(3)
+    keep = fit_encoder(fit_on, spec, "minmax", "bits", unknown="keep")
+    assert [r["width"] for r in keep.layout if r["kind"] == "cat"] == [3]   # 4 + reserved -> 3 bits
+    e = keep.encode(probe, keep=["event_id"])
+    assert all(r["features"][2:] == [1.0, 0.0, 0.0] for r in e.collect())  # code 4 = reserved bucket
+    assert all(r["event_type"] is None for r in keep.decode(e, keep=["event_id"]).collect())
+    oh = fit_encoder(fit_on, spec, "minmax", "onehot", unknown="keep")
+    assert oh.encode(probe).first()["features"][2:] == [0.0, 0.0, 0.0, 0.0, 1.0]
+    strict = fit_encoder(fit_on, spec, "minmax", "bits", unknown="error")
+    assert strict.encode(fit_on).count() == fit_on.count()
+    with pytest.raises(Exception):
+        strict.encode(probe).collect()
