@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax
+from .bounded import broadcast_checked
 from .rank import approx_bounds, default_buckets, running_totals
 
 
@@ -142,7 +143,7 @@ def best_threshold(df: DataFrame, y: str, score: str, by=(), compat: bool = Fals
     run = running_totals(g, ["__ns"], {"tp": F.col("__pos"), "fp": F.col("__neg")}, by=by, rank_col="__r",
                          bounds=bounds)
     tot = run.groupBy(*by).agg(F.sum("__pos").alias("__P"))
-    j = run.join(F.broadcast(tot), on=by, how="inner")
+    j = run.join(broadcast_checked(tot), on=by, how="inner")  # one row per group
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     rec = F.col("tp") / F.col("__P")
     f1 = 2 * prec * rec / (prec + rec + F.lit(1e-8))
