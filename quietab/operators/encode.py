@@ -144,7 +144,8 @@ def exact_quantiles(df: DataFrame, probs: dict, counts: dict) -> dict:
     spans = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / F.col("w")).cast("long"),
                                                        F.floor((F.col("hi") - 1) / F.col("w")).cast("long"))))
     rk = spark.createDataFrame(want, "col string, r long, b long")
-    hit = spans.join(F.broadcast(rk), ["col", "b"])  # <= 2 ranks per quantile: bounded by construction.where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+    # the rank table has <= 2 ranks per quantile: bounded by construction
+    hit = spans.join(F.broadcast(rk), ["col", "b"]).where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
     at = {(r["col"], int(r["r"])): float(r["v"]) for r in hit.select("col", "r", "v").collect()}
     out = {}
     for c in cols:
