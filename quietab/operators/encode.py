@@ -24,7 +24,7 @@ from ..functions.arrays import (UNROLL_MAX, argmax, bit_width, bits_to_code, cli
                                 code_to_onehot)
 from ..functions.normal import quantile_forward, quantile_inverse
 from ..spec import TableSpec
-from .rank import LITERAL_BUCKETS_MAX, global_rank, running_totals
+from .rank import default_buckets, global_rank, running_totals
 
 INTEGRAL_TYPES = {"tinyint", "smallint", "int", "bigint"}
 #: dictionaries up to this size are collected and applied as literal maps
@@ -131,7 +131,7 @@ def exact_quantiles(df: DataFrame, probs: dict, counts: dict) -> dict:
         .groupBy("col", "v").agg(F.count(F.lit(1)).alias("c"))
     # (col, value) bucket boundaries from one bounded-memory pass over the raw
     # columns: each column's approximate quantiles, tagged with the column name
-    per_col = max(1, LITERAL_BUCKETS_MAX // len(cols) // 2)
+    per_col = max(1, default_buckets(df) // len(cols))  # ~4 buckets per shuffle partition in total
     grid = [i / (per_col + 1) for i in range(1, per_col + 1)]
     approx = df.agg(*[F.percentile_approx(_clean(c), grid, 10000).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     bounds = sorted({(c, float(v)) for i, c in enumerate(cols) for v in (approx[f"a{i}"] or []) if v is not None})
