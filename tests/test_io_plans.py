@@ -145,3 +145,18 @@ def test_end_to_end_with_class_balancing(spark):
     out = run_end_to_end(df, spec, EndToEndConfig(generator=gen, hist_seed=1, n_samples=50, eval_models=("tree",),
                                                   balance_classes=True))
     assert out["synthetic"].count() == 50 and out["model"].config.class_weights is not None
+
+
+def test_command_line_end_to_end(spark, tmp_path):
+    import duckdb
+    from tools.synthesize import main
+    src = tmp_path / "in.csv"
+    duckdb.sql(f"COPY (SELECT event_id, value, user_id, event_type, CASE WHEN value > 50 THEN 'high' ELSE 'low' END"
+               f" AS y FROM '{SF_SMALL}/events.parquet') TO '{src}' (HEADER)")
+    out = tmp_path / "out"
+    main(["--input", str(src), "--key", "event_id", "--out", str(out), "--steps", "2", "--sample-rate", "0.3",
+          "--layers", "16", "--timesteps", "10", "--samples", "40", "--eval", "tree"])
+    syn = spark.read.parquet(str(out / "synthetic"))
+    assert syn.count() == 40 and set(syn.columns) >= {"value", "user_id", "event_type", "y"}
+    assert {r["y"] for r in syn.select("y").distinct().collect()} <= {"high", "low"}
+    assert spark.read.json(str(out / "ledger")).where("name = 'dp_sgd'").count() == 1
