@@ -92,3 +92,14 @@ def test_tiebreak_splits_a_hot_value(spark):
     bounds = _sampled_bounds(df, ["v", "__tb"], 12)
     hot = df.where("v = -1.0").select(_bucket_expr(bounds, ["v", "__tb"]).alias("b")).distinct().count()
     assert hot >= 3  # a third of the rows spread over several buckets (~4 of 12)
+
+
+def test_exactly_n_refines_to_the_cutoff(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from quietab.operators import sampling
+    monkeypatch.setattr(sampling, "CUTOFF_FETCH_MAX", 50)  # force several refinement rounds
+    df = spark.range(0, 20000, 3).withColumn("ok", (F.col("id") % 7) != 0)
+    got = [r[0] for r in sampling.exactly_n(df, 1234, "id", "ok").select("id").collect()]
+    want = [i for i in range(0, 20000, 3) if i % 7 != 0][:1234]
+    assert sorted(got) == want
+    assert sampling.exactly_n(df, 10 ** 6, "id", "ok").count() == len([i for i in range(0, 20000, 3) if i % 7])
