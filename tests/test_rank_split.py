@@ -41,3 +41,22 @@ def test_split_sizes_and_partition_invariance(spark):
         assert counts[(lab, "train")] == int(0.6 * n + 0.5)
         assert counts[(lab, "train")] + counts[(lab, "val")] == int(0.8 * n + 0.5)
     assert sum(counts.values()) == df.count()
+
+
+def test_sampling_ops_partition_invariant(spark):
+    from quietab.functions.rand import u
+    from quietab.operators.private import dp_histogram
+    from quietab.operators.sampling import exactly_n, minibatches, poisson_sample
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    outs = []
+    for parts in (1, 3, 16):
+        d = ev.repartition(parts)
+        ps = sorted(r[0] for r in poisson_sample(d, 0.3, "event_id", 9, 5).select("event_id").collect())
+        mb = sorted(map(tuple, minibatches(d, "event_id", 64, 9, 2).select("event_id", "batch").collect()))
+        ex = sorted(r[0] for r in exactly_n(d.withColumn("ok", u(13, F.col("event_id")) < 0.7), 300,
+                                             "event_id", "ok").select("event_id").collect())
+        dp = sorted(map(tuple, dp_histogram(d, "event_type", ["click", "error", "purchase", "signup", "view"],
+                                            seed=3).select("event_type", "noisy").collect()))
+        outs.append((ps, mb, ex, dp))
+    assert outs[0] == outs[1] == outs[2]
+    assert len(outs[0][2]) == 300
