@@ -26,6 +26,15 @@ def test_dictionary_join_paths_equal_literal_path(spark, monkeypatch):
     src = df.toPandas().set_index("o_orderkey").sort_index()
     for c in spec.cat_cols:
         assert (d[c] == src[c]).all()
+    # the written large dictionary survives save/load
+    import tempfile
+    from quietab.session import checkpoint_dir
+    path = tempfile.mkdtemp(dir=checkpoint_dir(spark))
+    big.save(spark, path)
+    back = encmod.EncoderModel.load(spark, path)
+    assert set(back.large_dicts) == {"c_nation"}
+    again = {r["o_orderkey"]: r["features"] for r in back.encode(df, keep=["o_orderkey"]).collect()}
+    assert again == want
 
 
 def test_exact_quantiles_match_numpy_with_ties(spark):
