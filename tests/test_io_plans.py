@@ -160,3 +160,23 @@ def test_command_line_end_to_end(spark, tmp_path):
     assert syn.count() == 40 and set(syn.columns) >= {"value", "user_id", "event_type", "y"}
     assert {r["y"] for r in syn.select("y").distinct().collect()} <= {"high", "low"}
     assert spark.read.json(str(out / "ledger")).where("name = 'dp_sgd'").count() == 1
+
+
+def test_multiclass_utility_models(spark):
+    """OneVsRest boosted trees (raw and encoded columns), MLP and kNN on a 3-class label."""
+    from quietab.operators.encode import fit_encoder
+    from quietab.operators.split import stratified_split
+    from quietab.plans.evaluate import evaluate, evaluate_raw
+    df, spec = fx.fx2(spark, SF_SMALL)
+    sp = stratified_split(df, spec.label, "o_orderkey", seed=1)
+    tr = sp.where("split = 'train'")
+    lab = LabelModel.fit(tr, spec.label, "multiclass")
+    raw = evaluate_raw(tr, sp.where("split = 'val'"), sp.where("split = 'test'"), spec, lab, ("gbt",),
+                       params={"gbt": {"iterations": 5}}).collect()
+    enc = fit_encoder(tr, spec)
+    part = lambda s: enc.encode(sp.where(F.col("split") == s),
+                                keep=[F.col("o_orderkey").alias("id"), lab.encode_col().alias("label")])
+    m = evaluate(part("train"), part("val"), part("test"), "multiclass", 3, ("gbt", "mlp", "knn"),
+                 params={"gbt": {"iterations": 5}, "mlp": {"max_iter": 5}}).collect()
+    assert len(raw) == 9 and len(m) == 27
+    assert all(r["value"] is None or 0 <= r["value"] <= 1 for r in raw + m)
