@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quietab.llm import quality
+from quietab.llm import langid, quality
 
 QUERIES = {
+    "op4_language_id": langid.op4_language_id,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
