@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quietab.llm import langid, quality
+from quietab.llm import langid, quality, simhash
 
 QUERIES = {
     "op4_language_id": langid.op4_language_id,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
