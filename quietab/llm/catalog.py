@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quietab.llm import langid, quality, simhash
+from quietab.llm import decontam, langid, quality, simhash
 
 QUERIES = {
+    "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_language_id": langid.op4_language_id,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
