@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quietab.llm import decontam, langid, packing, quality, simhash
+from quietab.llm import decontam, langid, packing, quality, simhash, token_files
 
 QUERIES = {
     "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_language_id": langid.op4_language_id,
+    "op6_token_files": token_files.op6_token_files,
     "op7_packing": packing.op7_packing,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,

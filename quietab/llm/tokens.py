@@ -25,7 +25,7 @@ import numpy as np
 from pyspark import Broadcast, SparkContext
 from tokenizers import Tokenizer
 
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f"[^{WHITE}]+")
 SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 PLAIN = re.compile(" ?[A-Za-z]+").fullmatch
