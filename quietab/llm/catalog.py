@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quietab.llm import decontam, langid, packing, quality, simhash, token_files
+from quietab.llm import decontam, langid, licences, packing, quality, simhash, token_files
 
 QUERIES = {
+    "op2_licence_scan": licences.op2_licence_scan,
     "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_language_id": langid.op4_language_id,
     "op6_token_files": token_files.op6_token_files,
