@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quietab.llm import decontam, langid, licences, packing, quality, simhash, token_files
+from quietab.llm import decontam, langid, licences, packing, quality, simhash, token_files, urls
 
 QUERIES = {
     "op2_licence_scan": licences.op2_licence_scan,
@@ -10,8 +10,9 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op6_token_files": token_files.op6_token_files,
     "op7_packing": packing.op7_packing,
+    "op8_url_filter": urls.op8_url_filter,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filter": urls.OP8_SQL}
