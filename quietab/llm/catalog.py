@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quietab.llm import decontam, langid, licences, packing, quality, simhash, token_files, urls
+from quietab.llm import decontam, langid, licences, packing, quality, simhash, token_counts, token_files, urls
 
 QUERIES = {
     "op2_licence_scan": licences.op2_licence_scan,
     "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_language_id": langid.op4_language_id,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_token_files": token_files.op6_token_files,
     "op7_packing": packing.op7_packing,
     "op8_url_filter": urls.op8_url_filter,

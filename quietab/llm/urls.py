@@ -29,7 +29,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quietab.llm.common import narrow, table
+from quietab.llm.common import narrow, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "=bad"
@@ -120,14 +120,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, cfg: UrlConfig = Url
     """page_id, host, path, rule, verdict of every page."""
     rows = narrow(pages, "page_id", "url")
     mined = mine(pages, labels, cfg)
-    mined = mined.persist() if mined is not None else None
+    mined = written(mined, "url-rules") if mined is not None else None
     if mined is not None and mined.limit(1).count():
         hit = blocked_urls(rows.filter("url is not null").select("url").distinct(), mined)
         rows = rows.join(hit.withColumn("hit", F.lit(True)), "url", "left")
     else:
         rows = rows.withColumn("hit", F.lit(None).cast("boolean"))
-    if mined is not None:
-        mined.unpersist()
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = given_rule(host, path, rules)
     own = F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow"))
