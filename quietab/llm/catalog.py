@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quietab.llm import decontam, langid, licences, packing, quality, simhash, token_counts, token_files, urls
+from quietab.llm import decontam, langid, licences, packing, quality, simhash, token_counts, token_files, toxicity, urls
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_licence_scan": licences.op2_licence_scan,
     "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_language_id": langid.op4_language_id,

@@ -42,7 +42,7 @@ def sigmoid(z):
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(z, float)))
 
 
-def fit(x: Rows, positive: np.ndarray, l2: float = 1.0, loss: str = "logistic", steps: int = 100) -> np.ndarray:
+def fit(x: Rows, positive: np.ndarray, l2: float = 1.0, loss: str = "logistic", steps: int = 60) -> np.ndarray:
     """Weights (last: intercept, not penalised) of the L2-regularised linear model."""
     f = {"logistic": _logistic, "hinge2": _hinge2}[loss]
     y = np.where(positive, 1.0, -1.0)
@@ -83,5 +83,8 @@ def fit(x: Rows, positive: np.ndarray, l2: float = 1.0, loss: str = "logistic",
             break
         if (new - w) @ (h - g) > 1e-12:
             past.append((new - w, h - g))
+        small = value - v < 1e-6 * max(1.0, abs(v))
         w, value, g = new, v, h
+        if small:
+            break
     return w
