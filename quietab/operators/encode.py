@@ -27,6 +27,7 @@ from ..spec import TableSpec
 from .rank import default_buckets, global_rank, running_totals
 
 INTEGRAL_TYPES = {"tinyint", "smallint", "int", "bigint"}
+_LARGEST = {"tinyint": 2**7 - 1, "smallint": 2**15 - 1, "int": 2**31 - 1, "bigint": 2**63 - 1}
 #: dictionaries up to this size are collected and applied as literal maps
 DICT_LITERAL_MAX = 1_000
 #: dictionaries up to this size are collected (and broadcast when joined)
@@ -344,7 +345,11 @@ class EncoderModel:
             x = F.least(F.greatest(x, F.lit(float(p["min"]))), F.lit(float(p["max"])))
         dt = self.dtypes.get(c)
         if dt in INTEGRAL_TYPES:  # half-even to an integer: rint (exact), not a decimal round trip
-            return F.rint(x).cast(dt)
+            top = F.lit(_LARGEST[dt])
+            least = -top - 1
+            r = F.rint(x)
+            return (F.when(F.isnan(r), None).when(r >= top.cast("double"), top).when(r <= least.cast("double"), least)
+                    .otherwise(r.try_cast(dt))).cast(dt)
         return x.cast(dt) if dt else x
 
     def decoded_codes(self, df: DataFrame, features: str = "features") -> DataFrame:

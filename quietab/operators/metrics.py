@@ -145,11 +145,12 @@ def best_threshold(df: DataFrame, y: str, score: str, by=(), compat: bool = Fals
     tot = run.groupBy(*by).agg(F.sum("__pos").alias("__P"))
     j = run.join(broadcast_checked(tot), on=by, how="inner")  # one row per group
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    rec = F.col("tp") / F.col("__P")
+    rec = F.when(F.col("__P") > 0, F.col("tp") / F.col("__P"))  # no positive: no threshold
     f1 = 2 * prec * rec / (prec + rec + F.lit(1e-8))
     j = j.withColumn("f1", f1)
     best = j.groupBy(*by).agg(F.max_by(F.struct("__s", "f1", "__r"),
-                                        F.struct(F.col("f1"), -F.col("__s"))).alias("b"))
+                                        F.when(F.col("f1").isNotNull(), F.struct(F.col("f1"), -F.col("__s"))))
+                               .alias("b"))
     best = best.select(*by, F.col("b.__s").alias("threshold"), F.col("b.f1").alias("f1"),
                        F.col("b.__r").alias("__r"))
     if not compat:
@@ -167,9 +168,10 @@ def average_metrics(runs: DataFrame, by=("split", "metric"), value: str = "value
 
 
 def best_run(runs: DataFrame, score: str, run_id: str, params, by=()) -> DataFrame:
-    """Arg-max of the score; ties go to the lowest run id."""
+    """Arg-max of the score; ties go to the lowest run id; a null or NaN
+    score never wins (a group with no other score gives nulls)."""
     by = list(by)
     params = list(params)
     best = F.max_by(F.struct(F.col(run_id), F.col(score), *[F.col(p) for p in params]),
-                    F.struct(F.col(score), -F.col(run_id)))
+                    F.when(~F.isnan(F.col(score).cast("double")), F.struct(F.col(score), -F.col(run_id))))
     return runs.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")

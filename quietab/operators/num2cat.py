@@ -30,7 +30,8 @@ def low_cardinality_mapping(df: DataFrame, threshold: int = 15) -> dict:
     One unpivot + distinct over the numeric columns; the per-column distinct
     counts and integrality flags are one small aggregate; only columns under
     the threshold have their (fewer than ``threshold``) values collected."""
-    num_cols = [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
+    num_cols = [f.name for f in df.schema.fields
+                if is_numeric_type(f.dataType) or f.dataType.simpleString() == "boolean"]
     if not num_cols:
         return {}
     # cheap HLL pass first: a column estimated far above the threshold cannot

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def append_tables(*dfs: DataFrame) -> DataFrame:
@@ -16,13 +17,12 @@ def append_tables(*dfs: DataFrame) -> DataFrame:
 def split_keys(df: DataFrame, predicate: Column, key) -> tuple[DataFrame, DataFrame]:
     """(keys passing ``predicate``, all keys minus those) as key tables.
 
-    The difference is a ``left_anti`` join on the key (a shuffle join keyed on
-    ``key``), so a row failing on any condition lands in the second table once.
+    One grouping by the key (map-side combined) tells whether any of its rows
+    passes, so every key -- null included -- lands in exactly one table.
     """
     key = [key] if isinstance(key, str) else list(key)
-    allowed = df.where(predicate).select(*key).distinct()
-    rejected = df.select(*key).distinct().join(allowed, on=key, how="left_anti")
-    return allowed, rejected
+    seen = df.groupBy(*key).agg(F.max(F.coalesce(predicate, F.lit(False))).alias("__passes"))
+    return seen.where("__passes").drop("__passes"), seen.where(~F.col("__passes")).drop("__passes")
 
 
 def reject_invalid(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,8 @@ from ..spec import trim_headers
 # pandas' default missing-value tokens (fixed values)
 DEFAULT_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
               "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+#: quoted fields may hold separators, doubled quotes and line breaks (RFC 4180)
+CSV_DIALECT = {"quote": '"', "escape": '"', "multiLine": True}
 NAN_TOKENS = ["NaN", "-NaN", "nan", "-nan", "1.#QNAN", "-1.#QNAN", "1.#IND", "-1.#IND"]
 
 
@@ -25,7 +27,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", na_values=None,
         return trim_headers(spark.read.parquet(path))
     if fmt != "csv":
         return trim_headers(spark.read.format(fmt).load(path))
-    raw = trim_headers(spark.read.option("header", True).option("inferSchema", False).csv(path))
+    raw = trim_headers(spark.read.options(header=True, inferSchema=False, **CSV_DIALECT).csv(path))
     na = DEFAULT_NA if na_values is None else list(na_values)
     nan_tok = [t for t in NAN_TOKENS if t in na]
     missing = [t for t in na if t not in nan_tok]
@@ -59,7 +61,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(header=True, quote='"', escape='"').csv(path)
     else:
         w.format(fmt).save(path)
 
@@ -85,7 +87,7 @@ def training_view(df: DataFrame, features: list[str], label: str, task: str, wid
 
 def write_metrics(metrics: DataFrame, path: str, fmt: str = "json") -> None:
     """Long-format metric table ``(model, split, metric, value)``."""
-    metrics.coalesce(1).write.mode("overwrite").format(fmt).save(path)
+    metrics.repartition(1).write.mode("overwrite").format(fmt).save(path)
 
 
 def write_json_object(spark: SparkSession, obj: dict, path: str) -> None:

@@ -14,8 +14,7 @@ from pyspark.sql import types as T
 
 
 def is_numeric_type(dt: T.DataType) -> bool:
-    # pandas counts bools as numeric too
-    return isinstance(dt, (T.NumericType, T.BooleanType))
+    return isinstance(dt, T.NumericType)  # booleans are categories
 
 
 def is_integral_type(dt: T.DataType) -> bool:
@@ -63,9 +62,10 @@ def canonical(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 def infer_task(df: DataFrame, label: str) -> tuple[str, int]:
     """A5: 2 distinct -> binclass, < 100 -> multiclass, else regression."""
-    n = df.agg(F.count_distinct(F.col(label)).alias("n")).first()["n"]
-    task = ("binclass" if n == 2 else "multiclass") if n < 100 else "regression"
-    return task, int(n)
+    n = df.select(label).where(F.col(label).isNotNull()).distinct().limit(100).count()  # 100 decide it
+    if n < 100:
+        return ("binclass" if n == 2 else "multiclass"), int(n)
+    return "regression", int(df.agg(F.count_distinct(F.col(label)).alias("n")).first()["n"])
 
 
 def profile_df(splits: DataFrame, spec: TableSpec, name: str, split_col: str = "split") -> DataFrame:
