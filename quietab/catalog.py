@@ -299,7 +299,7 @@ def r4(c) -> Column:
 def _forward_draws(spark, sf_dir, k=3, seed=3, weights_method=None):
     from .operators.schedule import noise_schedule, timestep_weights, training_draws
     df, spec, enc, e = _fx3_encoded(spark, sf_dir)
-    sched = noise_schedule(spark, 500, "cosine").cache()
+    sched = noise_schedule(spark, 500, "cosine")
     w = timestep_weights(sched, weights_method) if weights_method else None
     return training_draws(e, "features", "event_id", sched, enc.width, k=k, seed=seed, weights=w), sched
 

@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import UNROLL_MAX
+
 TWO_POW_52 = 4503599627370496.0
 
 
@@ -33,11 +35,18 @@ def u(seed, *keys) -> Column:
     return F.conv(h, 16, 10).cast("double") / F.lit(TWO_POW_52)
 
 
+def _polar(seed, *keys) -> tuple[Column, Column]:
+    """(radius, angle) of a Box-Muller pair from the two uniforms of one md5:
+    its hex digits 1-13 and 14-26."""
+    h = F.md5(_key_string(seed, keys))
+    u1, u2 = (F.conv(F.substring(h, at, 13), 16, 10).cast("double") / F.lit(TWO_POW_52) for at in (1, 14))
+    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)), F.lit(2.0 * math.pi) * u2
+
+
 def gauss(seed, *keys) -> Column:
-    """Standard normal via Box-Muller on two independent ``u`` draws."""
-    u1 = u(seed, *keys, 0)
-    u2 = u(seed, *keys, 1)
-    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    """Standard normal, keyed by ``seed`` and ``keys``."""
+    r, angle = _polar(seed, *keys)
+    return r * F.cos(angle)
 
 
 def draw_category(cum_probs: Column, uniform: Column) -> Column:
@@ -56,17 +65,23 @@ def draw_timestep(num_timesteps: int, uniform: Column) -> Column:
 
 
 def gauss_vector(seed, dim: int, *keys) -> Column:
-    """``dim`` independent normals as an array from ceil(dim/2) uniform pairs:
-    element 2p is r*cos(theta_p), element 2p+1 is r*sin(theta_p), with
-    r = sqrt(-2 ln(1 - u(seed, keys, p, 0))) and theta = 2 pi u(seed, keys, p, 1)."""
-    out = []
-    for p in range((dim + 1) // 2):
-        r = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u(seed, *keys, p, 0)))
-        th = F.lit(2.0 * math.pi) * u(seed, *keys, p, 1)
-        out.append(r * F.cos(th))
-        if 2 * p + 1 < dim:
-            out.append(r * F.sin(th))
-    return F.array(*out)
+    """``dim`` independent normals as an array from ceil(dim/2) pairs keyed by
+    (seed, keys, p): elements 2p and 2p + 1 are r cos and r sin of pair p.  The
+    same numbers at every width: wide vectors build the pairs by ``transform``."""
+    return _from_pairs(_polar, seed, dim, keys)
+
+
+def _from_pairs(polar, seed, dim: int, keys) -> Column:
+    pairs = (dim + 1) // 2
+
+    def pair(p):
+        r, angle = polar(seed, *keys, p)
+        return F.array(r * F.cos(angle), r * F.sin(angle))
+
+    if dim <= UNROLL_MAX:
+        both = [pair(p) for p in range(pairs)]
+        return F.array(*[both[j // 2][j % 2] for j in range(dim)])
+    return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(pairs - 1)), pair)), 1, dim)
 
 
 # ----------------------------------------------------------------------------- fast variants
@@ -84,20 +99,16 @@ def u_fast(seed, *keys) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(_TWO_POW_53)
 
 
+def _polar_fast(seed, *keys) -> tuple[Column, Column]:
+    r = F.sqrt(F.lit(-2.0) * F.log(u_fast(seed, *keys, 0)))
+    return r, F.lit(2.0 * math.pi) * u_fast(seed, *keys, 1)
+
+
 def gauss_fast(seed, *keys) -> Column:
-    u1 = u_fast(seed, *keys, 0)
-    u2 = u_fast(seed, *keys, 1)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    r, angle = _polar_fast(seed, *keys)
+    return r * F.cos(angle)
 
 
 def gauss_vector_fast(seed, dim: int, *keys) -> Column:
-    """``dim`` normals using both Box-Muller outputs of each uniform pair
-    (element 2p is r*cos(theta_p), element 2p+1 is r*sin(theta_p))."""
-    out = []
-    for p in range((dim + 1) // 2):
-        r = F.sqrt(F.lit(-2.0) * F.log(u_fast(seed, *keys, p, 0)))
-        th = F.lit(2.0 * math.pi) * u_fast(seed, *keys, p, 1)
-        out.append(r * F.cos(th))
-        if 2 * p + 1 < dim:
-            out.append(r * F.sin(th))
-    return F.array(*out)
+    """:func:`gauss_vector` on the xxhash64 uniforms."""
+    return _from_pairs(_polar_fast, seed, dim, keys)

@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: default upper bound on rows of a broadcast side
 BROADCAST_ROWS_MAX = 1_000_000
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS_MAX) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows (counted on a
-    cached copy, so the count is not recomputed by the join), else ``df``."""
-    df = df.cache()
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``;
+    written first, so the count is not recomputed by the join and nothing stays cached."""
+    df = materialise(df, "bounded")
     return F.broadcast(df) if df.count() <= max_rows else df

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import argmax
+from ..session import materialise
 from .bounded import broadcast_checked
 from .rank import approx_bounds, default_buckets, running_totals
 
@@ -120,7 +121,7 @@ def multiclass_report(df: DataFrame, y: str, probs: str, by=()) -> DataFrame:
     the same confusion counts as F1 (one pass over the predictions)."""
     df, gb, out = _grouped(df, by)
     p = df.withColumn("__pred", predict_class(F.col(probs)))
-    cm = p.groupBy(*gb, y, "__pred").agg(F.count(F.lit(1)).alias("n")).cache()
+    cm = materialise(p.groupBy(*gb, y, "__pred").agg(F.count(F.lit(1)).alias("n")), "confusion")
     f1 = macro_f1_from_counts(cm, y, "__pred", gb)
     acc = cm.groupBy(*gb).agg((F.sum(F.when(F.col(y) == F.col("__pred"), F.col("n")).otherwise(0))
                                / F.sum("n")).alias("accuracy"))

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: offsets tables up to this many rows are broadcast (size is counted first)
 OFFSETS_BROADCAST_MAX = 1_000_000
 
@@ -113,7 +115,6 @@ def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, Column
     else:
         # boundaries need a count and a sample of the input: write it once to
         # the shared checkpoint folder so neither re-runs its upstream plan
-        from ..session import materialise
         df = materialise(df, "rank-input")
         if tiebreak:  # unique and stable: ids of a fixed written file layout
             df = df.withColumn("__tb", F.monotonically_increasing_id())
@@ -131,7 +132,8 @@ def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, Column
         F.coalesce(F.sum("__n").over(wb), F.lit(0)).alias("__off_n"),
         *[F.coalesce(F.sum(f"{tmp[k]}_t").over(wb), F.lit(0)).alias(f"{tmp[k]}_o") for k in values],
         *([F.sum("__n").over(Window.partitionBy(*by)).alias(total_col)] if total_col else []),
-    ).cache()
+    )
+    offsets = materialise(offsets, "offsets")
     if offsets.count() <= OFFSETS_BROADCAST_MAX:
         offsets = F.broadcast(offsets)
     w = Window.partitionBy(*by, "__bucket").orderBy(*order)

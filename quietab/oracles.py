@@ -17,21 +17,25 @@ def U(seed, *keys: str) -> str:
     return f"(CAST(('0x' || substr(md5({s}), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
 
 
+def POLAR(seed, *keys: str) -> tuple[str, str]:
+    """(radius, angle) of ``quietab.functions.rand._polar``: both uniforms from one md5."""
+    s = f"'{seed}'" + "".join(f" || ':' || CAST({k} AS VARCHAR)" for k in keys)
+    u1, u2 = (f"(CAST(('0x' || substr(md5({s}), {at}, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))" for at in (1, 14))
+    return f"sqrt(-2.0 * ln(1.0 - {u1}))", f"(2.0 * pi() * {u2})"
+
+
 def GAUSS_VEC(seed, dim: int, *keys: str) -> list[str]:
     """Element j of ``quietab.functions.rand.gauss_vector`` (Box-Muller pairs)."""
     out = []
     for j in range(dim):
-        p = j // 2
-        r = f"sqrt(-2.0 * ln(1.0 - {U(seed, *keys, str(p), '0')}))"
-        th = f"(2.0 * pi() * {U(seed, *keys, str(p), '1')})"
+        r, th = POLAR(seed, *keys, str(j // 2))
         out.append(f"({r} * {'cos' if j % 2 == 0 else 'sin'}{th})")
     return out
 
 
 def GAUSS(seed, *keys: str) -> str:
-    u1 = U(seed, *keys, "0")
-    u2 = U(seed, *keys, "1")
-    return f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos(2.0 * pi() * {u2}))"
+    r, angle = POLAR(seed, *keys)
+    return f"({r} * cos{angle})"
 
 
 FX1 = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_shipdate,

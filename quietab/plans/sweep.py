@@ -64,7 +64,7 @@ def sweep(param_table: DataFrame, run, metric: str = "roc_auc", split: str = "va
     else:
         done = [one(t) for t in trials]
     spark = param_table.sparkSession
-    runs = spark.createDataFrame([r for rows, _ in done for r in rows], done[0][1]).cache()
+    runs = spark.createDataFrame([r for rows, _ in done for r in rows], done[0][1])
     per_run = average_metrics(runs.where((F.col("split") == split) & (F.col("metric") == metric)),
                               by=("run_id",)).withColumnRenamed("value", "score")
     scored = per_run.join(param_table, "run_id")
