@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietab.llm.common import blocks, narrow, small_batches, table
-from quietab.llm.tokens import encoder, shared_tokenizer
+from quietab.llm.tokens import ENCODE_BYTES, encoder, shared_tokenizer
 
 LENGTH = 1024
 GROUP_DOCS = 2048
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
 
         for b in batches:
             ids_of, group_of = b.column("doc_id"), b.column("g").to_pylist()
-            for lo, hi, block in blocks(b.column("text")):
+            for lo, hi, block in blocks(b.column("text"), ENCODE_BYTES):
                 ids, counts = enc.encode(block)
                 ends = np.cumsum(counts)
                 for k, doc_id in enumerate(ids_of.slice(lo, hi - lo).to_pylist()):

@@ -4,14 +4,19 @@ A text is cut at places that are always token boundaries of its tokenizer, so
 chunks can be encoded once and looked up afterwards:
 
 * ``words``: the tokenizer drops white space and never joins across it -- chunks
-  are the white-space separated words;
+  are runs of other characters;
 * ``spaced``: byte-level pre-tokenization, where one space joins the word after
-  it -- chunks are an optional space with a run of non-space characters, or a
-  run of white space without a last space that belongs to the next word.
-
-Both rules use Unicode White_Space, the tokenizers' own notion.  Encoding is done
-by the ``tokenizers`` library (its normaliser, pre-tokenizer and model); strings
-of special tokens inside a text are ordinary text.
+  it -- chunks are an optional space with a run of other characters, or a
+  run of white space without a last one that stands before a word.
+
+ASCII letters also end a chunk where another ASCII character follows, since
+letters never share a pre-token with it.  White space is Unicode White_Space, the
+tokenizers' own notion.  The cuts of a block of texts are found on its bytes
+(numpy) and its chunks numbered by Arrow's dictionary encoding, so Python sees
+each distinct chunk of a block once; blocks with other than ASCII white space are
+cut by a regular expression.  Encoding is done by the ``tokenizers`` library (its
+normaliser, pre-tokenizer and model); strings of special tokens inside a text are
+ordinary text.
 """
 
 from __future__ import annotations
@@ -22,17 +27,53 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast, SparkContext
 from tokenizers import Tokenizer
 
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f"[^{WHITE}]+")
 SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-PLAIN = re.compile(" ?[A-Za-z]+").fullmatch
-SEPARATORS = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizers
+#: UTF-8 of white space beyond ASCII
+WIDE_WHITE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: chunks of letters only (Latin-1) are one pre-token
+PLAIN = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+
+IS_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+IS_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+ENDS_LETTERS = ~IS_LETTER & ~IS_WHITE & (np.arange(256) < 128)
 
 #: distinct chunks a worker remembers (about 250 bytes each) before it starts anew
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
+
+#: bytes of text that are cut and numbered at once
+ENCODE_BYTES = 6 << 20
+
+
+def cuts(data: np.ndarray, first: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(chunk starts and the end, whether each chunk counts) of texts joined with a
+    byte after each; ``first``: the texts' starts."""
+    white = IS_WHITE[data]
+    pad = np.zeros(len(data), bool)
+    pad[first[1:] - 1] = True
+    pad[-1] = True
+    start = pad.copy()
+    start[1:] |= pad[:-1]
+    start[0] = True
+    start[1:] |= IS_LETTER[data[:-1]] & ENDS_LETTERS[data[1:]]
+    after = np.zeros(len(data), bool)  # the byte before is white space
+    after[1:] = white[:-1]
+    if not spaced:
+        start |= white != after
+        at = np.flatnonzero(start)
+        return np.append(at, len(data)), ~(white[at] | pad[at])
+    word_next = np.zeros(len(data), bool)
+    word_next[:-1] = ~white[1:] & ~pad[1:]
+    space_before = np.zeros(len(data), bool)
+    space_before[1:] = data[:-1] == 32
+    start |= (white & (~after | word_next)) | (~white & after & ~space_before)
+    at = np.flatnonzero(start)
+    return np.append(at, len(data)), ~pad[at]
 
 
 class Encoder:
@@ -40,60 +81,77 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(json)
         self.tokenizer.encode_special_tokens = True
         self.model, self.spaced, self.capacity = self.tokenizer.model, spaced, capacity
+        self.letters: dict[str, str] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def chunks(self, text: str) -> list[str]:
-        if self.spaced:
-            return SPACED.findall(text)
-        return WORDS.findall(text) if SEPARATORS.search(text) else text.split()
+        self.slot: dict[bytes, int] = {}
+        self.pool, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def numbered(self, texts: list) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(distinct chunks, number of each chunk in turn, chunks of each text)."""
+        data = b"\x00".join([*texts, b""])
+        if WIDE_WHITE.search(data):
+            find = (SPACED if self.spaced else WORDS).findall
+            lists = [find(t.decode("utf-8", "replace")) for t in texts]
+            number: dict = {}
+            flat = [number.setdefault(c, len(number)) for c in chain.from_iterable(lists)]
+            return [c.encode() for c in number], np.array(flat, np.int64), np.array([len(x) for x in lists])
+        lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        first = np.cumsum(lens) - lens
+        at, counts = cuts(np.frombuffer(data, np.uint8), first, self.spaced)
+        chunks = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+        coded = chunks.dictionary_encode()
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        return (coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()[counts],
+                np.diff(upto[np.searchsorted(at, np.append(first, len(data)))]))
+
+    def pieces(self, chunk: str) -> list[str]:
+        norm = self.tokenizer.normalizer
+        plain = norm.normalize_str(chunk) if norm is not None else chunk
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
 
     def chunk_ids(self, chunk: str) -> list[int]:
-        if PLAIN(chunk):
-            pieces = [chunk.replace(" ", "Ġ") if self.spaced else chunk.lower()]
+        if PLAIN(chunk):  # one pre-token; its bytes' characters are known letter by letter
+            try:
+                pieces = ["".join(map(self.letters.__getitem__, chunk))]
+            except KeyError:
+                for c in set(chunk):
+                    self.letters[c] = "\u0120" if c == " " else "".join(self.pieces(c))
+                pieces = ["".join(map(self.letters.__getitem__, chunk))]
         else:
-            norm = self.tokenizer.normalizer
-            plain = norm.normalize_str(chunk) if norm is not None else chunk
-            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
+            pieces = self.pieces(chunk)
         return [t.id for p in pieces for t in self.model.tokenize(p)]
 
     def learn(self, chunks) -> None:
+        ids: list[int] = []
+        size: list[int] = []
         for c in chunks:
-            ids = self.chunk_ids(c)
-            k = len(self.slot)
-            if k == len(self.first):
-                self.first, self.size = (np.concatenate((a, np.zeros_like(a))) for a in (self.first, self.size))
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            self.pool[self.used:self.used + len(ids)] = ids
-            self.first[k], self.size[k] = self.used, len(ids)
-            self.slot[c] = k
-            self.used += len(ids)
+            before = len(ids)
+            ids += self.chunk_ids(c.decode("utf-8", "replace"))
+            size.append(len(ids) - before)
+            self.slot[c] = len(self.slot)
+        n = np.array(size, np.int64)
+        self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(n) - n))
+        self.size = np.concatenate((self.size, n))
+        self.pool = np.concatenate((self.pool, np.array(ids, np.uint32)))
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each); None: empty."""
-        lists = [self.chunks(t.decode("utf-8", "replace")) if t else [] for t in texts]
-        flat = list(chain.from_iterable(lists))
-        slots = list(map(self.slot.get, flat))
+        chunks, number, per_text = self.numbered([t or b"" for t in texts])
+        slots = list(map(self.slot.get, chunks))
         if None in slots:
-            new = {c: None for c, s in zip(flat, slots) if s is None}
+            new = [c for c, s in zip(chunks, slots) if s is None]
             if len(self.slot) + len(new) > self.capacity:
                 self.forget()
-                new = dict.fromkeys(flat)
+                new = chunks
             self.learn(new)
-            slots = list(map(self.slot.__getitem__, flat))
-        at = np.array(slots, np.int64)
+            slots = list(map(self.slot.__getitem__, chunks))
+        at = np.array(slots, np.int64)[number]
         n = self.size[at]
         ends = np.cumsum(n)
         ids = self.pool[np.repeat(self.first[at] - (ends - n), n) + np.arange(int(n.sum()))]
-        stops = np.cumsum([len(x) for x in lists]).astype(np.int64)
-        upto = np.concatenate(([0], ends))[stops]
+        upto = np.concatenate(([0], ends))[np.cumsum(per_text)]
         return ids, np.diff(np.concatenate(([0], upto)))
 
 
