@@ -24,13 +24,12 @@ CELLS = 1 << 20
 
 
 def _cell(code: np.ndarray) -> np.ndarray:
-    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
 
 
-def _frequent(code: np.ndarray, in_cell: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes that occur at least ``least`` times, and their counts; ``in_cell``: how
-    often each one's hash cell occurs, an upper bound that spares sorting the rest."""
-    code = np.sort(code[in_cell >= least])
+def _frequent(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes that occur at least ``least`` times, and their counts."""
+    code = np.sort(code)
     first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(code)))
     ok = count >= least
@@ -71,24 +70,25 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int, max_rules: int,
     rules: list = []
     least = None
     while len(seq) > 1 and len(rules) < max_rules and (least is None or least > min_count):
-        at = np.flatnonzero(~last[:-1])
-        code = seq[at] << 20 | seq[at + 1]
+        code = seq[:-1] << 20
+        code |= seq[1:]
         cell = _cell(code)
-        times = np.bincount(cell, minlength=CELLS)
+        times = np.bincount(cell, minlength=CELLS)  # of a pair's hash cell: an upper bound that spares sorting the rest
         least = max(min_count, (int(times.max()) if least is None else least) // 2)
-        pair, count = _frequent(code, times[cell], least)
+        maybe = (times >= least)[cell]
+        maybe &= ~last[:-1]
+        at = np.flatnonzero(maybe)
+        code = code[at]
+        pair, count = _frequent(code, least)
         if not len(pair):
             continue
         best = np.argsort(-count, kind="stable")[:max_rules - len(rules)]
         pair = pair[best]
         by_code = np.argsort(pair)
         known = pair[by_code]
-        listed = np.zeros(CELLS, bool)
-        listed[_cell(known)] = True
-        maybe = np.flatnonzero(listed[cell])
-        slot = np.minimum(np.searchsorted(known, code[maybe]), len(known) - 1)
-        hit = known[slot] == code[maybe]
-        at, rank = at[maybe[hit]], by_code[slot[hit]]
+        slot = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        hit = known[slot] == code
+        at, rank = at[hit], by_code[slot[hit]]
         taken = _chosen(rank, at)
         at, rank = at[taken], rank[taken]
         useful = np.bincount(rank, minlength=len(pair)) >= 3
@@ -139,6 +139,9 @@ class Shard:
     terminals: int
     n_ids: int
 
+    def all_ids(self) -> np.ndarray:
+        return expand(self.symbols, self.rules, self.terminals)
+
     def document(self, k: int) -> np.ndarray:
         return expand(self.symbols[(self.ends[k - 1] if k else 0):self.ends[k]], self.rules, self.terminals)
 

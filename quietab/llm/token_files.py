@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quietab.llm.common import blocks, maybe_broadcast, narrow, small_batches, table, written
 from quietab.llm.grammar import opened, packed_shard
-from quietab.llm.tokens import encoder, shared_tokenizer
+from quietab.llm.tokens import ENCODE_BYTES, encoder, shared_tokenizer
 
 SHARD_IDS = 1 << 20
 MAX_RULES = 16_000
@@ -67,7 +67,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = Fals
             return out
 
         for b in batches:
-            for lo, hi, block in blocks(b.column("text")):
+            for lo, hi, block in blocks(b.column("text"), ENCODE_BYTES):
                 ids, n = enc.encode(block)
                 ids = np.insert(ids, np.cumsum(n), np.uint32(end_id))
                 ids_list.append(ids)
@@ -100,10 +100,11 @@ def read_back(files: DataFrame, with_ids: bool = False) -> DataFrame:
                 shard = opened(data.as_py())
                 upto = np.cumsum(shard.sizes())[shard.ends.astype(np.int64) - 1]
                 n = np.diff(upto, prepend=0)
+                every = shard.all_ids().astype("<u4")
                 crc, ids = np.zeros(len(n), np.int64), []
                 for k in range(len(n)):
-                    own = shard.document(k)
-                    crc[k] = zlib.crc32(own.astype("<u4").tobytes())
+                    own = every[upto[k] - n[k]:upto[k]]
+                    crc[k] = zlib.crc32(own.tobytes())
                     if with_ids:
                         ids.append(own.astype(np.int32))
                 made = [pa.array(shard.doc_ids, pa.int64(), mask=~shard.has_id), pa.array(first + upto - n),
