@@ -86,10 +86,11 @@ class Inputs:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        for w in words - known.keys():
-            known[w] = [self.numbers[f] for f in forms(w) if f in self.numbers]
         found: set = set()
-        for at in map(known.__getitem__, words):
+        for w in words:
+            at = known.get(w)
+            if at is None:
+                at = known[w] = [self.numbers[f] for f in forms(w) if f in self.numbers]
             if at:
                 found.update(at)
         return sorted(found)
