@@ -153,6 +153,19 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_table(spark, path, "csv")
 
 
+def q_csv_prose_roundtrip(spark, sf_dir):
+    """S1 + S2: whole documents -- quotes, separators, line breaks -- through CSV unchanged."""
+    import os
+    import uuid
+    from .session import checkpoint_dir
+    from .sources.tables import read_table, write_table
+    path = os.path.join(checkpoint_dir(spark), f"csv-{uuid.uuid4().hex[:10]}")
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    quoted = F.concat(F.lit('"'), F.col("lang"), F.lit('", '), F.col("source"), F.lit(' said ""x""\n '))
+    write_table(docs.withColumn("quoted", quoted), path, "csv")
+    return read_table(spark, path, "csv")
+
+
 # ----------------------------------------------------------------------------- privacy
 
 def q_dp_histogram(spark, sf_dir):
@@ -456,6 +469,17 @@ def q_utility_real(spark, sf_dir):
     return m.select("model", "split", "metric", r6("value").alias("value"))
 
 
+def q_evaluation_coverage(spark, sf_dir):
+    """M4 + M6 + M8 + M9: every row of every split gets one finite distribution from every model."""
+    from .plans.evaluate import evaluate
+    enc, tr, va, te = _fx3_real_splits(spark, sf_dir)
+    _, p = evaluate(tr, va, te, "binclass", 2, ("tree", "logistic", "knn"), predictions=True)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return p.groupBy("model", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("n_positive"),
+        F.sum((F.abs(total - 1) < 1e-9).cast("long")).alias("n_distributions"))
+
+
 def q_utility_models(spark, sf_dir):
     """M3 + M5 + M7: boosted trees (validation early stopping), forest, MLP on real FX3."""
     from .plans.evaluate import evaluate
@@ -489,6 +513,31 @@ def q_synthetic_rows(spark, sf_dir):
     return dec
 
 
+def q_synthetic_checks(spark, sf_dir):
+    """M2 + T2 + P8 + H8: how many rows are generated, unique, complete and inside the fitted domains."""
+    enc, tr, va, te, model = _fit_small(spark, sf_dir)
+    _, dec = model.generate(spark, tr.count(), seed=4, encoder=enc)
+    domain = enc.small_dicts["event_type"]
+    return dec.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"),
+                   F.sum((F.isnan("value") | F.col("value").isNull()).cast("long")).alias("n_not_finite"),
+                   F.sum((~F.col("event_type").isin(domain)).cast("long")).alias("n_outside"))
+
+
+def q_sweep_threshold(spark, sf_dir):
+    """M10 + A17 + A18: seeded draws, one trial per draw on the FX3 validation split, the best by accuracy."""
+    from .plans.sweep import draw_params, sweep
+    sp, _ = _split_fx3(spark, sf_dir)
+
+    def trial(p, seed):
+        right = ((F.col("value") > p["cut"]) == (F.col("label") == 1)).cast("double")
+        return (sp.where("split = 'val'").agg(F.avg(right).alias("value"))
+                .select(F.lit("cut").alias("model"), F.lit("val").alias("split"), F.lit("accuracy").alias("metric"), "value"))
+
+    params = draw_params(spark, {"cut": ("uniform", 0.0, 100.0), "depth": ("int", 2, 10)}, 12, seed=21)
+    _, best = sweep(params, trial, "accuracy", "val", parallel=2)
+    return best.select("run_id", "score", r6("cut").alias("cut"), "depth")
+
+
 def q_end_to_end_metrics(spark, sf_dir):
     """Split -> encode -> DP histogram -> DP fit -> generate -> utility on real val/test."""
     from .plans.end_to_end import EndToEndConfig, run_end_to_end
@@ -598,6 +647,10 @@ QUERIES = {
     "append_tables": q_append_tables,
     "split_keys": q_split_keys,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_prose_roundtrip": q_csv_prose_roundtrip,
+    "evaluation_coverage": q_evaluation_coverage,
+    "synthetic_checks": q_synthetic_checks,
+    "sweep_threshold": q_sweep_threshold,
     "dp_histogram": q_dp_histogram,
     "label_distribution": q_label_distribution,
     "class_weights": q_class_weights,

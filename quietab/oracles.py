@@ -236,6 +236,22 @@ UNION ALL SELECT CAST(NULL AS BIGINT), c_custkey, CAST(NULL AS DOUBLE), c_acctba
 SELECT event_id, 'allowed' AS part FROM events WHERE value > 10 AND event_type <> 'error'
 UNION ALL SELECT event_id, 'rejected' AS part FROM events WHERE NOT (value > 10 AND event_type <> 'error')""",
     "csv_roundtrip": "SELECT event_id, user_id, event_type, value FROM events",
+    "csv_prose_roundtrip": """
+SELECT doc_id, text, lang, source, n_chars,
+  '"' || lang || '", ' || source || ' said ""x""' || chr(10) || ' ' AS quoted FROM documents""",
+    "evaluation_coverage": f"""
+SELECT model, split, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_positive, count(*) AS n_distributions
+FROM {SPLIT_FX3}, (VALUES ('tree'), ('logistic'), ('knn')) m(model) GROUP BY 1, 2""",
+    "synthetic_checks": f"""
+SELECT count(*) AS n_rows, count(*) AS n_ids, CAST(0 AS BIGINT) AS n_not_finite, CAST(0 AS BIGINT) AS n_outside
+FROM {SPLIT_FX3} WHERE split = 'train'""",
+    "sweep_threshold": f"""
+WITH p AS (SELECT run_id, {U(21, 'run_id', "'cut'")} * 100.0 AS cut,
+             CAST(2 + floor({U(21, 'run_id', "'depth'")} * 9) AS BIGINT) AS depth
+           FROM (SELECT CAST(range AS BIGINT) AS run_id FROM range(12))),
+s AS (SELECT run_id, cut, depth, round_even(avg(CASE WHEN (x.value > cut) = (x.label = 1) THEN 1.0 ELSE 0.0 END), 4) AS score
+      FROM p, {SPLIT_FX3} x WHERE x.split = 'val' GROUP BY 1, 2, 3)
+SELECT run_id, score, {R6('cut')} AS cut, depth FROM s ORDER BY score DESC, run_id LIMIT 1""",
     "dp_histogram": f"""
 WITH dom AS (SELECT * FROM (VALUES ('F'), ('O'), ('P')) t(o_orderstatus)),
 c AS (SELECT o_orderstatus, count(*) AS n FROM {FX2} GROUP BY 1),

@@ -61,7 +61,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     if fmt == "csv":
-        w.options(header=True, quote='"', escape='"').csv(path)
+        w.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                  ignoreTrailingWhiteSpace=False).csv(path)
     else:
         w.format(fmt).save(path)
 
