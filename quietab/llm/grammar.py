@@ -3,8 +3,8 @@
 Frequent adjacent id pairs are replaced by new ids (nonterminals) again and
 again.  A round counts all pairs of the shard, takes every pair that occurs at
 least ``least`` times, the most frequent ones first where two would share an id, and
-replaces their occurrences from left to right; ``least`` starts at half the
-largest count and halves from round to round down to ``min_count``.  Pairs never reach across a document's end, so any document can be
+replaces their occurrences from left to right; ``least`` starts at a quarter of
+the largest count and falls to a quarter from round to round down to ``min_count``.  Pairs never reach across a document's end, so any document can be
 decoded alone; the stored expansion lengths give any id range without
 expanding what lies before it.
 """
@@ -64,17 +64,18 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int, max_rules: int,
             min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, end of each document in symbols, rules (n, 2)) of the sequence
     whose documents end (exclusively) at ``ends``."""
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list = []
     least = None
     while len(seq) > 1 and len(rules) < max_rules and (least is None or least > min_count):
-        code = seq[:-1] << 20
+        code = seq[:-1].astype(np.int64)
+        code <<= 20
         code |= seq[1:]
         cell = _cell(code)
         times = np.bincount(cell, minlength=CELLS)  # of a pair's hash cell: an upper bound that spares sorting the rest
-        least = max(min_count, (int(times.max()) if least is None else least) // 2)
+        least = max(min_count, (int(times.max()) if least is None else least) // 4)
         maybe = (times >= least)[cell]
         maybe &= ~last[:-1]
         at = np.flatnonzero(maybe)
@@ -140,7 +141,14 @@ class Shard:
     n_ids: int
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.terminals)
+        """All ids at once: every symbol's expansion is copied from a table of all rules' expansions."""
+        of_rules = expand(np.arange(len(self.rules)) + self.terminals, self.rules, self.terminals)
+        table = np.concatenate((np.arange(self.terminals, dtype=np.uint32), of_rules))
+        size = np.concatenate((np.ones(self.terminals, np.int64), self.lengths.astype(np.int64)))
+        first = np.cumsum(size) - size
+        n = size[self.symbols]
+        ends = np.cumsum(n)
+        return table[np.repeat(first[self.symbols] - (ends - n), n) + np.arange(self.n_ids)]
 
     def document(self, k: int) -> np.ndarray:
         return expand(self.symbols[(self.ends[k - 1] if k else 0):self.ends[k]], self.rules, self.terminals)
