@@ -33,7 +33,8 @@ Defined cases: a null or empty text, or one without a word, has fingerprint 0
 and is linked like any other; fewer words than a shingle make one shingle of
 the whole sequence; repeated rows are equal fingerprints and stay as many rows;
 null doc_ids are ignored by the smallest id (a component of null ids only has a
-null component_id); an empty table gives an empty result.
+null component_id; ``one_of_each`` keeps one row of it); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -213,27 +214,35 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             .repartition(tasks, "key").mapInArrow(verify, "a long, b long").distinct())
 
 
+def rooted(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The written table of distinct fingerprints ``fp`` with the root fingerprint of their components."""
+    roots = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     fps = written(fingerprints(narrow(docs, "doc_id", "text"), ["doc_id"], shingle), "simhash")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(ids, "root").select("fp", "component_id")
+    groups = rooted(nodes, max_bits)
+    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = groups.join(ids, "root").select("fp", "component_id")
     return (fps.join(of_fp, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group, in its own columns: the one with the
-    component's id; of several rows with that id (or with null) any one."""
-    groups = near_duplicates(docs, shingle, max_bits)
-    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("chosen"))
+    """One document of each group, in its own columns: the first by doc_id (nulls
+    last), then by the hash of its text.  Rows are told apart by a key of their
+    own, written with them, so neither null nor repeated doc_ids merge groups."""
     plain = renamed(docs)
-    key = f"c{docs.columns.index('doc_id')}"
-    kept = plain.join(chosen.distinct(), F.col(key).eqNullSafe(F.col("chosen"))).drop("chosen")
-    return kept.dropDuplicates([key]).toDF(*docs.columns)
+    keyed = written(plain.withColumn("row", F.monotonically_increasing_id()), "simhash-rows")
+    key, text = (f"c{docs.columns.index(n)}" for n in ("doc_id", "text"))
+    rows = keyed.select(F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("doc_id"),
+                                 F.xxhash64(text).alias("hash"), "row").alias("first"), F.col(text).alias("text"))
+    nodes = written(fingerprints(rows, ["first"], shingle).groupBy("fp").agg(F.min("first").alias("first")), "simhash-nodes")
+    chosen = rooted(nodes, max_bits).groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return keyed.join(chosen, "row", "left_semi").select(*plain.columns).toDF(*docs.columns)
 
 
 def op9_simhash_near_dedup(spark, sf_dir) -> DataFrame:

@@ -235,6 +235,15 @@ def test_simhash_odd_and_whole(spark, small, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0 and simhash.one_of_each(odd.limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_groups_with_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in ("alpha", "beta", "gamma", "delta", "eps")]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]),
+            (None, texts[4]), (9, texts[4]), (8, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in simhash.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (8, texts[4])], key=str)
+
+
 def test_components_of_paths_and_stars(spark):
     rnd = random.Random(2)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(200, 201)]
