@@ -4,8 +4,9 @@ Every url is a set of tokens: host, last two host labels, first and last label,
 path segments (digits as #) and query keys.  Labelled pages (bad: quality 0 or toxic 1) are the
 transactions, with one more item for a bad label.  Spark's FP-growth mines the
 frequent combinations; rules ``tokens -> bad`` with at least ``min_support`` of the labelled
-pages (and ``min_count``), ``min_confidence``, and at most ``max_items`` tokens
-block the urls that hold all their tokens.  Rules are matched by inverted index:
+pages (and ``min_count``) and ``min_confidence``, of any number of tokens,
+block the urls that hold all their tokens; a rule that holds all tokens of a
+shorter one is implied by it and left out.  Rules are matched by inverted index:
 each rule is filed under its rarest token, a url looks up its own tokens and checks the
 few rules it finds.  Given rules (host and its subdomains, path prefix, the
 longest wins) come first; a url that nothing blocks is allowed.
@@ -49,7 +50,6 @@ class UrlConfig:
     min_support: float = 0.002
     min_count: int = 20
     min_confidence: float = 0.8
-    max_items: int = 2
 
 
 def host_of(url: Column) -> Column:
@@ -101,19 +101,38 @@ def mine(pages: DataFrame, labels: DataFrame, cfg: UrlConfig = UrlConfig()) -> D
     if least > n:
         return None
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=cfg.min_confidence).fit(seen)
-    return (model.associationRules.filter(F.array_contains("consequent", BAD) & (F.size("antecedent") <= cfg.max_items))
-            .select(F.array_sort("antecedent").alias("items"), "confidence", "support"))
-
-
-def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct urls that hold all tokens of some rule, by the rules' inverted index."""
-    rows = urls.select("url", tokens_of(F.col("url")).alias("tokens"), F.explode(tokens_of(F.col("url"))).alias("token"))
+    found = written(model.associationRules.filter(F.array_contains("consequent", BAD))
+                    .select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "url-rules-all")
+    return shortest(found)
+
+
+def shortest(rules: DataFrame) -> DataFrame:
+    """The rules that hold all tokens of no shorter rule: the others block no more urls."""
+    sizes = sorted(r[0] for r in rules.select(F.size("items")).distinct().collect())
+    kept = rules.limit(0)
+    for size in sizes:
+        now = rules.filter(F.size("items") == size)
+        if size > sizes[0]:
+            implied = holders(now.select(F.col("items").alias("tokens")), kept, "tokens")
+            now = now.join(implied.withColumnRenamed("tokens", "items"), "items", "left_anti")
+        kept = written(kept.union(now), "url-rules-kept")
+    return kept
+
+
+def holders(sets: DataFrame, rules: DataFrame, name: str) -> DataFrame:
+    """Distinct ``name`` of the rows whose ``tokens`` hold all tokens of some rule, by the rules' inverted index."""
+    rows = sets.withColumn("token", F.explode("tokens"))
     often = rows.groupBy("token").count()
-    filed = (rules.select("items", F.explode("items").alias("token")).join(often, "token")
-             .groupBy("items").agg(F.min(F.struct("count", "token")).alias("rarest"))
+    filed = (rules.select("items", F.explode("items").alias("token")).join(often, "token", "left")
+             .groupBy("items").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token")).alias("rarest"))
              .select("items", F.col("rarest.token").alias("token")))
     return (rows.join(filed, "token").filter(F.size(F.array_except("items", "tokens")) == 0)
-            .select("url").distinct())
+            .select(name).distinct())
+
+
+def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct urls that hold all tokens of some rule."""
+    return holders(urls.select("url", tokens_of(F.col("url")).alias("tokens")), rules, "url")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, cfg: UrlConfig = UrlConfig()) -> DataFrame:
@@ -137,7 +156,7 @@ def op8_url_filter(spark, sf_dir) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-#: The same rules by counting every token and token pair of the labelled pages.
+#: The rules of one and two tokens by counting every token and token pair of the labelled pages.
 OP8_SQL = r"""
 with parts as (
   select page_id, url,

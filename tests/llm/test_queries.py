@@ -194,6 +194,30 @@ def test_mined_url_rules_block_like_sql(spark):
     assert got == want and sum(r[3] is None and r[4] == "block" for r in got) > 20
 
 
+def test_mined_url_rules_of_three_tokens_like_brute_force(spark):
+    from itertools import combinations
+    parts = ("http://spam.org", "/buy", "?ref=1"), ("http://fine.net", "/read", "?id=2")
+    rows, labels = [], []
+    for n, pick in enumerate((a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)):
+        for i in range(40):
+            rows.append((100 * n + i, "".join(parts[k][j] for j, k in enumerate(pick))))
+            labels.append((100 * n + i, 0 if pick == (0, 0, 0) else 1, 0))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    tokens = {u: frozenset(t) for u, t in pages.select("url", urls.tokens_of(F.col("url"))).distinct().collect()}
+    seen = [(tokens[u], q == 0) for (_, u), (_, q, _) in zip(rows, labels)]
+    sets = {frozenset(c) for t in tokens.values() for k in range(1, len(t) + 1) for c in combinations(sorted(t), k)}
+    bad = {s: [b for t, b in seen if s <= t] for s in sets}
+    rules = {s for s, b in bad.items() if sum(b) >= 20 and sum(b) >= 0.8 * len(b)}
+    least = {s for s in rules if not any(r < s for r in rules)}
+    assert least and {len(s) for s in least} == {3}
+    cfg = urls.UrlConfig()
+    mined = [frozenset(r["items"]) for r in urls.mine(pages, lab, cfg).collect()]
+    assert len(mined) == len(set(mined)) and set(mined) == least
+    got = {(r["page_id"], r["verdict"]) for r in urls.judge(pages, lab, rules=(), cfg=cfg).collect()}
+    assert got == {(i, "block" if any(r <= tokens[u] for r in rules) else "allow") for i, u in rows}
+
+
 def brute_components(fps):
     root = {f: f for f in fps}
 
