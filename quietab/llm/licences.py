@@ -6,9 +6,11 @@ the matching statistic at a word is the longest run of words ending there that
 occurs in some template.  A base phrase ends at a word exactly if its state is
 the current state or one of its suffix-link ancestors (and the statistic is long enough).  Matches
 that cannot be extended and have at least ``min_match`` words are laid onto
-their templates, chained in order (text and template positions both rise,
-``max_gap`` words apart at most) and merged into spans; a template whose chained
-spans cover at least ``min_cover`` of its words gives its label.
+their templates and chained in order (text and template positions both rise) by
+dynamic programming over all matches and places; pieces of a chain at most ``max_gap``
+words apart are one span.  A template whose chained spans together cover at least
+``min_cover`` of its words, however far apart in the text, gives its label; the spans
+of every such chain, also of further copies, are reported, each with its own cover.
 
 Words: A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` over whole texts.
 Only runs of licence words enter the automaton (any other word resets it), so a
@@ -200,33 +202,86 @@ class Scanner:
                 before = now
             if before[1] >= self.min_match:
                 matches.append((start + len(run) - before[1], before[1], before[0]))
-        spans = self.chained(matches)
-        own = {s[0] for s in spans if s[3] >= self.min_cover}
+        score, spans = self.chained(matches)
+        own = {s[0] for s in spans}
         return {"n_words": len(words), "n_base": len(places), "first_word": min(places, default=None),
                 "last_word": max(places, default=None), "base_labels": ",".join(sorted(labels)),
                 "labels": ",".join(sorted(labels | own)),
-                "score": 1.0 if labels else round(max((s[3] for s in spans), default=0.0), 6),
-                "spans": [dict(zip(("template", "start", "end", "cover"), s)) for s in spans if s[3] >= self.min_cover]}
+                "score": 1.0 if labels else score,
+                "spans": [dict(zip(("template", "start", "end", "cover"), s)) for s in spans]}
 
-    def chained(self, matches: list) -> list[tuple]:
-        """(template, start, end, cover) of the chains of matches, in text order."""
-        open_chains: dict = {}
-        done = []
+    def chained(self, matches: list) -> tuple[float, list[tuple]]:
+        """Largest cover of a template, and (template, start, end, cover) of the spans of the chains with enough."""
+        of: dict = {}
         for start, n, state in matches:
             for k, end in self.gsa.places[state]:
-                if k >= len(self.names) or n > end:
-                    continue
-                chain = open_chains.get(k)
-                # [text start, text end, template end, covered words]
-                if chain and end > chain[2] and start + n > chain[1] and start - chain[1] <= self.max_gap:
-                    new = min(n, start + n - chain[1], end - chain[2])
-                    chain[1], chain[2], chain[3] = start + n, end, chain[3] + new
-                elif not chain or start >= chain[1]:
-                    if chain:
-                        done.append((k, *chain))
-                    open_chains[k] = [start, start + n, end, n]
-        done.extend((k, *c) for k, c in open_chains.items())
-        return sorted((self.names[k], a, b, round(min(1.0, c / self.sizes[k]), 6)) for k, a, b, _, c in done)
+                if k < len(self.names) and n <= end:
+                    of.setdefault(k, []).append((start, start + n, end))
+        score, spans = 0.0, []
+        for k, segments in of.items():
+            def part(covered, size=self.sizes[k]):
+                return round(min(1.0, covered / size), 6)
+            most = part(max(chains(segments)[0]))
+            score = max(score, most)
+            if most < self.min_cover:
+                continue
+            for far in (False, True):  # whole copies first, then copies in pieces
+                found, segments = self.taken(segments, far, part)
+                spans.extend((self.names[k], a, b, part(c)) for a, b, c in found)
+        return score, sorted(spans)
+
+    def taken(self, segments: list, far: bool, part) -> tuple[list, list]:
+        """Spans (start, end, covered words) of the chains with enough cover that
+        share no word of the text, best first, and the segments apart from them."""
+        spans = []
+        while segments:
+            covered, back = chains(segments, None if far else self.max_gap)
+            used = bytearray(segments[-1][1])
+            for i in sorted(range(len(segments)), key=lambda i: -covered[i]):
+                if part(covered[i]) < self.min_cover:
+                    break
+                pieces: list = []
+                while i >= 0:
+                    a, b, _ = segments[i]
+                    c = covered[i] - (covered[back[i]] if back[i] >= 0 else 0)
+                    if pieces and pieces[-1][0] - b <= self.max_gap:
+                        pieces[-1] = (a, pieces[-1][1], pieces[-1][2] + c)
+                    else:
+                        pieces.append((a, b, c))
+                    i = back[i]
+                if not any(1 in used[a:b] for a, b, _ in pieces):
+                    spans.extend(pieces)
+                    for a, b, _ in pieces:
+                        used[a:b] = b"\1" * (b - a)
+            if 1 not in used:
+                break
+            segments = [s for s in segments if 1 not in used[s[0]:s[1]]]
+        return spans, segments
+
+
+def chains(segments: list, max_gap: int | None = None) -> tuple[list, list]:
+    """Of (text start, text end, template end) with rising starts and ends: the
+    template words covered by the best chain up to each, and its last segment but
+    one (-1: none; ties: the nearest).  Chains up to a template end that lie wholly
+    before a segment differ in cover only, so the work is linear in the segments."""
+    covered, back = [], []
+    settled: dict = {}  # template end -> best segment that ends before the present one
+    low = 0
+    for i, (a, b, e) in enumerate(segments):
+        while segments[low][1] <= a if max_gap is None else segments[low][1] < a - max_gap:
+            end = segments[low][2]
+            if max_gap is None and (end not in settled or covered[low] >= covered[settled[end]]):
+                settled[end] = low
+            low += 1
+        best, last = b - a, -1
+        for j in sorted((*settled.values(), *range(low, i))):
+            if segments[j][2] < e and segments[j][1] < b:
+                c = covered[j] + min(b - a, b - segments[j][1], e - segments[j][2])
+                if c > best or (c == best and last >= 0):
+                    best, last = c, j
+        covered.append(best)
+        back.append(last)
+    return covered, back
 
 
 @cache

@@ -230,6 +230,34 @@ def test_licence_base_places_and_spans():
     assert scan.scan(licences.words_of(b"nothing here at all"))["labels"] == ""
 
 
+def test_licence_chains_across_insertions_and_repeats():
+    scan = licences.default_scanner()
+    words = licences.TEMPLATES["mit-text"].split()
+    cut = len(words) * 55 // 100
+    inserted = " ".join(f"inserted{i}" for i in range(10)).split()
+    got = scan.scan(licences.words_of(" ".join(words[:cut] + inserted + words[cut:]).encode()))
+    spans = [s for s in got["spans"] if s["template"] == "mit-text"]
+    assert "mit-text" in got["labels"].split(",") and got["score"] == 1.0
+    assert len(spans) == 2 and all(s["cover"] < 0.75 for s in spans) and spans[0]["end"] + 10 == spans[1]["start"]
+    twice = scan.scan(licences.words_of(" ".join(words + inserted + words).encode()))
+    assert [s["cover"] for s in twice["spans"] if s["template"] == "mit-text"] == [1.0, 1.0]
+    # "a b c" occurs twice in the template: the later place carries the chain on
+    own = licences.Scanner({}, {"t": "a b c d e f g h i j a b c k l m n o p q"})
+    assert own.scan(b"d e f g h i j x a b c y k l m n o p q".split())["labels"] == "t"
+    for _ in range(300):
+        segments, a, b = [], 0, 0
+        for _ in range(rnd.randint(1, 7)):
+            a += rnd.randint(1, 4)
+            b = max(b + 1, a + rnd.randint(1, 4))
+            segments.extend((a, b, e) for e in sorted({rnd.randint(b - a, 12 + b - a) for _ in range(2)}))
+        for gap in (None, 2):
+            want = []
+            for i, (a1, b1, e1) in enumerate(segments):
+                want.append(max([b1 - a1] + [want[j] + min(b1 - a1, b1 - b0, e1 - e0) for j, (_, b0, e0) in enumerate(segments[:i])
+                                            if b0 < b1 and e0 < e1 and (gap is None or a1 - b0 <= gap)]))
+            assert licences.chains(segments, gap)[0] == want
+
+
 def plain_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
