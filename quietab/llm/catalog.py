@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quietab.llm import decontam, langid, licences, packing, quality, simhash, token_counts, token_files, toxicity, urls
+from quietab.llm import (audit, decontam, langid, licences, packing, quality, simhash, token_counts, token_files,
+                         toxicity, urls)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_filter_interaction_audit": audit.op11_filter_interaction_audit,
 }
 
-ORACLES: dict[str, str] = {"op8_url_filter": urls.OP8_SQL}
+ORACLES: dict[str, str] = {"op8_url_filter": urls.OP8_SQL, "op11_filter_interaction_audit": audit.OP11_SQL}
