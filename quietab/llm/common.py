@@ -94,7 +94,7 @@ def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[in
 
 def map_text(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[], Callable[[list], dict]],
              text: str = "text", keep: Sequence[str] | None = None,
-             only: str | None = None) -> DataFrame:
+             only: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Append ``fields`` computed from the text column.
 
     ``make()`` runs once per task and returns ``f(list of bytes or None) -> {field: values}``.
@@ -116,7 +116,7 @@ def map_text(df: DataFrame, fields: Sequence[T.StructField], make: Callable[[],
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            for lo, hi, block in blocks(b.column("t")):
+            for lo, hi, block in blocks(b.column("t"), block_bytes):
                 got = f(block)
                 cols = [b.column(k).slice(lo, hi - lo) for k in range(len(passed))]
                 if only:
