@@ -142,3 +142,19 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np
     """Sum of values[start : start + len] for each segment (empty: 0)."""
     c = np.concatenate(([0], np.cumsum(values, dtype=np.float64)))
     return c[starts + lens] - c[starts]
+
+
+def word_ids(texts: list, fold: np.ndarray, gaps: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of all texts, each word's place among them, and the number of words before each
+    text (with the total at the end).  ``gaps`` tells the bytes between words, once ``fold`` has
+    replaced every byte of the texts."""
+    data, starts, _ = joined(texts, b" ")
+    data = fold[data]
+    solid = ~gaps[data]
+    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
+    begins = np.flatnonzero(edge == 1)
+    offsets = np.concatenate(([0], np.cumsum(np.flatnonzero(edge == -1) - begins)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(begins), [
+        None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]).dictionary_encode()
+    before = np.append(np.searchsorted(begins, starts), len(begins))
+    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), before

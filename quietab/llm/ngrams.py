@@ -10,12 +10,12 @@ distribution over the distinct training tokens and one unknown token, so an
 order's probabilities sum to 1.
 
 Counting, as Spark shuffles: a task counts the distinct n-grams of its texts and deals
-them by the n-gram's own 64-bit hash, so no key is hot -- a frequent word's n-grams
-spread over all shards.  A shard's task merges the runs dealt to it, writes a sorted hash array
-of its n-grams into the shared folder, and deals partial sums on: statistics of the
-context by the context's hash, and counts of the next lower order by that n-gram's hash.  One shuffle
-an order; the driver gets one row of counts of counts a shard.  The number of
-shards follows the bytes of text.
+them by the hash of their context; n-grams of hot contexts (a share of ``HOT`` of all tokens, found
+by a scan) by their own hash, so that a frequent word's n-grams spread over all shards.
+A shard's task merges the runs dealt to it, writes sorted hash arrays
+of its n-grams and contexts into the shared folder, and deals on partial counts of the next lower
+order and of the hot contexts.  One shuffle an order; the driver gets one row of counts of counts a
+shard and order.  The number of shards follows the bytes of text.
 
 Storage: per order and shard one file of sorted hash arrays, n-grams seen once as bare
 hashes, the others with their counts.  Files appear by an atomic move and depend on
@@ -41,12 +41,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quietab.llm.common import LOWER_TABLE, joined, map_text, narrow, small_batches, table
+from quietab.llm.common import LOWER_TABLE, map_text, narrow, small_batches, table, word_ids, written
 from quietab.session import checkpoint_dir
 
 U64 = np.uint64
@@ -56,12 +57,15 @@ END, START = U64(xxhash.xxh64_intdigest(b" end")), U64(xxhash.xxh64_intdigest(b"
 RUN_BYTES = 24 << 20
 SCORE_BYTES = 12 << 20
 #: bytes of training text for each shard of the model
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
+#: share of all tokens that makes a context hot
+HOT = 1e-4
 
-LOWER = np.frombuffer(LOWER_TABLE, np.uint8)
+FOLD = np.frombuffer(LOWER_TABLE, np.uint8)
 IS_GAP = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
-ROWS = "shard int, kind string, a binary, w binary, k binary, r binary"
+ROWS = "shard int, kind string, a binary, n binary, w binary, k binary, r binary"
+NAMES = ["shard", "kind", *"anwkr"]
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
           T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
           T.StructField("perplexity", T.DoubleType())]
@@ -84,21 +88,11 @@ def context_hash(words: list) -> np.ndarray:
 
 def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each distinct token (the last one: the end), each token's place there, first token of each text."""
-    data, starts, _ = joined(texts, b" ")
-    gap = IS_GAP[data]
-    first = ~gap
-    first[1:] &= gap[:-1]
-    begins = np.flatnonzero(first)
-    solid = np.cumsum(~gap)
-    offsets = np.concatenate((solid[begins] - 1, solid[-1:])).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(begins),
-                                  [None, pa.py_buffer(offsets), pa.py_buffer(LOWER[data[~gap]])]).dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), U64, len(words.dictionary))
-    before = np.searchsorted(begins, starts)
-    at = before + np.arange(len(texts))
-    ids = np.full(len(begins) + len(texts), len(hashes), np.int64)
-    ids[np.arange(len(begins)) + np.searchsorted(starts, begins, "right") - 1] = words.indices.to_numpy()
-    return np.append(hashes, END), ids, at
+    words, places, before = word_ids(texts, FOLD, IS_GAP)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), U64, len(words))
+    ids = np.full(len(places) + len(texts), len(hashes), np.int64)
+    ids[np.arange(len(places)) + np.repeat(np.arange(len(texts)), np.diff(before))] = places
+    return np.append(hashes, END), ids, before[:-1] + np.arange(len(texts))
 
 
 def shifted(tokens: np.ndarray, at: np.ndarray, start) -> np.ndarray:
@@ -114,15 +108,42 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(shards)) >> U64(32)
 
 
-def dealt(kind: str, keys: np.ndarray, shards: int, **columns: np.ndarray) -> pa.RecordBatch:
-    """Rows of one shard each from columns in the order of their sorted keys."""
-    of = shard_of(keys, shards)
+def packed(values: np.ndarray) -> bytes:
+    """Small integers, by zstd (hashes cannot be made smaller, counts can)."""
+    return zstandard.compress(values.astype(np.int64, copy=False).tobytes(), 1)
+
+
+def unpacked(blobs: list[bytes], each: int = 1) -> np.ndarray:
+    """All packed runs of ``each`` columns, one after the other."""
+    parts = [np.frombuffer(zstandard.decompress(x), np.int64).reshape(each, -1) for x in blobs if x]
+    return np.concatenate(parts or [np.zeros((each, 0), np.int64)], axis=1)
+
+
+def dealt(kind: str, of: np.ndarray, a: np.ndarray | None = None, w: np.ndarray | None = None,
+          k: np.ndarray | None = None, r: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows of one shard each, from columns in the order of their shard ``of``: runs of equal
+    contexts ``a`` with their lengths ``n``, words ``w`` and the counts ``k`` and ``r``."""
     cuts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)])) if len(of) else np.zeros(1, np.int64)
-    runs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-    made = {c: [v[..., i:j].tobytes() for i, j in runs] for c, v in columns.items()}
-    return pa.RecordBatch.from_arrays(
-        [pa.array([int(of[i]) for i, _ in runs], pa.int32()), pa.array([kind] * len(runs), pa.string())]
-        + [pa.array(made.get(c, [b""] * len(runs)), pa.binary()) for c in "awkr"], ["shard", "kind", *"awkr"])
+    rows = []
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        heads = lens = b""
+        if a is not None:
+            own = a[i:j]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            heads, lens = own[first].tobytes(), packed(np.diff(np.append(first, j - i)))
+        rows.append((int(of[i]), kind, heads, lens, b"" if w is None else w[..., i:j].tobytes(),
+                     b"" if k is None else packed(k[..., i:j]), b"" if r is None else packed(r[i:j])))
+    columns = list(zip(*rows)) or [()] * 7
+    types = [pa.int32(), pa.string()] + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], NAMES)
+
+
+def gram_shards(a: np.ndarray, keys: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """n-grams go with their context, so that it is stored once; those of hot contexts by their own hash."""
+    of = shard_of(a, shards)
+    at = np.isin(a, hot)
+    of[at] = shard_of(keys[at], shards)
+    return of
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
@@ -176,30 +197,42 @@ def split_once(keys: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
     return [keys[once], keys[~once], *[v[~once] for v in values]]
 
 
-def find(store: Store, kind: str, shards: int, keys: np.ndarray, n_values: int) -> list[np.ndarray]:
-    """Values of sorted keys (0: not there), shard by shard."""
+def find(store: Store, kind: str, shards: int, keys: np.ndarray, n_values: int, of: np.ndarray | None = None) -> list[np.ndarray]:
+    """Values of sorted keys (0: not there), shard by shard; ``of``: their shards, where not by the key itself."""
     out = [np.zeros(len(keys), np.int64) for _ in range(n_values)]
-    of = shard_of(keys, shards)
-    cuts = np.searchsorted(of, np.arange(shards + 1, dtype=U64))
+    if of is None:
+        of = shard_of(keys, shards)
+        order, cuts = None, np.searchsorted(of, np.arange(shards + 1, dtype=U64))
+    else:
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(shards + 1, dtype=U64))
     for s in range(shards):
         i, j = cuts[s], cuts[s + 1]
         if i == j:
             continue
         once, more, *values = store.get(f"{kind}-{s:06d}")
-        own = keys[i:j]
-        if len(once):
-            at = np.minimum(np.searchsorted(once, own), len(once) - 1)
-            hit = once[at] == own
-            for o in out:
-                o[i:j][hit] = 1
-        if len(more):
-            at = np.minimum(np.searchsorted(more, own), len(more) - 1)
-            hit = more[at] == own
-            for o, v in zip(out, values):
-                o[i:j][hit] = v[at[hit]]
+        place = slice(i, j) if order is None else order[i:j]
+        own = keys[place]
+        for o, v in zip(out, _among(own, once, more, values)):
+            o[place] = v
     return out
 
 
+def _among(own: np.ndarray, once: np.ndarray, more: np.ndarray, values: list) -> list[np.ndarray]:
+    got = [np.zeros(len(own), np.int64) for _ in values]
+    if len(once):
+        at = np.minimum(np.searchsorted(once, own), len(once) - 1)
+        hit = once[at] == own
+        for g in got:
+            g[hit] = 1
+    if len(more):
+        at = np.minimum(np.searchsorted(more, own), len(more) - 1)
+        hit = more[at] == own
+        for g, v in zip(got, values):
+            g[hit] = v[at[hit]]
+    return got
+
+
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Of counts 1, 2 and at least 3, from the numbers of n-grams with count 1, 2, 3 and 4."""
     if not all(n[:3]):
@@ -208,72 +241,121 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.01), float(j)) for j in (1, 2, 3))
 
 
-def _column(t: pa.Table, name: str, kind=U64) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in t.column(name).to_pylist()] or [np.zeros(0, kind)])
-
-
-def _words(t: pa.Table, each: int) -> np.ndarray:
-    """The (word, n-gram) matrix of all runs."""
-    parts = [np.frombuffer(x, U64).reshape(each, -1) for x in t.column("w").to_pylist()]
-    return np.concatenate(parts or [np.zeros((each, 0), U64)], axis=1)
+def _put_contexts(store: Store, name: str, keys: np.ndarray, sums: list) -> None:
+    """Total, and numbers of n-grams with count 1, 2, at least 3; a context with total 1 as bare hash."""
+    once = sums[0] == 1
+    store.put(name, [keys[once], keys[~once], *[s[~once] for s in sums]])
 
 
-def _merge(level: int, order: int, shards: int, uri: str):
-    """The step of one order: writes its n-grams (and the contexts of the order
-    above), deals its contexts and the lower order's n-grams."""
+def _merge(level: int, order: int, shards: int, uri: str, shared):
+    """The step of one order: merges the runs of a shard, writes its n-grams and contexts, and deals
+    the lower order's n-grams and its part of the hot contexts' statistics."""
     def run(t: pa.Table) -> pa.Table:
-        store, shard = Store(uri), t.column("shard")[0].as_py()
-        kinds = t.column("kind")
-        pick = lambda kind: t.filter(pa.compute.equal(kinds, kind))
-        out = [pick("stats").to_batches()]
+        store, shard, hot = Store(uri), t.column("shard")[0].as_py(), shared.value
+        pick = lambda kind: t.filter(pa.compute.equal(t.column("kind"), kind))
+        blobs = lambda rows, name: rows.column(name).to_pylist()
+        hashes = lambda rows, name, each=1: np.concatenate(
+            [np.frombuffer(x, U64).reshape(each, -1) for x in blobs(rows, name)] or [np.zeros((each, 0), U64)], axis=1)
+        out = pick("stats").to_batches()
         if level < order:
             c = pick("context")
-            stats = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in c.column("k").to_pylist()]
-                                   or [np.zeros((4, 0), np.int64)], axis=1)
-            keys, _, sums = summed(_column(c, "a"), *stats)
-            n1 = sums[1]  # a context seen once has total 1 and n1 1, n2 and n3 0
-            once = (sums[0] == 1) & (n1 == 1)
-            store.put(f"context{level + 1}-{shard:06d}", [keys[once], keys[~once], *[s[~once] for s in sums]])
+            at, _, sums = summed(hashes(c, "a")[0], *unpacked(blobs(c, "k"), 4))
+            _put_contexts(store, f"hot{level + 1}-{shard:06d}", at, sums)
         g = pick("gram")
-        words = _words(g, max(1, level - 1))
-        count = _column(g, "k", np.int64)
-        raw = _column(g, "r", np.int64) if level < order else count
-        a = _column(g, "a") if level > 1 else words[0]
+        words = hashes(g, "w", max(1, level - 1))
+        (count,) = unpacked(blobs(g, "k"))
+        raw = unpacked(blobs(g, "r"))[0] if level < order else count
+        a = np.repeat(hashes(g, "a")[0], unpacked(blobs(g, "n"))[0]) if level > 1 else words[0]
+        del g, t
         keys, place, (count, raw) = summed(mix(a, words[-1]) if level > 1 else a, count, raw)
         a, words = a[place], words[:, place]
         n = [int((count == i).sum()) for i in (1, 2, 3, 4)]
         told = np.array([level, *n, len(count), count.sum(), raw.sum()], np.int64)
-        out.append([pa.RecordBatch.from_arrays(
+        out.append(pa.RecordBatch.from_arrays(
             [pa.array([shard], pa.int32()), pa.array(["stats"]), *[pa.array([x], pa.binary()) for x in
-                                                                  (b"", b"", told.tobytes(), b"")]],
-            ["shard", "kind", *"awkr"])])
+                                                                  (b"", b"", b"", told.tobytes(), b"")]], NAMES))
         store.put(f"gram{level}-{shard:06d}", split_once(keys, [count] if level > 1 else [count, raw]))
+        del keys
         if level > 1:
             at, _, sums = summed(a, count, count == 1, count == 2, count >= 3)
-            out.append([dealt("context", at, shards, a=at, k=np.array(sums, np.int64).reshape(4, -1))])
+            is_hot = np.isin(at, hot)
+            _put_contexts(store, f"context{level}-{shard:06d}", at[~is_hot], [s[~is_hot] for s in sums])
+            out.append(dealt("context", shard_of(at[is_hot], shards), a=at[is_hot], k=np.array([s[is_hot] for s in sums])))
+            del a, at, sums, is_hot
+            one = np.ones(len(count), np.int64)
             if level > 2:
                 low = context_hash(list(words[:-1]))
-                lower, place, (seen, raw) = summed(mix(low, words[-1]), np.ones(len(count), np.int64), raw)
-                out.append([dealt("gram", lower, shards, a=low[place], w=words[1:, place], k=seen, r=raw)])
+                lower, place, (seen, raw) = summed(mix(low, words[-1]), one, raw)
+                low, words = low[place], words[1:, place]
+                out.append(in_shards(low, lower, words, seen, raw, hot, shards))
             else:
-                lower, place, (seen, raw) = summed(words[0], np.ones(len(count), np.int64), raw)
-                out.append([dealt("gram", lower, shards, w=words[:, place], k=seen, r=raw)])
-        return pa.Table.from_batches([b for bs in out for b in bs]).select(["shard", "kind", *"awkr"])
+                lower, place, (seen, raw) = summed(words[0], one, raw)
+                out.append(dealt("gram", shard_of(lower, shards), w=words[:, place], k=seen, r=raw))
+        return pa.Table.from_batches(out).select(NAMES)
     return run
 
 
+def in_shards(a, keys, words, count, raw, hot, shards) -> pa.RecordBatch:
+    """n-grams dealt to their shards."""
+    of = gram_shards(a, keys, hot, shards)
+    order = np.lexsort((a, of))
+    return dealt("gram", of[order], a=a[order], w=words[:, order], k=count[order], r=None if raw is None else raw[order])
+
+
+def contexts(waiting: list, order: int) -> tuple[list, list]:
+    """Hashes of the last words of each token's n-gram (the oldest first), and of its context in each order."""
+    hashes, ids, at = tokens(waiting)
+    words = [hashes[ids]]
+    for _ in range(order - 1):
+        words.insert(0, shifted(words[0], at, START))
+    return words, [context_hash(words[order - k:-1]) for k in range(2, order + 1)]
+
+
+def in_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+    """The texts of a task in lists of about ``RUN_BYTES``."""
+    waiting, held = [], 0
+    for b in batches:
+        for text in b.column(0).cast(pa.binary()).to_pylist():
+            waiting.append(text)
+            held += len(text or b"") + 1
+            if held >= RUN_BYTES:
+                yield waiting
+                waiting, held = [], 0
+    if waiting:
+        yield waiting
+
+
 @dataclass(frozen=True)
 class Model:
     """What scoring tasks need besides the files."""
     uri: str
     shards: int
     order: int
+    hot: np.ndarray  # hashes of the contexts whose n-grams lie in all shards
     discounts: tuple  # of orders 1, 2, ...
     low: tuple  # order 1: n-grams with count 1, 2, at least 3; sum of counts
     train_tokens: int
     train_words: int
 
 
+def hot_contexts(texts: DataFrame, order: int) -> np.ndarray:
+    """Hashes of the contexts that hold a share of ``HOT`` of all tokens: at most 1 / HOT an order."""
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in in_runs(batches):
+            words, all_contexts = contexts(run, order)
+            total = len(words[0])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], ["a", "n"])
+            for a in all_contexts:
+                at, n = np.unique(a, return_counts=True)
+                often = n >= HOT * total  # a context that is hot in all is hot in a run
+                yield pa.RecordBatch.from_arrays([pa.array(at[often].view(np.int64)), pa.array(n[often])], ["a", "n"])
+
+    found = written(texts.mapInArrow(count, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")), "contexts")
+    total = found.filter("a is null").agg(F.sum("n")).first()[0] or 0
+    rows = found.filter((F.col("a").isNotNull()) & (F.col("n") >= HOT * total)).select("a").collect()
+    return np.sort(np.array([r["a"] for r in rows], np.int64).view(U64))
+
+
 def train(docs: DataFrame, order: int = 2) -> Model:
     """The model of all texts of ``docs`` (order 2 or more), its arrays written to the shared folder."""
     if order < 2:
@@ -284,38 +366,25 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + size // SHARD_BYTES
     uri = os.path.join(checkpoint_dir(spark), f"ngrams-{uuid.uuid4().hex[:12]}")
+    hot = hot_contexts(texts, order)
+    shared = spark.sparkContext.broadcast(hot)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], 0
-
-        def flush():
-            hashes, ids, at = tokens(waiting)
-            words = [hashes[ids]]
-            for _ in range(order - 1):
-                words.append(shifted(words[-1], at, START))
-            words.reverse()  # the oldest word first
-            a = context_hash(words[:-1])
+        for run in in_runs(batches):
+            words, all_contexts = contexts(run, order)
+            a = all_contexts[-1]
             keys, place, (n,) = summed(mix(a, words[-1]), np.ones(len(a), np.int64))
-            return dealt("gram", keys, shards, a=a[place], w=np.array([w[place] for w in words[1:]]), k=n)
-
-        for b in batches:
-            for text in b.column(0).cast(pa.binary()).to_pylist():
-                waiting.append(text)
-                held += len(text or b"") + 1
-                if held >= RUN_BYTES:
-                    yield flush()
-                    waiting, held = [], 0
-        if waiting:
-            yield flush()
-
-    every = spark.range(shards).selectExpr("cast(id as int) shard", "'shard' kind", *[f"cast('' as binary) {c}" for c in "awkr"])
+            a, words = a[place], np.array([w[place] for w in words[1:]])
+            yield in_shards(a, keys, words, n, None, shared.value, shards)
+
+    every = spark.range(shards).selectExpr("cast(id as int) shard", "'shard' kind", *[f"cast('' as binary) {c}" for c in "anwkr"])
     rows = texts.mapInArrow(count, ROWS).unionAll(every)  # so that each shard has its files
     for level in range(order, 0, -1):
-        rows = rows.groupBy("shard").applyInArrow(_merge(level, order, shards, uri), ROWS)
+        rows = rows.groupBy("shard").applyInArrow(_merge(level, order, shards, uri, shared), ROWS)
     told = [np.frombuffer(r["k"], np.int64) for r in rows.filter("kind = 'stats'").collect()]  # one a shard and order
     by_level = {k: sum((x[1:] for x in told if x[0] == k), np.zeros(7, np.int64)).tolist() for k in range(1, order + 1)}
     n1, n2, _, _, distinct, total, raw = by_level[1]
-    return Model(uri, shards, order, tuple(discounts(by_level[k][:4]) for k in range(1, order + 1)),
+    return Model(uri, shards, order, hot, tuple(discounts(by_level[k][:4]) for k in range(1, order + 1)),
                  (n1, n2, distinct - n1 - n2, total), raw, distinct)
 
 
@@ -343,13 +412,17 @@ def log_probabilities(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray
         words.insert(0, shifted(words[0], at, START))
         a = context_hash(words[:-1])
         d = model.discounts[level - 1]
-        keys, of = np.unique(mix(a, words[-1]), return_inverse=True)
-        (count,) = find(store, f"gram{level}", model.shards, keys, 1)
+        keys, first, of = np.unique(mix(a, words[-1]), return_index=True, return_inverse=True)
+        (count,) = find(store, f"gram{level}", model.shards, keys, 1,
+                        gram_shards(a[first], keys, model.hot, model.shards))
         seen = discounted(count, d)[of]
         keys, of = np.unique(a, return_inverse=True)
-        total, n1, n2, n3 = find(store, f"context{level}", model.shards, keys, 4)
-        once = (total == 1)
-        n2[once] = n3[once] = 0  # kept as bare hashes
+        stats = np.zeros((4, len(keys)), np.int64)
+        is_hot = np.isin(keys, model.hot)
+        stats[:, ~is_hot] = find(store, f"context{level}", model.shards, keys[~is_hot], 4)
+        stats[:, is_hot] = find(store, f"hot{level}", model.shards, keys[is_hot], 4)
+        total, n1, n2, n3 = stats
+        n2[total == 1] = n3[total == 1] = 0  # kept as bare hashes
         known = total > 0
         total = np.maximum(total, 1)
         rest = np.where(known, (d[0] * n1 + d[1] * n2 + d[2] * n3) / total, 1.0)[of]

@@ -65,6 +65,7 @@ class Plain:
 def test_equals_plain_dictionaries(spark, order, monkeypatch):
     monkeypatch.setattr(ngrams, "SHARD_BYTES", 1500)
     monkeypatch.setattr(ngrams, "RUN_BYTES", 900)
+    monkeypatch.setattr(ngrams, "HOT", {2: 0.01, 3: 1e-4, 4: 0.005}[order])
     rnd = random.Random(order)
     words = [f"w{int(rnd.expovariate(0.08))}" for _ in range(400)]
     texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
@@ -72,7 +73,7 @@ def test_equals_plain_dictionaries(spark, order, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     learn = docs.filter("doc_id % 7 <> 0")
     model = ngrams.train(learn, order)
-    assert model.shards > 4
+    assert model.shards > 4 and len(model.hot)
     plain = Plain([t for i, t in enumerate(texts) if i % 7], order)
     assert model.train_tokens == sum(plain.raw.values()) and model.train_words == len(plain.raw)
     got = {r["doc_id"]: r for r in ngrams.score(docs, model, ["doc_id"]).collect()}
