@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quietab.llm import (audit, decontam, langid, licences, ngrams, packing, quality, simhash, token_counts,
-                         token_files, toxicity, urls)
+from quietab.llm import (audit, decontam, langid, licences, ngrams, packing, quality, search, simhash,
+                         token_counts, token_files, toxicity, urls)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,7 +17,9 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_filter_interaction_audit": audit.op11_filter_interaction_audit,
+    "op12_ranked_search": search.op12_ranked_search,
     "op13_lm_scoring": ngrams.op13_lm_scoring,
 }
 
-ORACLES: dict[str, str] = {"op8_url_filter": urls.OP8_SQL, "op11_filter_interaction_audit": audit.OP11_SQL}
+ORACLES: dict[str, str] = {"op8_url_filter": urls.OP8_SQL, "op11_filter_interaction_audit": audit.OP11_SQL,
+                           "op12_ranked_search": search.OP12_SQL}

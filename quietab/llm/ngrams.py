@@ -54,8 +54,8 @@ U64 = np.uint64
 #: tokens that no text holds (words have no space)
 END, START = U64(xxhash.xxh64_intdigest(b" end")), U64(xxhash.xxh64_intdigest(b" start"))
 #: bytes of text counted or scored at once inside a task
-RUN_BYTES = 24 << 20
-SCORE_BYTES = 12 << 20
+RUN_BYTES = 12 << 20
+SCORE_BYTES = 8 << 20
 #: bytes of training text for each shard of the model
 SHARD_BYTES = 16 << 20
 #: share of all tokens that makes a context hot
@@ -302,13 +302,23 @@ def in_shards(a, keys, words, count, raw, hot, shards) -> pa.RecordBatch:
     return dealt("gram", of[order], a=a[order], w=words[:, order], k=count[order], r=None if raw is None else raw[order])
 
 
-def contexts(waiting: list, order: int) -> tuple[list, list]:
-    """Hashes of the last words of each token's n-gram (the oldest first), and of its context in each order."""
-    hashes, ids, at = tokens(waiting)
+def token_words(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, order: int) -> list:
+    """Hashes of the words of each token's n-gram, the oldest first."""
     words = [hashes[ids]]
     for _ in range(order - 1):
         words.insert(0, shifted(words[0], at, START))
-    return words, [context_hash(words[order - k:-1]) for k in range(2, order + 1)]
+    return words
+
+
+def context_counts(texts: list, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, number of tokens) of the contexts of each order."""
+    hashes, ids, at = tokens(texts)
+    times = np.bincount(ids, minlength=len(hashes))
+    yield np.append(hashes[:-1], START), np.append(times[:-1], len(texts))  # a token precedes another, unless it is an end
+    if order > 2:
+        words = token_words(hashes, ids, at, order)
+        for k in range(3, order + 1):
+            yield np.unique(context_hash(words[order - k:-1]), return_counts=True)
 
 
 def in_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
@@ -342,11 +352,10 @@ def hot_contexts(texts: DataFrame, order: int) -> np.ndarray:
     """Hashes of the contexts that hold a share of ``HOT`` of all tokens: at most 1 / HOT an order."""
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in in_runs(batches):
-            words, all_contexts = contexts(run, order)
-            total = len(words[0])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], ["a", "n"])
-            for a in all_contexts:
-                at, n = np.unique(a, return_counts=True)
+            for k, (at, n) in enumerate(context_counts(run, order)):
+                total = int(n.sum())
+                if not k:
+                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], ["a", "n"])
                 often = n >= HOT * total  # a context that is hot in all is hot in a run
                 yield pa.RecordBatch.from_arrays([pa.array(at[often].view(np.int64)), pa.array(n[often])], ["a", "n"])
 
@@ -371,8 +380,8 @@ def train(docs: DataFrame, order: int = 2) -> Model:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in in_runs(batches):
-            words, all_contexts = contexts(run, order)
-            a = all_contexts[-1]
+            words = token_words(*tokens(run), order)
+            a = context_hash(words[:-1])
             keys, place, (n,) = summed(mix(a, words[-1]), np.ones(len(a), np.int64))
             a, words = a[place], np.array([w[place] for w in words[1:]])
             yield in_shards(a, keys, words, n, None, shared.value, shards)
@@ -412,11 +421,19 @@ def log_probabilities(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray
         words.insert(0, shifted(words[0], at, START))
         a = context_hash(words[:-1])
         d = model.discounts[level - 1]
-        keys, first, of = np.unique(mix(a, words[-1]), return_index=True, return_inverse=True)
-        (count,) = find(store, f"gram{level}", model.shards, keys, 1,
-                        gram_shards(a[first], keys, model.hot, model.shards))
+        keys, of = np.unique(mix(a, words[-1]), return_inverse=True)
+        own = np.empty_like(keys)
+        own[of] = a
+        (count,) = find(store, f"gram{level}", model.shards, keys, 1, gram_shards(own, keys, model.hot, model.shards))
         seen = discounted(count, d)[of]
-        keys, of = np.unique(a, return_inverse=True)
+        if level == 2:  # one word: numbered already
+            keys = np.append(hashes, START)
+            rank = np.argsort(keys)
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))
+            keys, of = keys[rank], place[shifted(ids, at, len(hashes))]
+        else:
+            keys, of = np.unique(a, return_inverse=True)
         stats = np.zeros((4, len(keys)), np.int64)
         is_hot = np.isin(keys, model.hot)
         stats[:, ~is_hot] = find(store, f"context{level}", model.shards, keys[~is_hot], 4)
