@@ -48,9 +48,11 @@ TOP = 10
 #: bytes of item text searched with one index
 ITEM_BYTES = 4 << 20
 #: postings and documents of one portion
-PORTION_POSTINGS, PORTION_DOCS = 1 << 17, 1 << 14
+PORTION_POSTINGS, PORTION_DOCS = 1 << 16, 1 << 14
 #: documents of a geometric block, and fewest with a summary of their own
 BLOCK, LEAST = 128, 16
+#: entries of documents that summaries are made of at once
+BUFFER = 1 << 19
 #: dimensions of the hashed vectors that clustering compares
 SKETCH = 64
 #: summaries count in this unit, rounded up
@@ -127,23 +129,24 @@ def portion_index(starts: np.ndarray, terms: np.ndarray, impacts: np.ndarray, we
     owned = sizes >= LEAST
     most = np.zeros(vocabulary, np.int64)
     np.maximum.at(most, terms, impacts)
+    small = (-(-impacts // UNIT)).astype(np.int32)
     found = []
     which = np.flatnonzero(owned)
     spread = np.add.reduceat(lens[block_docs], block_starts[:-1]) if len(block_docs) else sizes
     at = 0
     while at < len(which):  # as many blocks at once as fit in the buffers
-        cost = np.maximum(np.cumsum(spread[which[at:]]) // (1 << 21), np.arange(1, len(which) - at + 1) * vocabulary // (1 << 22))
+        cost = np.maximum(np.cumsum(spread[which[at:]]) // BUFFER, np.arange(1, len(which) - at + 1) * vocabulary // (2 * BUFFER))
         end = at + max(1, int(np.searchsorted(cost, 1)))
         some = which[at:end]
         members = block_docs[ranges(block_starts[some], block_starts[some + 1])]
         own = np.repeat(np.arange(len(some)), sizes[some])
         entries = ranges(starts[members], starts[members + 1])
-        buffer = np.zeros(len(some) * vocabulary, np.int64)
-        np.maximum.at(buffer, np.repeat(own, lens[members]) * vocabulary + terms[entries], impacts[entries])
+        buffer = np.zeros(len(some) * vocabulary, np.int32)
+        np.maximum.at(buffer, np.repeat(own, lens[members]) * vocabulary + terms[entries], small[entries])
         hit = np.flatnonzero(buffer)
-        found.append((some[hit // vocabulary], hit % vocabulary, -(-buffer[hit] // UNIT)))
+        found.append((some[hit // vocabulary].astype(np.int32), (hit % vocabulary).astype(np.int32), buffer[hit].astype(np.uint16)))
         at = end
-    blk, trm, top = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+    blk, trm, top = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int32) for i in range(3))
     order = np.argsort(trm, kind="stable")
     sum_starts = np.concatenate(([0], np.cumsum(np.bincount(trm, minlength=vocabulary))))
     return {"starts": starts, "terms": terms, "impacts": impacts, "list_blocks": list_blocks, "block_starts": block_starts,
@@ -177,7 +180,7 @@ def search_portion(index: dict, ids: pa.Array, terms: np.ndarray, weights: np.nd
     bound = np.zeros(int(lists[-1]), np.int64)
     first, last = index["sum_starts"][terms].tolist(), index["sum_starts"][terms + 1].tolist()
     for a, b, w in zip(first, last, weights.tolist()):
-        bound[index["sum_blocks"][a:b]] += index["sum_most"][a:b] * w  # a term names a block once
+        bound[index["sum_blocks"][a:b]] += index["sum_most"][a:b].astype(np.int64) * w  # a term names a block once
     bound = bound[candidates]
     bound[~index["owned"][candidates]] = index["most"][terms] @ weights
     bound *= UNIT
@@ -223,7 +226,7 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[object, Counter]]]:
 def _write(df: DataFrame, name: str) -> DataFrame:
     """As common.written, packed by zstd: the rows are binary arrays."""
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -332,7 +335,8 @@ def search(index: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]],
         best = [Best(k) for _ in asked]
         for b in batches:
             for i in range(len(b)):
-                portion = {a: np.frombuffer(b.column(a)[i].as_buffer(), KIND.get(a, np.int32)).astype(np.int64) for a in ARRAYS}
+                portion = {a: np.frombuffer(b.column(a)[i].as_buffer(), KIND.get(a, np.int32)) for a in ARRAYS}
+                portion = {a: v if a.startswith("sum_b") or a == "sum_most" else v.astype(np.int64) for a, v in portion.items()}
                 portion["owned"] = portion["owned"].astype(bool)
                 ids = b.column("ids")[i].values
                 for one, (_, terms, weights) in zip(best, asked):
