@@ -36,6 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +66,25 @@ ARRAYS = ("starts", "terms", "impacts", "list_blocks", "block_starts", "block_do
 KIND = {"sum_most": np.uint16, "most": np.uint16}
 
 
+def packed(index: dict) -> list[bytes]:
+    """The arrays as stored: a term's blocks by their differences, everything by zstd."""
+    gaps = np.diff(index["sum_blocks"], prepend=0)
+    first = index["sum_starts"][:-1][np.diff(index["sum_starts"]) > 0]
+    gaps[first] = index["sum_blocks"][first]
+    arrays = {**index, "sum_blocks": gaps}
+    return [zstandard.compress(arrays[a].astype(KIND.get(a, np.int32)).tobytes(), 1) for a in ARRAYS]
+
+
+def unpacked(blobs: list) -> dict:
+    index = {a: np.frombuffer(zstandard.decompress(x), KIND.get(a, np.int32)) for a, x in zip(ARRAYS, blobs)}
+    index = {a: v if a in ("sum_blocks", "sum_most") else v.astype(np.int64) for a, v in index.items()}
+    upto, lens = np.cumsum(index["sum_blocks"], dtype=np.int64), np.diff(index["sum_starts"])
+    first = index["sum_starts"][:-1][lens > 0]
+    index["sum_blocks"] = (upto - np.repeat(upto[first] - index["sum_blocks"][first], lens[lens > 0])).astype(np.int32)
+    index["owned"] = index["owned"].astype(bool)
+    return index
+
+
 def terms_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_TABLE).split()
 
@@ -224,9 +244,10 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[object, Counter]]]:
 
 
 def _write(df: DataFrame, name: str) -> DataFrame:
-    """As common.written, packed by zstd: the rows are binary arrays."""
+    """As common.written, for rows of large binary arrays: row groups of few rows, packed by zstd."""
     path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1,
+                        "parquet.block.size.row.check.min": 1}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -295,7 +316,7 @@ def build_index(vectors: DataFrame, weights: np.ndarray, n_docs: int, n_terms: i
         ids = t.column("doc_id").combine_chunks()
         ids = ids if isinstance(ids, pa.Array) else ids.chunk(0)
         made = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(arrow.field("ids").type)]
-        made += [pa.array([index[a].astype(KIND.get(a, np.int32)).tobytes()], pa.binary()) for a in ARRAYS]
+        made += [pa.array([x], pa.binary()) for x in packed(index)]
         return pa.RecordBatch.from_arrays(made, out.names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +356,7 @@ def search(index: DataFrame, items: list[tuple[object, np.ndarray, np.ndarray]],
         best = [Best(k) for _ in asked]
         for b in batches:
             for i in range(len(b)):
-                portion = {a: np.frombuffer(b.column(a)[i].as_buffer(), KIND.get(a, np.int32)) for a in ARRAYS}
-                portion = {a: v if a.startswith("sum_b") or a == "sum_most" else v.astype(np.int64) for a, v in portion.items()}
-                portion["owned"] = portion["owned"].astype(bool)
+                portion = unpacked([b.column(a)[i].as_buffer() for a in ARRAYS])
                 ids = b.column("ids")[i].values
                 for one, (_, terms, weights) in zip(best, asked):
                     search_portion(portion, ids, terms, weights, one, query)

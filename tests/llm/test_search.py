@@ -110,7 +110,7 @@ def test_blocks_hold_every_posting_and_bounds_hold():
             for u in range(60):
                 own = slice(index["sum_starts"][u], index["sum_starts"][u + 1])
                 at = np.flatnonzero(index["sum_blocks"][own] == b)
-                most[u] = index["sum_most"][own][at[0]] * search.UNIT if len(at) else 0
+                most[u] = int(index["sum_most"][own][at[0]]) * search.UNIT if len(at) else 0
             if index["owned"][b]:
                 top = vectors[m].max(0)
                 assert (most >= top).all() and (most < top + search.UNIT).all()
