@@ -9,25 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..spec import trim_headers
+from .csv_ranges import csv_strings
 
 # pandas' default missing-value tokens (fixed values)
 DEFAULT_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
               "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 #: quoted fields may hold separators, doubled quotes and line breaks (RFC 4180)
-CSV_DIALECT = {"quote": '"', "escape": '"', "multiLine": True}
+CSV_DIALECT = {"quote": '"', "escape": '"'}
 NAN_TOKENS = ["NaN", "-NaN", "nan", "-nan", "1.#QNAN", "-1.#QNAN", "1.#IND", "-1.#IND"]
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", na_values=None,
                infer: bool = True) -> DataFrame:
-    """S1.  CSV: read every column as string, map NA tokens to null, then
-    infer bigint / double / string per column in one aggregation pass
+    """S1.  CSV: read every column as string (by ranges, also with line breaks inside
+    quotes: ``csv_ranges``), map NA tokens to null, then infer bigint / double / string per column in one aggregation pass
     (``nullValue`` takes a single token, so the NA mapping is an expression)."""
     if fmt == "parquet":
         return trim_headers(spark.read.parquet(path))
     if fmt != "csv":
         return trim_headers(spark.read.format(fmt).load(path))
-    raw = trim_headers(spark.read.options(header=True, inferSchema=False, **CSV_DIALECT).csv(path))
+    raw = trim_headers(csv_strings(spark, path, CSV_DIALECT))
     na = DEFAULT_NA if na_values is None else list(na_values)
     nan_tok = [t for t in NAN_TOKENS if t in na]
     missing = [t for t in na if t not in nan_tok]
