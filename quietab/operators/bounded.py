@@ -1,5 +1,5 @@
-"""Size-checked broadcasts: a side is broadcast only after its row count is
-known to be within a bound; otherwise the join stays an ordinary shuffle join."""
+"""Size-checked broadcasts: a side is broadcast only after its rows and bytes are
+known to be within bounds; otherwise the join stays an ordinary shuffle join."""
 
 from __future__ import annotations
 
@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: default upper bound on rows of a broadcast side
+#: default upper bounds of a broadcast side: rows, and bytes as JSON text
 BROADCAST_ROWS_MAX = 1_000_000
+BROADCAST_BYTES_MAX = 64 << 20
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS_MAX) -> DataFrame:
-    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``;
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS_MAX, max_bytes: int = BROADCAST_BYTES_MAX) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows of at most ``max_bytes`` in all, else ``df``;
     written first, so the count is not recomputed by the join and nothing stays cached."""
     df = materialise(df, "bounded")
-    return F.broadcast(df) if df.count() <= max_rows else df
+    if df.count() > max_rows:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import argmax
 from ..session import materialise
 from .bounded import broadcast_checked
-from .rank import approx_bounds, default_buckets, running_totals
+from .rank import running_totals
 
 
 def predict_label(score: Column, threshold: float = 0.5) -> Column:
@@ -71,8 +71,7 @@ def roc_auc(df: DataFrame, y: str, score: str, by=(), positive=1) -> DataFrame:
     pos = (F.col(y) == F.lit(positive)).cast("long")
     g = df.groupBy(*by, F.col(score).cast("double").alias("__s")).agg(
         F.sum(pos).alias("__pos"), F.sum(1 - pos).alias("__neg"))
-    bounds = approx_bounds(df, score, default_buckets(df))
-    run = running_totals(g, ["__s"], {"__neg_le": F.col("__neg")}, by=by, rank_col=None, bounds=bounds)
+    run = running_totals(g, ["__s"], {"__neg_le": F.col("__neg")}, by=by, rank_col=None)
     contrib = F.col("__pos") * (F.col("__neg_le") - F.col("__neg") + F.col("__neg") / 2.0)
     t = run.groupBy(*by).agg(F.sum(contrib).alias("__num"), F.sum("__pos").alias("__P"),
                             F.sum("__neg").alias("__N"))
@@ -140,9 +139,7 @@ def best_threshold(df: DataFrame, y: str, score: str, by=(), compat: bool = Fals
         F.sum(pos).alias("__pos"), F.sum(1 - pos).alias("__neg"))
     # running counts in descending score order == ascending order of -score
     g = g.withColumn("__ns", -F.col("__s"))
-    bounds = [-b for b in reversed(approx_bounds(df, score, default_buckets(df)))]
-    run = running_totals(g, ["__ns"], {"tp": F.col("__pos"), "fp": F.col("__neg")}, by=by, rank_col="__r",
-                         bounds=bounds)
+    run = running_totals(g, ["__ns"], {"tp": F.col("__pos"), "fp": F.col("__neg")}, by=by, rank_col="__r")
     tot = run.groupBy(*by).agg(F.sum("__pos").alias("__P"))
     j = run.join(broadcast_checked(tot), on=by, how="inner")  # one row per group
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
@@ -174,5 +171,5 @@ def best_run(runs: DataFrame, score: str, run_id: str, params, by=()) -> DataFra
     by = list(by)
     params = list(params)
     best = F.max_by(F.struct(F.col(run_id), F.col(score), *[F.col(p) for p in params]),
-                    F.when(~F.isnan(F.col(score).cast("double")), F.struct(F.col(score), -F.col(run_id))))
+                    F.when(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")), F.struct(F.col(score), -F.col(run_id))))
     return runs.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")

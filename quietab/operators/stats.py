@@ -9,55 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import l2_norm
-from .rank import running_totals
-
-
-def grouped_quantiles(df: DataFrame, value: str, by=(), probs=(0.5,), names=None) -> DataFrame:
-    """Exact linear-interpolation quantiles per group without holding any
-    group in one task: rows are ranked inside their group with the bucketed
-    prefix sum (a unique stable row id breaks ties, so even a third of
-    identical rows is spread over buckets), then only the two order statistics
-    around ``p (n-1)`` are kept and combined per group."""
-    by = list(by)
-    names = list(names or [f"q{i}" for i in range(len(probs))])
-    d = df.select(*by, F.col(value).cast("double").alias("__v")) \
-        .where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    if not by:
-        d = d.withColumn("__g", F.lit(0))
-    gb = by or ["__g"]
-    r = running_totals(d, ["__v"], by=gb, rank_col="__r", total_col="__n", tiebreak=True)
-    pos = F.col("__r") - 1
-    aggs = []
-    keep = F.lit(False)
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("__n") - 1)
-        lo, hi = F.floor(h), F.ceil(h)
-        keep = keep | (pos == lo) | (pos == hi)
-        aggs += [F.max(F.when(pos == lo, F.col("__v"))).alias(f"__a{i}"),
-                 F.max(F.when(pos == hi, F.col("__v"))).alias(f"__b{i}"),
-                 F.first(h).alias(f"__h{i}")]
-    g = r.where(keep).groupBy(*gb).agg(*aggs)
-    outs = []
-    for i, nm in enumerate(names):
-        h, a, b = F.col(f"__h{i}"), F.col(f"__a{i}"), F.col(f"__b{i}")
-        lo, hi = F.floor(h), F.ceil(h)
-        outs.append(F.when(hi == lo, a).otherwise((hi - h) * a + (h - lo) * b).alias(nm))
-    return g.select(*by, *outs)
+from .quantiles import grouped_quantiles
 
 
 def norm_stats(df: DataFrame, vec: str, by=(), q: float = 0.5) -> DataFrame:
     """A10: per group, the q-quantile (linear interpolation), mean, population
     std, max and min of the rows' L2 norms."""
     by = list(by)
-    n = l2_norm(F.col(vec))
-    d = df.select(*by, n.alias("__norm"))
-    qname = f"p{int(round(q * 100))}"
-    quant = grouped_quantiles(d, "__norm", by, [q], [qname])
-    mom = d.groupBy(*by).agg(F.avg("__norm").alias("mean"), F.stddev_pop("__norm").alias("std"),
-                             F.max("__norm").alias("max"), F.min("__norm").alias("min"))
-    # side by side without a join (a one-row join on a constant plans as a cross join)
-    u = quant.unionByName(mom, allowMissingColumns=True)
-    return u.groupBy(*by).agg(*[F.max(c).alias(c) for c in (qname, "mean", "std", "max", "min")])
+    n = F.col("__norm")
+    moments = {"mean": F.avg(n), "std": F.stddev_pop(n), "max": F.max(n), "min": F.min(n)}
+    d = df.select(*by, l2_norm(F.col(vec)).alias("__norm"))
+    return grouped_quantiles(d, "__norm", by, [q], [f"p{int(round(q * 100))}"], moments)
 
 
 def loss_rollup(log: DataFrame, k: str = "k", loss: str = "loss", n: str = "n", every: int = 10,
