@@ -15,23 +15,24 @@ import os
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.arrays import (UNROLL_MAX, argmax, bit_width, bits_to_code, clip_code, code_to_bits,
                                 code_to_onehot)
-from ..functions.normal import quantile_forward, quantile_inverse
+from ..functions.normal import from_uniform, normal_cdf, to_normal, to_uniform, with_knots
 from ..spec import TableSpec
-from .rank import default_buckets, global_rank, running_totals
+from .dictjoin import dictionary_join
+from .quantiles import exact_quantiles
+from .rank import global_rank
 
 INTEGRAL_TYPES = {"tinyint", "smallint", "int", "bigint"}
 _LARGEST = {"tinyint": 2**7 - 1, "smallint": 2**15 - 1, "int": 2**31 - 1, "bigint": 2**63 - 1}
 #: dictionaries up to this size are collected and applied as literal maps
 DICT_LITERAL_MAX = 1_000
-#: dictionaries up to this size are collected (and broadcast when joined)
+#: dictionaries up to this size are collected (and broadcast when joined), as long as all of a table fit in the bytes
 DICT_COLLECT_MAX = 100_000
+DICT_COLLECT_BYTES = 64 << 20
 
 
 def _clean(c: str) -> Column:
@@ -106,60 +107,6 @@ def _fit_quantiles(df, cols, params, method):
         params[c]["quantiles"] = q.tolist()
 
 
-def exact_quantiles(df: DataFrame, probs: dict, counts: dict) -> dict:
-    """Exact linear-interpolation quantiles of several columns in one job,
-    with no per-column value map held by a single task:
-
-    unpivot -> value counts per (col, value) (map-side combined) -> global
-    running count over (col, value) with bucketed windows -> per column, the
-    ranks ``floor/ceil(p (n-1))`` are found by a bucketed equi-join of each
-    value's rank span [cum - c, cum) against the (small, broadcast) rank table.
-    ``counts`` holds each column's non-null, non-NaN row count."""
-    cols = sorted(probs)
-    start, acc = {}, 0
-    for c in cols:  # Spark orders the col names like Python str (code points)
-        start[c] = acc
-        acc += counts[c]
-    width = {c: max(1, counts[c] // max(len(probs[c]), 1)) for c in cols}
-    want = []
-    for c in cols:
-        n = counts[c]
-        rk = {int(np.floor(p * (n - 1))) for p in probs[c]} | {int(np.ceil(p * (n - 1))) for p in probs[c]}
-        want += [(c, r, r // width[c]) for r in sorted(rk)]
-    spark = df.sparkSession
-    pairs = F.array(*[F.struct(F.lit(c).alias("col"), _clean(c).alias("v")) for c in cols])
-    vc = df.select(F.explode(pairs).alias("kv")).select("kv.*").where("v is not null") \
-        .groupBy("col", "v").agg(F.count(F.lit(1)).alias("c"))
-    # (col, value) bucket boundaries from one bounded-memory pass over the raw
-    # columns: each column's approximate quantiles, tagged with the column name
-    per_col = max(1, default_buckets(df) // len(cols))  # ~4 buckets per shuffle partition in total
-    grid = [i / (per_col + 1) for i in range(1, per_col + 1)]
-    approx = df.agg(*[F.percentile_approx(_clean(c), grid, 10000).alias(f"a{i}") for i, c in enumerate(cols)]).first()
-    bounds = sorted({(c, float(v)) for i, c in enumerate(cols) for v in (approx[f"a{i}"] or []) if v is not None})
-    cum = running_totals(vc, ["col", "v"], {"cum": F.col("c")}, rank_col=None, bounds=bounds)
-    m_start = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(start[c]))])
-    m_width = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(width[c]))])
-    hi = F.col("cum") - F.element_at(m_start, F.col("col"))
-    spans = cum.select("col", "v", (hi - F.col("c")).alias("lo"), hi.alias("hi"),
-                       F.element_at(m_width, F.col("col")).alias("w"))
-    spans = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / F.col("w")).cast("long"),
-                                                       F.floor((F.col("hi") - 1) / F.col("w")).cast("long"))))
-    rk = spark.createDataFrame(want, "col string, r long, b long")
-    # the rank table has <= 2 ranks per quantile: bounded by construction
-    hit = spans.join(F.broadcast(rk), ["col", "b"]).where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
-    at = {(r["col"], int(r["r"])): float(r["v"]) for r in hit.select("col", "r", "v").collect()}
-    out = {}
-    for c in cols:
-        n, vals = counts[c], []
-        for p in probs[c]:
-            h = p * (n - 1)
-            lo, hi_ = int(np.floor(h)), int(np.ceil(h))
-            a, b = at[(c, lo)], at[(c, hi_)]
-            vals.append(a if hi_ == lo else (hi_ - h) * a + (h - lo) * b)
-        out[c] = vals
-    return out
-
-
 # --------------------------------------------------------------------------- fit: categorical
 
 def unpivot_values(df: DataFrame, cols) -> DataFrame:
@@ -179,10 +126,15 @@ def fit_dictionary(df: DataFrame, cols) -> tuple[dict, dict, dict]:
     if not cols:
         return {}, {}, {}
     distinct = unpivot_values(df, cols).distinct().persist()
-    sizes = {r["col"]: int(r["n"]) for r in distinct.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
-    for c in cols:
-        sizes.setdefault(c, 0)
-    small_cols = [c for c in cols if sizes[c] <= DICT_COLLECT_MAX]
+    found = distinct.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("b")).collect()
+    sizes, room = {c: 0 for c in cols}, DICT_COLLECT_BYTES
+    small_cols = [c for c in cols if c not in {r["col"] for r in found}]
+    for r in sorted(found, key=lambda r: (r["n"], r["col"])):  # the small ones first, within one budget for all
+        sizes[r["col"]] = int(r["n"])
+        cost = r["b"] + 64 * r["n"]
+        if r["n"] <= DICT_COLLECT_MAX and cost <= room:
+            small_cols.append(r["col"])
+            room -= cost
     small = {c: [] for c in small_cols}
     if small_cols:
         for r in distinct.where(F.col("col").isin(small_cols)).orderBy("col", "value").collect():
@@ -261,13 +213,8 @@ class EncoderModel:
             return x * F.lit(p["scale"]) + F.lit(p["offset"])
         if p["kind"] == "standard":
             return (x - F.lit(p["mean"])) / F.lit(p["scale"])
-        q, refs = np.asarray(p["quantiles"]), np.asarray(p["references"])
-        normal = p.get("output", "normal") == "normal"
-
-        @F.pandas_udf(T.DoubleType())
-        def fwd(s: pd.Series) -> pd.Series:
-            return pd.Series(quantile_forward(s.to_numpy(dtype=np.float64, na_value=np.nan), q, refs, normal))
-        return fwd(x)
+        u = to_uniform(x, F.col(f"__knot_{c}"), np.asarray(p["quantiles"]), np.asarray(p["references"]))
+        return to_normal(u) if p.get("output", "normal") == "normal" else u
 
     def code_expr(self, c: str) -> Column:
         """Dictionary code of column ``c`` (literal map path); -1 if unseen/null."""
@@ -290,11 +237,12 @@ class EncoderModel:
 
     def _join_dict(self, df: DataFrame, c: str) -> DataFrame:
         spark = df.sparkSession
-        if c in self.small_dicts:  # size proven <= DICT_COLLECT_MAX: broadcast
-            d = F.broadcast(spark.createDataFrame(list(enumerate(self.small_dicts[c])),
-                                                  "code long, value string"))
-        else:
-            d = self.large_dicts[c]
+        if c not in self.small_dicts:
+            j = dictionary_join(df, F.col(c).cast("string"), self.large_dicts[c].select("value", "code"), "value", f"__c_{c}")
+            code = self._finish_code(F.coalesce(F.col(f"__c_{c}"), F.lit(-1)).cast("long"), c)
+            return j.withColumn(f"__code_{c}", code).drop(f"__c_{c}")
+        # size proven within DICT_COLLECT_MAX and DICT_COLLECT_BYTES: broadcast
+        d = F.broadcast(spark.createDataFrame(list(enumerate(self.small_dicts[c])), "code long, value string"))
         d = d.select(F.col("value").alias(f"__k_{c}"), F.col("code").alias(f"__c_{c}"))
         j = df.join(d, df[c].cast("string") == d[f"__k_{c}"], "left")
         code = self._finish_code(F.coalesce(F.col(f"__c_{c}"), F.lit(-1)).cast("long"), c)
@@ -314,6 +262,9 @@ class EncoderModel:
     def encode(self, df: DataFrame, keep=(), features: str = "features") -> DataFrame:
         """One projection: ``keep`` columns + ``features ARRAY<FLOAT>``."""
         coded = self.with_codes(df)
+        knots = {f"__knot_{c}": (c, np.asarray(p["quantiles"])) for c, p in self.num_params.items() if p["kind"] == "quantile"}
+        if knots:
+            coded = with_knots(coded, knots)
         parts = self.feature_exprs()
         feat = F.concat(*parts) if len(parts) > 1 else parts[0]
         return coded.select(*keep, feat.alias(features))
@@ -334,13 +285,8 @@ class EncoderModel:
         elif p["kind"] == "standard":
             x = y * F.lit(p["scale"]) + F.lit(p["mean"])
         else:
-            q, refs = np.asarray(p["quantiles"]), np.asarray(p["references"])
-            normal = p.get("output", "normal") == "normal"
-
-            @F.pandas_udf(T.DoubleType())
-            def inv(s: pd.Series) -> pd.Series:
-                return pd.Series(quantile_inverse(s.to_numpy(dtype=np.float64, na_value=np.nan), q, refs, normal))
-            x = inv(y)
+            u = normal_cdf(y) if p.get("output", "normal") == "normal" else y
+            x = from_uniform(u, np.asarray(p["quantiles"]), np.asarray(p["references"]))
         if clip and p.get("min") is not None:  # optional: keep decoded values inside the fitted range
             x = F.least(F.greatest(x, F.lit(float(p["min"]))), F.lit(float(p["max"])))
         dt = self.dtypes.get(c)
@@ -408,10 +354,10 @@ class EncoderModel:
             if c in self.small_dicts:
                 dd = F.broadcast(spark.createDataFrame(list(enumerate(self.small_dicts[c])),
                                                        "code long, value string"))
+                dd = dd.select(F.col("code").alias(f"__clip_{c}"), F.col("value").alias(f"__v_{c}"))
+                d = d.join(dd, f"__clip_{c}", "left")
             else:
-                dd = self.large_dicts[c]
-            dd = dd.select(F.col("code").alias(f"__clip_{c}"), F.col("value").alias(f"__v_{c}"))
-            d = d.join(dd, f"__clip_{c}", "left")
+                d = dictionary_join(d, F.col(f"__clip_{c}"), self.large_dicts[c].select("value", "code"), "code", f"__v_{c}")
             dt = self.dtypes.get(c)
             d = d.withColumn(c, F.col(f"__v_{c}").cast(dt) if dt and dt != "string" else F.col(f"__v_{c}"))
         raw = [c for c in self.raw_columns if c in self.spec.feature_cols] or list(self.spec.feature_cols)
