@@ -542,7 +542,8 @@ def q_end_to_end_metrics(spark, sf_dir):
     """Split -> encode -> DP histogram -> DP fit -> generate -> utility on real val/test."""
     from .plans.end_to_end import EndToEndConfig, run_end_to_end
     df, spec = fx.fx3(spark, sf_dir)
-    cfg = EndToEndConfig(generator=_small_generator(), hist_seed=17, eval_models=("tree", "logistic"))
+    cfg = EndToEndConfig(generator=_small_generator(), hist_seed=17, eval_models=("tree", "logistic"),
+                         eval_raw=("gbt",), eval_params={"gbt": {"iterations": 10}})
     out = run_end_to_end(df, spec, cfg)
     return out["metrics"].select("model", "split", "metric", r6("value").alias("value"))
 

@@ -7,8 +7,10 @@ names a shared folder there and is only *read* here.  Only when it is unset
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -77,16 +79,45 @@ def ship_package(spark: SparkSession) -> None:
     sc._quietab_shipped = True
 
 
+_written = threading.local()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the shared checkpoint folder; an open :func:`scratch` removes it at its end."""
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    for paths in getattr(_written, "open", []):
+        paths.append(path)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate tables that this thread writes inside are deleted at the end: results must be written by then."""
+    paths: list[str] = []
+    _written.open = [*getattr(_written, "open", []), paths]
+    try:
+        yield
+    finally:
+        _written.open = [p for p in _written.open if p is not paths]
+        for path in paths:
+            drop_folder(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage so a lost executor re-reads files instead of recomputing a long
     plan; the folder is the cluster's shared one, never a machine-local path.
     """
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = scratch_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:

@@ -90,11 +90,13 @@ def test_sweep_draws(spark):
 
 def test_end_to_end_real_and_synthetic(spark):
     df, spec = fx.fx3(spark, SF_SMALL)
-    out = run_end_to_end(df, spec, EndToEndConfig(eval_type="real", hist_seed=1, eval_models=("tree",)))
+    out = run_end_to_end(df, spec, EndToEndConfig(eval_type="real", hist_seed=1, eval_models=("tree",), eval_raw=()))
     m = {(r["split"], r["metric"]): r["value"] for r in out["metrics"].collect()}
     assert m[("test", "accuracy")] > 0.9
     gen = GeneratorConfig(d_layers=(16,), dim_t=8, num_timesteps=10, steps=2, sample_rate=0.3, noise_seed=1)
-    out = run_end_to_end(df, spec, EndToEndConfig(generator=gen, hist_seed=1, n_samples=100, eval_models=("tree",)))
+    out = run_end_to_end(df, spec, EndToEndConfig(generator=gen, hist_seed=1, n_samples=100, eval_models=("tree",),
+                                                  eval_raw=("gbt",), eval_params={"gbt": {"iterations": 3}}))
+    assert {r["model"] for r in out["metrics"].collect()} == {"tree", "gbt_raw"}
     assert out["synthetic"].count() == 100
     assert all(0 <= r["value"] <= 1 for r in out["metrics"].collect() if r["value"] is not None)
     assert {e["name"] for e in out["ledger"].entries} >= {"dp_histogram", "dp_sgd", "encoder_state"}
@@ -142,7 +144,7 @@ def test_scale_conf_sizes_partitions(spark):
 def test_end_to_end_with_class_balancing(spark):
     df, spec = fx.fx3(spark, SF_SMALL)
     gen = GeneratorConfig(d_layers=(16,), dim_t=8, num_timesteps=10, steps=2, sample_rate=0.3, noise_seed=1, seed=2)
-    out = run_end_to_end(df, spec, EndToEndConfig(generator=gen, hist_seed=1, n_samples=50, eval_models=("tree",),
+    out = run_end_to_end(df, spec, EndToEndConfig(generator=gen, hist_seed=1, n_samples=50, eval_models=("tree",), eval_raw=(),
                                                   balance_classes=True))
     assert out["synthetic"].count() == 50 and out["model"].config.class_weights is not None
 
@@ -155,7 +157,7 @@ def test_command_line_end_to_end(spark, tmp_path):
                f" AS y FROM '{SF_SMALL}/events.parquet') TO '{src}' (HEADER)")
     out = tmp_path / "out"
     main(["--input", str(src), "--key", "event_id", "--out", str(out), "--steps", "2", "--sample-rate", "0.3",
-          "--layers", "16", "--timesteps", "10", "--samples", "40", "--eval", "tree"])
+          "--layers", "16", "--timesteps", "10", "--samples", "40", "--eval", "tree", "--eval-raw", ""])
     syn = spark.read.parquet(str(out / "synthetic"))
     assert syn.count() == 40 and set(syn.columns) >= {"value", "user_id", "event_type", "y"}
     assert {r["y"] for r in syn.select("y").distinct().collect()} <= {"high", "low"}

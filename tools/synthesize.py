@@ -40,6 +40,8 @@ def main(argv=None):
     ap.add_argument("--no-dp", action="store_true")
     ap.add_argument("--samples", type=int, default=None)
     ap.add_argument("--eval", default="tree,logistic")
+    ap.add_argument("--eval-raw", default="gbt", help="models on raw columns")
+    ap.add_argument("--run-folder", default=None, help="shared folder of a resumable run")
     ap.add_argument("--eval-real", action="store_true", help="train the evaluators on real rows (the ceiling)")
     a = ap.parse_args(argv)
 
@@ -57,8 +59,9 @@ def main(argv=None):
                           dp=not a.no_dp)
     cfg = EndToEndConfig(num_kind=a.num_encoder, cat_kind=a.cat_encoder, generator=gen, n_samples=a.samples,
                          eval_models=tuple(m for m in a.eval.split(",") if m),
+                         eval_raw=tuple(m for m in a.eval_raw.split(",") if m),
                          eval_type="real" if a.eval_real else "synthetic")
-    out = run_end_to_end(df, spec, cfg)
+    out = run_end_to_end(df, spec, cfg, a.run_folder)
     write_table(out["splits"], os.path.join(a.out, "splits"), "parquet", partition_by="split")
     write_metrics(out["metrics"], os.path.join(a.out, "metrics"), "json")
     out["ledger"].to_df(spark).write.mode("overwrite").json(os.path.join(a.out, "ledger"))
