@@ -15,8 +15,10 @@ tokenizers' own notion.  The cuts of a block of texts are found on its bytes
 (numpy) and its chunks numbered by Arrow's dictionary encoding, so Python sees
 each distinct chunk of a block once; blocks with other than ASCII white space are
 cut by a regular expression.  Encoding is done by the ``tokenizers`` library (its
-normaliser, pre-tokenizer and model); strings of special tokens inside a text are
-ordinary text.
+normaliser, pre-tokenizer and model).  The library looks for the tokenizer's added tokens first, so a
+text that holds one is cut there and the parts between are encoded as texts of their own;
+a tokenizer whose added tokens also take blanks, whole words or normalised text is left to the
+library text by text.
 """
 
 from __future__ import annotations
@@ -79,7 +81,11 @@ def cuts(data: np.ndarray, first: np.ndarray, spaced: bool) -> tuple[np.ndarray,
 class Encoder:
     def __init__(self, json: str, spaced: bool, capacity: int = CACHE_CHUNKS):
         self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content.encode(): i for i, t in added.items() if t.content}
+        self.by_library = any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        longest = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self.find_added = re.compile(b"(" + b"|".join(longest) + b")") if longest else None
         self.model, self.spaced, self.capacity = self.tokenizer.model, spaced, capacity
         self.letters: dict[str, str] = {}
         self.forget()
@@ -138,7 +144,35 @@ class Encoder:
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each); None: empty."""
-        chunks, number, per_text = self.numbered([t or b"" for t in texts])
+        texts = [t or b"" for t in texts]
+        if self.by_library:
+            lists = [self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+            return np.array(list(chain.from_iterable(lists)), np.uint32), np.array(list(map(len, lists)), np.int64)
+        if self.find_added is not None and any(map(self.find_added.search, texts)):
+            return self.around_added(texts)
+        return self.encode_plain(texts)
+
+    def around_added(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts with added tokens: every other part of a split is such a token."""
+        parts = [self.find_added.split(t) for t in texts]
+        ids, counts = self.encode_plain([p for ps in parts for p in ps[::2]])
+        ends = np.cumsum(counts)
+        out, lens, k = [], [], 0
+        for ps in parts:
+            size = 0
+            for i, p in enumerate(ps):
+                if i % 2:
+                    out.append(np.array([self.added[p]], np.uint32))
+                    size += 1
+                else:
+                    out.append(ids[ends[k] - counts[k]:ends[k]])
+                    size += int(counts[k])
+                    k += 1
+            lens.append(size)
+        return np.concatenate(out).astype(np.uint32), np.array(lens, np.int64)
+
+    def encode_plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        chunks, number, per_text = self.numbered(texts)
         slots = list(map(self.slot.get, chunks))
         if None in slots:
             new = [c for c, s in zip(chunks, slots) if s is None]
