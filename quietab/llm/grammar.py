@@ -4,7 +4,8 @@ Frequent adjacent id pairs are replaced by new ids (nonterminals) again and
 again.  A round counts all pairs of the shard, takes every pair that occurs at
 least ``least`` times, the most frequent ones first where two would share an id, and
 replaces their occurrences from left to right; ``least`` starts at a quarter of
-the largest count and falls to a quarter from round to round down to ``min_count``.  Pairs never reach across a document's end, so any document can be
+the largest count and falls to a quarter from round to round down to ``min_count``, where rounds go on
+until no pair occurs so often.  Pairs never reach across a document's end, so any document can be
 decoded alone; the stored expansion lengths give any id range without
 expanding what lies before it.
 """
@@ -21,6 +22,8 @@ HEAD = struct.Struct("<4sIQIQIB")  # magic, documents, ids, rules, symbols, term
 
 
 CELLS = 1 << 20
+#: bits of a symbol (terminal or rule); a pair of them is one 64-bit code
+SYMBOL_BITS = 31
 
 
 def _cell(code: np.ndarray) -> np.ndarray:
@@ -60,49 +63,65 @@ def _chosen(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
     return taken
 
 
-def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int, max_rules: int,
-            min_count: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int, min_count: int = 8,
+            fall: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, end of each document in symbols, rules (n, 2)) of the sequence
-    whose documents end (exclusively) at ``ends``."""
+    whose documents end (exclusively) at ``ends``.  Rounds repeat at the last threshold until no pair
+    occurs ``min_count`` times; rules end only where a symbol would need more than ``SYMBOL_BITS``."""
+    if terminals > 1 << SYMBOL_BITS:
+        raise ValueError(f"ids of more than {SYMBOL_BITS} bits")
     seq = ids.astype(np.int32)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
     rules: list = []
-    least = None
-    while len(seq) > 1 and len(rules) < max_rules and (least is None or least > min_count):
+    least, newest = None, 0  # in rounds at the last threshold only pairs with a newer symbol can reach it again
+    while len(seq) > 1 and (room := (1 << SYMBOL_BITS) - terminals - len(rules)) > 0:
+        final = least == min_count
         code = seq[:-1].astype(np.int64)
-        code <<= 20
+        code <<= SYMBOL_BITS
         code |= seq[1:]
-        cell = _cell(code)
-        times = np.bincount(cell, minlength=CELLS)  # of a pair's hash cell: an upper bound that spares sorting the rest
-        least = max(min_count, (int(times.max()) if least is None else least) // 4)
-        maybe = (times >= least)[cell]
-        maybe &= ~last[:-1]
-        at = np.flatnonzero(maybe)
+        if final and newest:
+            fresh = seq >= newest
+            at = np.flatnonzero((fresh[1:] | fresh[:-1]) & ~last[:-1])
+        else:
+            cell = _cell(code)
+            times = np.bincount(cell, minlength=CELLS)  # of a pair's hash cell: an upper bound that spares sorting the rest
+            if not final:
+                least = max(min_count, (int(times.max()) if least is None else least) // fall)
+            maybe = (times >= least)[cell]
+            maybe &= ~last[:-1]
+            at = np.flatnonzero(maybe)
         code = code[at]
         pair, count = _frequent(code, least)
-        if not len(pair):
-            continue
-        best = np.argsort(-count, kind="stable")[:max_rules - len(rules)]
+        best = np.argsort(-count, kind="stable")[:room]
         pair = pair[best]
         by_code = np.argsort(pair)
         known = pair[by_code]
-        slot = np.minimum(np.searchsorted(known, code), len(known) - 1)
-        hit = known[slot] == code
-        at, rank = at[hit], by_code[slot[hit]]
-        taken = _chosen(rank, at)
-        at, rank = at[taken], rank[taken]
-        useful = np.bincount(rank, minlength=len(pair)) >= 3
+        made = np.zeros(0, np.int64)
+        if len(pair):
+            slot = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            hit = known[slot] == code
+            at, rank = at[hit], by_code[slot[hit]]
+            taken = _chosen(rank, at)
+            at, rank = at[taken], rank[taken]
+            useful = np.bincount(rank, minlength=len(pair)) >= 3
+            made = pair[useful]
+        if not len(made):
+            if final and not newest:
+                break
+            newest = 0  # nothing left beside the new symbols: one look at all pairs
+            continue
         at, rank = at[useful[rank]], rank[useful[rank]]
         name = np.cumsum(useful) - 1 + terminals + len(rules)
-        rules.extend(pair[useful].tolist())
+        newest = terminals + len(rules) if least == min_count else 0
+        rules.extend(made.tolist())
         seq[at] = name[rank]
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
     made = np.array(rules, np.int64)
-    pairs = np.stack((made >> 20, made & ((1 << 20) - 1)), 1) if len(made) else np.zeros((0, 2), np.int64)
+    pairs = np.stack((made >> SYMBOL_BITS, made & ((1 << SYMBOL_BITS) - 1)), 1) if len(made) else np.zeros((0, 2), np.int64)
     return seq, np.flatnonzero(last) + 1, pairs
 
 

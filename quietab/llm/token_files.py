@@ -34,7 +34,8 @@ from quietab.llm.grammar import opened, packed_shard
 from quietab.llm.tokens import ENCODE_BYTES, encoder, shared_tokenizer
 
 SHARD_IDS = 1 << 20
-MAX_RULES = 16_000
+#: bytes of text for each range of documents that one task encodes
+TASK_BYTES = 48 << 20
 
 SHARDS = "part int, shard int, ids_before long, n_ids long, data binary"
 
@@ -44,7 +45,8 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = Fals
     spark = docs.sparkSession
     small_batches(spark)
     shared = shared_tokenizer(spark.sparkContext, tokenizer)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = narrow(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared, spaced)
@@ -56,7 +58,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = Fals
         def file():
             nonlocal shard, before, held
             ids = np.concatenate(ids_list)
-            data = packed_shard(ids, np.array(counts), doc_ids, terminals, max_rules=MAX_RULES)
+            data = packed_shard(ids, np.array(counts), doc_ids, terminals)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())],
