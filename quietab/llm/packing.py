@@ -1,6 +1,6 @@
 """Packing of token sequences: first-fit decreasing in randomised groups.
 
-Documents are dealt to groups by a seeded hash of their id and text; a group has
+Documents are dealt to groups by a seeded hash of their id, text and input partition; a group has
 about ``GROUP_DOCS`` documents whatever the corpus size.  A document's ids are cut into
 pieces of ``length``; full pieces are sequences of their own and leave at once, the
 remainders of a group are packed by first-fit decreasing: a tournament tree
@@ -37,6 +37,8 @@ from quietab.llm.tokens import ENCODE_BYTES, encoder, shared_tokenizer
 
 LENGTH = 1024
 GROUP_DOCS = 2048
+#: bytes of text for each task that packs
+TASK_BYTES = 48 << 20
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -96,7 +98,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
     small_batches(spark)
     shared = shared_tokenizer(spark.sparkContext, tokenizer)
     rows = narrow(docs, "doc_id", "text")
-    groups = max(1, -(-rows.count() // GROUP_DOCS))
+    count, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, -(-count // GROUP_DOCS))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
     out = T.StructType([rows.schema["doc_id"]] + [T.StructField(n, T.LongType()) for n in (
         "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
         + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
@@ -154,9 +158,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
         close()
         yield from flush()
 
-    h = F.xxhash64("doc_id", "text", F.lit(seed))
+    # rows that repeat get the group of their input partition too, so that copies (they may be a third of the
+    # table) spread; a retried task deals its rows alike, whatever their order
+    h = F.xxhash64(F.xxhash64("doc_id", "text", F.lit(seed)), F.spark_partition_id())
     dealt = (rows.withColumn("h", h).withColumn("g", F.pmod("h", F.lit(groups)))
-             .repartition(F.col("g")).sortWithinPartitions("g", "h").select("g", "doc_id", "text"))
+             .repartition(tasks, F.col("g")).sortWithinPartitions("g", "h").select("g", "doc_id", "text"))
     return dealt.mapInArrow(run, out)
 
 
