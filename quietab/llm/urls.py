@@ -6,7 +6,7 @@ transactions, with one more item for a bad label.  Spark's FP-growth mines the
 frequent combinations; rules ``tokens -> bad`` with at least ``min_support`` of the labelled
 pages (and ``min_count``) and ``min_confidence``, of any number of tokens,
 block the urls that hold all their tokens; a rule that holds all tokens of a
-shorter one is implied by it and left out.  Rules are matched by inverted index:
+shorter one is implied by it and left out, before mining where that can be told (``mine``).  Rules are matched by inverted index:
 each rule is filed under its rarest token, a url looks up its own tokens and checks the
 few rules it finds.  Given rules (host and its subdomains, path prefix, the
 longest wins) come first; a url that nothing blocks is allowed.
@@ -27,7 +27,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietab.llm.common import narrow, table, written
@@ -85,25 +85,59 @@ def given_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def mine(pages: DataFrame, labels: DataFrame, cfg: UrlConfig = UrlConfig()) -> DataFrame | None:
-    """Rules (items, confidence, support) whose consequent is a bad label; None if nothing is labelled."""
+def mine(pages: DataFrame, labels: DataFrame, cfg: UrlConfig = UrlConfig()) -> tuple[DataFrame, DataFrame] | None:
+    """Rules (items, confidence, support) whose consequent is a bad label, and the classes (token, item) of the
+    tokens that stand for one another; None if no rule can be supported.
+
+    A shorter rule makes all rules with its tokens needless, and so does a token that never tells the pages that hold the
+    others apart.  So rules of one token are counted first and their tokens leave the transactions, as do
+    tokens that all pages hold; tokens of exactly the same pages become one item.  FP-growth mines the rest, which a long url
+    of a spam template does not reach."""
     bad = (narrow(labels, "doc_id", "quality", "toxic")
            .filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id")
            .agg(F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad")))
     seen = (narrow(pages, "page_id", "url").filter("url is not null")
             .join(bad.withColumnRenamed("doc_id", "page_id"), "page_id")
-            .select(F.when(F.col("bad"), F.concat(tokens_of(F.col("url")), F.array(F.lit(BAD))))
-                    .otherwise(tokens_of(F.col("url"))).alias("items")))
+            .select(tokens_of(F.col("url")).alias("tokens"), "bad"))
+    seen = written(seen, "url-pages").withColumn("tx", F.monotonically_increasing_id())  # numbered as written
     n = seen.count()
-    if not n:
-        return None
     least = max(cfg.min_count, -(-cfg.min_support * n // 1))
     if least > n:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=cfg.min_confidence).fit(seen)
-    found = written(model.associationRules.filter(F.array_contains("consequent", BAD))
-                    .select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "url-rules-all")
-    return shortest(found)
+    flat = written(seen.select("tx", "bad", F.explode("tokens").alias("token")), "url-tokens")
+    mark = F.xxhash64("tx", F.lit(3))
+    counts = written(flat.groupBy("token").agg(
+        F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"), F.bit_xor(mark).alias("xor"),
+        F.sum(mark.cast("decimal(38,0)")).alias("sum")), "url-counts")
+    supported = counts.filter((F.col("bad") >= least))
+    single = supported.filter(F.col("bad") / F.col("n") >= cfg.min_confidence)
+    rules = single.select(F.array("token").alias("items"), (F.col("bad") / F.col("n")).alias("confidence"),
+                          (F.col("bad") / F.lit(float(n))).alias("support"))
+    open_tokens = supported.filter((F.col("bad") / F.col("n") < cfg.min_confidence) & (F.col("n") < n))
+    alike = classes(flat, open_tokens)
+    pages_left = (flat.join(alike, "token").groupBy("tx", "bad").agg(F.array_sort(F.collect_set("item")).alias("items"))
+                  .select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")))
+    pages_left = written(pages_left, "url-transactions")
+    m = pages_left.count()
+    if m >= least:
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / m, minConfidence=cfg.min_confidence).fit(pages_left)
+        more = written(model.associationRules.filter(F.array_contains("consequent", BAD))
+                       .select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("support") * m / n).alias("support")),
+                       "url-rules-all")
+        rules = rules.unionByName(shortest(more))
+    return rules, alike
+
+
+def classes(flat: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, item): tokens that stand in exactly the same transactions share an item, one of them.  Equal
+    counts and hash sums propose a class; it is one if every transaction of it holds all its tokens."""
+    first = F.min("token").over(Window.partitionBy("n", "bad", "xor", "sum"))
+    proposed = written(tokens.select("token", first.alias("item")), "url-classes")
+    size = proposed.groupBy("item").agg(F.count("*").alias("size"))
+    wrong = (flat.join(proposed, "token").groupBy("item", "tx").agg(F.count("*").alias("held")).join(size, "item")
+             .filter("held <> size").select("item").distinct().withColumn("wrong", F.lit(True)))
+    return written(proposed.join(wrong, "item", "left")
+                   .select("token", F.when(F.col("wrong"), F.col("token")).otherwise(F.col("item")).alias("item")), "url-items")
 
 
 def shortest(rules: DataFrame) -> DataFrame:
@@ -130,18 +164,21 @@ def holders(sets: DataFrame, rules: DataFrame, name: str) -> DataFrame:
             .select(name).distinct())
 
 
-def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct urls that hold all tokens of some rule."""
-    return holders(urls.select("url", tokens_of(F.col("url")).alias("tokens")), rules, "url")
+def blocked_urls(urls: DataFrame, rules: DataFrame, alike: DataFrame) -> DataFrame:
+    """Distinct urls that hold for every item of some rule one of its tokens."""
+    tokens = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token"))
+    sets = (tokens.join(alike, "token", "left").groupBy("url")
+            .agg(F.collect_set(F.coalesce("item", "token")).alias("tokens")))
+    return holders(sets, rules, "url")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, cfg: UrlConfig = UrlConfig()) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     rows = narrow(pages, "page_id", "url")
-    mined = mine(pages, labels, cfg)
-    mined = written(mined, "url-rules") if mined is not None else None
+    found = mine(pages, labels, cfg)
+    mined = written(found[0], "url-rules") if found else None
     if mined is not None and mined.limit(1).count():
-        hit = blocked_urls(rows.filter("url is not null").select("url").distinct(), mined)
+        hit = blocked_urls(rows.filter("url is not null").select("url").distinct(), mined, found[1])
         rows = rows.join(hit.withColumn("hit", F.lit(True)), "url", "left")
     else:
         rows = rows.withColumn("hit", F.lit(None).cast("boolean"))
