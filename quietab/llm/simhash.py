@@ -23,9 +23,10 @@ keys only; a link joins an ``own`` row with any other row of the same key.
 Plan: fingerprints are written once; equal ones collapse (map-side) before keys
 are made, so copies cost nothing.  Keys are shuffled by key; each task sorts its
 keys and verifies the bit distance inside equal keys.  Short runs are checked
-pairwise; a longer run yields the spanning forest of its links by breadth-first
-search (a bucket emits fewer rows than it has members, never all pairs), which
-keeps every component.  A task holds 17 bytes per key row, distinct fingerprints
+pairwise; a longer run yields the spanning forest of its links by search
+(a bucket emits fewer rows than it has members, never all pairs), which
+keeps every component; a large run of few links is split by a second exact key.
+The links are written once.  A task holds 17 bytes per key row, distinct fingerprints
 only, with about ``ROWS_PER_TASK`` rows per task.  Components come from
 star contraction (``components``).
 
@@ -60,6 +61,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 ROWS_PER_FINGERPRINT = 181   # expected key rows: 6 x 5.3 + 5.3^3
 ROWS_PER_TASK = 2_000_000
 PAIRWISE_RUN = 32
+#: a run of more rows is split by a second key if this many searches leave most of it
+SPLIT_RUN, SEARCHES = 512, 64
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -146,11 +149,25 @@ def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def forest(fps: np.ndarray, own: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Spanning forest of the links between ``own`` rows and any rows of one run."""
-    left = np.arange(len(fps))
+    """Spanning forest of the links between ``own`` rows and any rows of one run.
+
+    A search from one row after the other is quick where rows are linked.  If after ``SEARCHES``
+    rows most are still left, the run is sparse and large, and is split by a second exact
+    key: the bits that differ in it are dealt to four blocks, of which a link of at most three bits
+    leaves one equal, so every link lies within a smaller run of equal block."""
+    left, searched, split = np.arange(len(fps)), 0, len(fps) > SPLIT_RUN
     while len(left):
         queue, left = [int(left[-1])], left[:-1]
         while queue and len(left):
+            if split and searched >= SEARCHES:
+                split = False
+                if len(left) > len(fps) // 2:
+                    rest = np.append(left, queue)  # all links of the rows searched are found
+                    if (blocks := _blocks(fps[rest])) is not None:
+                        for mask in blocks:
+                            yield from verified((fps[rest] & mask).view(np.int64), fps[rest], own[rest], max_bits)
+                        return
+            searched += 1
             v = queue.pop()
             near = np.bitwise_count(fps[left] ^ fps[v]) <= max_bits
             if not own[v]:
@@ -162,6 +179,15 @@ def forest(fps: np.ndarray, own: np.ndarray, max_bits: int) -> Iterator[tuple[np
                 queue.extend(found.tolist())
 
 
+def _blocks(fps: np.ndarray) -> list | None:
+    """Four masks that share out the bits in which the fingerprints differ; None if these are few."""
+    vary = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [k for k in range(64) if vary >> k & 1]
+    if len(bits) < 12:
+        return None
+    return [np.uint64(sum(1 << k for k in bits[i::4])) for i in range(4)]
+
+
 def verified(key: np.ndarray, fp: np.ndarray, own: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links (a, b) of one task's key rows."""
     order = np.argsort(key, kind="stable")
@@ -216,7 +242,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def rooted(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The written table of distinct fingerprints ``fp`` with the root fingerprint of their components."""
-    roots = components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
+    roots = components(written(links(nodes, max_bits), "simhash-links")).withColumnRenamed("node", "fp")
     return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
