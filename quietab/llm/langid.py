@@ -6,8 +6,8 @@ one.  A logistic model per language family predicts the family; inside it, one
 linear support vector machine (squared hinge) per pair of languages votes.
 
 Learning uses the text and non-null lang of rows with ``crc32(doc_id) % 5 != 0``
-only, at most about ``per_lang`` rows of each language (a documented sample
-bound; rows are chosen by a seeded hash, so the choice does not depend on the
+only, at most about ``per_lang`` different texts of each of the ``max_langs`` most frequent languages
+(documented sample bounds; rows are chosen by a seeded hash, so the choice does not depend on the
 partitioning).  Prediction is one shuffle-free scan over whole texts; lang,
 source and doc_id are not read by it except to return doc_id and its fold.
 
@@ -49,6 +49,7 @@ BLANKED = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 class LangConfig:
     cells: int = 4096
     per_lang: int = 500
+    max_langs: int = 256
     l2: float = 0.01
     #: belief (family times pair) below which ``keep_languages`` drops a row
     min_score: float = 0.35
@@ -103,12 +104,13 @@ def learnable(docs: DataFrame, cfg: LangConfig) -> DataFrame:
     """(lang, text) of the bounded learning sample."""
     rows = (narrow(docs, "doc_id", "text", "lang")
             .filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.max_langs)
+    counts = {r["lang"]: r["n"] for r in often.collect()}
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, cfg.per_lang / n))).otherwise(share)
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(4)), F.lit(1 << 20)) / float(1 << 20)
-    return rows.filter(u < share).select("lang", "text").limit(2 * cfg.per_lang * max(1, len(counts)))
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(4)), F.lit(1 << 20)) / float(1 << 20)
+    return rows.filter(u < share).select("lang", "text").distinct()  # copies would outgrow the bound and teach nothing
 
 
 def fit_languages(docs: DataFrame, cfg: LangConfig = LangConfig()) -> LangModel | None:
