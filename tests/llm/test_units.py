@@ -24,13 +24,17 @@ def random_texts(alphabet, n, longest=30):
 @pytest.mark.parametrize("name,spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_chunked_encoding_is_the_tokenizers(name, spaced):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     enc = tokens.Encoder(whole.to_str(), spaced, capacity=50)  # forgets often
     texts = ODD + random_texts(" \n\t  abcÉé1!'s ́\x1e'll,.", 1500)
+    for token in ("<|startoftext|>", "<|endoftext|>"):  # as the untouched library: at starts, ends, inside words, in a row
+        texts += [token, token * 3, f"a {token} b", f"a{token}b", f"{token} x", f"x {token}", f"é\n{token}\n\n z", token[:-1], token.upper()]
+    texts += ["".join(rnd.choice(["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "\n", "ab", "É", "'s"]) for _ in range(8))
+              for _ in range(400)]
     for lo in range(0, len(texts), 40):
         part = texts[lo:lo + 40]
         ids, n = enc.encode([t.encode() for t in part] + [None])
         ends = np.cumsum(n)
+        assert ids.dtype == np.uint32
         for t, a, b in zip(part, ends - n, ends):
             assert ids[a:b].tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
         assert n[-1] == 0
@@ -63,7 +67,7 @@ def test_grammar_round_trip_and_random_access():
         counts = rng.integers(1, 40, rng.integers(1, 30))
         ids = rng.integers(0, rng.integers(1, 6), counts.sum()) if t % 3 else np.full(counts.sum(), 2)
         names = [None if k == 1 else k for k in range(len(counts))]
-        shard = grammar.opened(grammar.packed_shard(ids.astype(np.uint32), counts, names, 10, max_rules=50, min_count=2))
+        shard = grammar.opened(grammar.packed_shard(ids.astype(np.uint32), counts, names, 10, min_count=2))
         ends = np.cumsum(counts)
         for k, (a, b) in enumerate(zip(ends - counts, ends)):
             assert (shard.document(k) == ids[a:b]).all() and shard.has_id[k] == (names[k] is not None)
@@ -280,3 +284,82 @@ def test_gram_cells_stay_inside_texts():
     inside = quality.gram_weights(lens, starts, len(data) - 3, 4)
     assert np.flatnonzero(inside).tolist() == [0, 1, 2, 10]
     assert zlib.crc32(quality.gram_cells(data, 4, 1 << 16).tobytes()) == zlib.crc32(quality.gram_cells(data, 4, 1 << 16).tobytes())
+
+
+def test_large_sparse_runs_are_split_and_keep_every_link(monkeypatch):
+    """A bucket of distinct fingerprints, most without a link: its components are those of all pairs."""
+    import numpy as np
+    from quietab.llm import simhash
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 40, 6000).astype(np.uint64)
+    near = base[:1500] ^ (np.uint64(1) << rng.integers(0, 40, 1500).astype(np.uint64))
+    chain = [base[0]]
+    for k in range(30):
+        chain.append(chain[-1] ^ (np.uint64(7) << np.uint64(k)))
+    dense = base[7] ^ np.array([(1 << a) | (1 << b) for a in range(40) for b in range(a)], np.uint64)
+    fps = np.unique(np.concatenate((base, near, np.array(chain, np.uint64), dense)))
+    own = rng.random(len(fps)) < 0.7
+    monkeypatch.setattr(simhash, "SEARCHES", 8)
+    root = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = 0
+    for a, b in simhash.verified(np.zeros(len(fps), np.int64), fps, own, 3):
+        for x, y in zip(a.tolist(), b.tolist()):
+            assert (x ^ y).bit_count() <= 3
+            links += 1
+            root[find(x)] = find(y)
+    got = {int(f): find(int(f)) for f in fps}
+    plain = {int(f): int(f) for f in fps}
+
+    def of(x):
+        while plain[x] != x:
+            plain[x] = plain[plain[x]]
+            x = plain[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero((np.bitwise_count(fps[i + 1:] ^ fps[i]) <= 3) & (own[i + 1:] | own[i])) + i + 1:
+            plain[of(int(fps[i]))] = of(int(fps[j]))
+    groups = {}
+    for f in got:
+        groups.setdefault(of(f), set()).add(got[f])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(got.values()))
+    assert links < 40 * len(fps)  # never all pairs
+
+
+def test_a_million_rows_under_one_key_end_in_bounded_time():
+    import time
+
+    import numpy as np
+    from quietab.llm import simhash
+    rng = np.random.default_rng(1)
+    fps = np.unique(rng.integers(0, 1 << 60, 1_000_000).astype(np.uint64))
+    fps = np.unique(np.concatenate((fps, fps[:5000] ^ np.uint64(5))))
+    began = time.monotonic()
+    found = {frozenset((int(x), int(y))) for a, b in simhash.verified(np.zeros(len(fps), np.int64), fps, np.ones(len(fps), bool), 3)
+             for x, y in zip(a, b)}
+    assert len(found) >= 5000 and time.monotonic() - began < 120
+
+
+def test_re_pair_goes_on_until_no_pair_is_frequent():
+    from collections import Counter
+
+    import numpy as np
+    from quietab.llm import grammar
+    rng = np.random.default_rng(2)
+    phrase = rng.integers(0, 500, 60)
+    ids = np.concatenate([np.concatenate((phrase, rng.integers(0, 500, 30))) for _ in range(400)]).astype(np.uint32)
+    ends = np.arange(90, len(ids) + 1, 90)
+    symbols, at, rules = grammar.re_pair(ids, ends, 500)
+    assert np.array_equal(grammar.expand(symbols, rules, 500), ids)
+    inside = np.ones(len(symbols), bool)
+    inside[at - 1] = False
+    code = symbols[:-1].astype(np.int64) << 31 | symbols[1:]
+    assert Counter(code[inside[:-1]].tolist()).most_common(1)[0][1] < 8
+    assert len(rules) > 50 and len(symbols) < 0.5 * len(ids)
