@@ -88,6 +88,10 @@ class Encoder:
         self.find_added = re.compile(b"(" + b"|".join(longest) + b")") if longest else None
         self.model, self.spaced, self.capacity = self.tokenizer.model, spaced, capacity
         self.letters: dict[str, str] = {}
+        ascii_letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        made = [self.pieces(c) for c in ascii_letters]
+        #: how a chunk of ASCII letters becomes its one piece: str.lower, str, or None where neither holds
+        self.plain = next((f for f in (str, str.lower) if made == [[f(c)] for c in ascii_letters]), None)
         self.forget()
 
     def forget(self) -> None:
@@ -131,13 +135,19 @@ class Encoder:
 
     def learn(self, chunks) -> None:
         ids: list[int] = []
-        size: list[int] = []
+        ends: list[int] = []
+        plain, tokenize = self.plain, self.model.tokenize
         for c in chunks:
-            before = len(ids)
-            ids += self.chunk_ids(c.decode("utf-8", "replace"))
-            size.append(len(ids) - before)
-            self.slot[c] = len(self.slot)
-        n = np.array(size, np.int64)
+            if plain is not None and c.isalpha():  # ASCII letters only
+                ids += [t.id for t in tokenize(plain(c.decode()))]
+            elif plain is not None and c[:1] == b" " and self.spaced and c[1:].isalpha():
+                ids += [t.id for t in tokenize("\u0120" + plain(c[1:].decode()))]
+            else:
+                ids += self.chunk_ids(c.decode("utf-8", "replace"))
+            ends.append(len(ids))
+        first = len(self.slot)
+        self.slot.update(zip(chunks, range(first, first + len(ends))))
+        n = np.diff(np.array(ends, np.int64), prepend=0)
         self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(n) - n))
         self.size = np.concatenate((self.size, n))
         self.pool = np.concatenate((self.pool, np.array(ids, np.uint32)))
