@@ -26,8 +26,10 @@ CELLS = 1 << 20
 SYMBOL_BITS = 31
 
 
-def _cell(code: np.ndarray) -> np.ndarray:
-    return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+def _cell(seq: np.ndarray) -> np.ndarray:
+    """Hash cell of each pair of neighbours."""
+    u = seq.view(np.uint32)
+    return ((u[:-1] * np.uint32(0x9E3779B1) + u[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)).astype(np.int64)
 
 
 def _frequent(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,21 +79,18 @@ def re_pair(ids: np.ndarray, ends: np.ndarray, terminals: int, min_count: int =
     least, newest = None, 0  # in rounds at the last threshold only pairs with a newer symbol can reach it again
     while len(seq) > 1 and (room := (1 << SYMBOL_BITS) - terminals - len(rules)) > 0:
         final = least == min_count
-        code = seq[:-1].astype(np.int64)
-        code <<= SYMBOL_BITS
-        code |= seq[1:]
         if final and newest:
             fresh = seq >= newest
             at = np.flatnonzero((fresh[1:] | fresh[:-1]) & ~last[:-1])
         else:
-            cell = _cell(code)
+            cell = _cell(seq)
             times = np.bincount(cell, minlength=CELLS)  # of a pair's hash cell: an upper bound that spares sorting the rest
             if not final:
                 least = max(min_count, (int(times.max()) if least is None else least) // fall)
             maybe = (times >= least)[cell]
             maybe &= ~last[:-1]
             at = np.flatnonzero(maybe)
-        code = code[at]
+        code = seq[at].astype(np.int64) << SYMBOL_BITS | seq[at + 1]
         pair, count = _frequent(code, least)
         best = np.argsort(-count, kind="stable")[:room]
         pair = pair[best]
@@ -163,11 +162,14 @@ class Shard:
         """All ids at once: every symbol's expansion is copied from a table of all rules' expansions."""
         of_rules = expand(np.arange(len(self.rules)) + self.terminals, self.rules, self.terminals)
         table = np.concatenate((np.arange(self.terminals, dtype=np.uint32), of_rules))
-        size = np.concatenate((np.ones(self.terminals, np.int64), self.lengths.astype(np.int64)))
-        first = np.cumsum(size) - size
+        place = np.int32 if max(self.n_ids, len(table)) < 1 << 30 else np.int64
+        size = np.concatenate((np.ones(self.terminals, place), self.lengths.astype(place)))
+        first = np.cumsum(size, dtype=place) - size
         n = size[self.symbols]
-        ends = np.cumsum(n)
-        return table[np.repeat(first[self.symbols] - (ends - n), n) + np.arange(self.n_ids)]
+        ends = np.cumsum(n, dtype=place)
+        at = np.repeat(first[self.symbols] - (ends - n), n)
+        at += np.arange(self.n_ids, dtype=place)
+        return table[at]
 
     def document(self, k: int) -> np.ndarray:
         return expand(self.symbols[(self.ends[k - 1] if k else 0):self.ends[k]], self.rules, self.terminals)

@@ -34,8 +34,8 @@ from quietab.llm.grammar import opened, packed_shard
 from quietab.llm.tokens import ENCODE_BYTES, encoder, shared_tokenizer
 
 SHARD_IDS = 1 << 20
-#: bytes of text for each range of documents that one task encodes
-TASK_BYTES = 48 << 20
+#: documents of each range that one task encodes, shard by shard
+TASK_DOCS = 16_384
 
 SHARDS = "part int, shard int, ids_before long, n_ids long, data binary"
 
@@ -45,8 +45,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = Fals
     spark = docs.sparkSession
     small_batches(spark)
     shared = shared_tokenizer(spark.sparkContext, tokenizer)
-    size = narrow(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // TASK_DOCS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared, spaced)

@@ -194,7 +194,10 @@ class Encoder:
         at = np.array(slots, np.int64)[number]
         n = self.size[at]
         ends = np.cumsum(n)
-        ids = self.pool[np.repeat(self.first[at] - (ends - n), n) + np.arange(int(n.sum()))]
+        place = np.int32 if max(len(self.pool), int(n.sum())) < 1 << 30 else np.int64
+        where = np.repeat((self.first[at] - (ends - n)).astype(place), n)
+        where += np.arange(len(where), dtype=place)
+        ids = self.pool[where]
         upto = np.concatenate(([0], ends))[np.cumsum(per_text)]
         return ids, np.diff(np.concatenate(([0], upto)))
 
