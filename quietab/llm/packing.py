@@ -37,8 +37,8 @@ from quietab.llm.tokens import ENCODE_BYTES, encoder, shared_tokenizer
 
 LENGTH = 1024
 GROUP_DOCS = 2048
-#: bytes of text for each task that packs
-TASK_BYTES = 48 << 20
+#: groups of each task, one after the other
+TASK_GROUPS = 8
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -98,9 +98,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH,
     small_batches(spark)
     shared = shared_tokenizer(spark.sparkContext, tokenizer)
     rows = narrow(docs, "doc_id", "text")
-    count, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    count = rows.count()
     groups = max(1, -(-count // GROUP_DOCS))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // TASK_GROUPS))
     out = T.StructType([rows.schema["doc_id"]] + [T.StructField(n, T.LongType()) for n in (
         "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
         + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
