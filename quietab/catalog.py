@@ -635,6 +635,94 @@ def q_utility_raw_gbt(spark, sf_dir):
     return m.select("model", "split", "metric", r6("value").alias("value"))
 
 
+def q_quantile_encode_normal(spark, sf_dir):
+    """H6: FX3 numerics through the fitted piecewise-linear CDF and the normal quantile, as Column expressions."""
+    df, spec = fx.fx3(spark, sf_dir)
+    enc = fit_encoder(df, spec, "quantile", "bits")
+    flat = enc.flatten(enc.encode(df, keep=["event_id"]), keep=["event_id"])
+    return flat.select("event_id", r6("num_0").alias("num_0"), r6("num_1").alias("num_1"))
+
+
+def q_group_quantiles(spark, sf_dir):
+    """A10's quantiles: exact deciles of the event values of every user."""
+    from .operators.quantiles import grouped_quantiles
+    ev = fx.table(spark, sf_dir, "events")
+    q = grouped_quantiles(ev, "value", ["user_id"], [0.1, 0.5, 0.9], ["p10", "p50", "p90"], {"n": F.count("value")})
+    return q.select("user_id", "n", *[r6(c).alias(c) for c in ("p10", "p50", "p90")])
+
+
+def q_running_totals(spark, sf_dir):
+    """Running event numbers and sums per type in the order of the value; a third of the rows are one group's."""
+    from .operators.rank import running_totals
+    ev = fx.table(spark, sf_dir, "events").select(
+        "event_id", "value", "user_id", F.when(F.col("event_id") % 3 == 0, "hot").when(F.col("event_id") % 3 == 1, F.col("event_type")).alias("g"))
+    run = running_totals(ev, ["value", "event_id"], {"users": F.col("user_id")}, by=["g"])
+    return run.select("event_id", "g", "rank", "users")
+
+
+def q_ordered_target_stats(spark, sf_dir):
+    """M3: ordered target statistics of FX5's language and source for the label quality."""
+    from .operators.target_stats import ordered_statistics
+    df, spec = fx.fx5(spark, sf_dir)
+    rows, _ = ordered_statistics(df.where("quality is not null"), spec.cat_cols, "quality", "doc_id", seed=3)
+    return rows.select("doc_id", *[r6(f"{c}__ts1").alias(f"{c}_stat") for c in spec.cat_cols])
+
+
+def q_evaluation_report(spark, sf_dir):
+    """M9: the metrics of a fixed table of two models' predictions on three splits."""
+    from .plans.evaluate import metric_table
+    pr = _fx3_predictions(spark, sf_dir)
+    which = F.get(F.array(*map(F.lit, ("train", "val", "test"))), (F.col("event_id") % 3).cast("int"))
+    score = F.least(F.col("score"), F.lit(1.0))
+    two = pr.select("y", which.alias("split"), F.explode(F.array(
+        F.struct(F.lit("a").alias("model"), score.alias("s")), F.struct(F.lit("b").alias("model"), (1.0 - score * score).alias("s")))).alias("m"))
+    table = two.select("m.model", "split", "y", F.array(1.0 - F.col("m.s"), F.col("m.s")).alias("probs"))
+    return metric_table(table, "binclass").select("model", "split", "metric", r6("value").alias("value"))
+
+
+def q_knn_join_cells(spark, sf_dir):
+    """J6 pruned by cells: the rows of ``knn_join``."""
+    from .operators.knn import knn_join
+    e = fx.fx4(spark, sf_dir)
+    nb = knn_join(e, e, 5, "vec_id", "vec_id", "embedding", exclude_self=True, block_rows=500, method="cells")
+    return nb.select(F.col("q_key").alias("vec_id"), F.col("r_key").alias("neighbor"), "rank", r6("dist").alias("dist"))
+
+
+def q_label_codes(spark, sf_dir):
+    """H9: codes of 37 integer classes follow the integers, not their text."""
+    df = fx.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 37 * 3).cast("int").alias("y"))
+    coded = LabelModel.fit(df, "y", "multiclass").encode(df, "code")
+    return coded.groupBy("y").agg(F.min("code").alias("least"), F.max("code").alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+def q_decode_saturating(spark, sf_dir):
+    """P2 + P11 + J1 + J2: a tinyint scaled beyond its range saturates, a nullable boolean is a category and comes back."""
+    from .spec import TableSpec
+    df = fx.table(spark, sf_dir, "events").select(
+        "event_id", (F.col("user_id") % 250 - 125).cast("tinyint").alias("t"),
+        F.when(F.col("event_id") % 5 != 0, F.col("value") > 50).alias("flag"))
+    enc = fit_encoder(df, TableSpec(("t",), ("flag",), None, ("event_id",)), unknown="keep")
+    e = enc.encode(df, keep=["event_id"])
+    wide = e.withColumn("features", F.transform("features", lambda x, i: F.when(i == 0, x.cast("double") * 3.0).otherwise(x.cast("double"))))
+    return enc.decode(wide, keep=["event_id"]).select("event_id", F.col("t").cast("int").alias("t"), "flag")
+
+
+def q_split_keys_null(spark, sf_dir):
+    """The key sets of a nullable key."""
+    from .operators.setops import split_keys
+    ev = fx.table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("k"), "value")
+    ok, bad = split_keys(ev, F.col("value") > 95, "k")
+    return ok.withColumn("part", F.lit("allowed")).unionByName(bad.withColumn("part", F.lit("rejected")))
+
+
+def q_threshold_sparse(spark, sf_dir):
+    """A16 per user where some users have no positive event (no threshold)."""
+    from .operators.metrics import best_threshold
+    pr = _fx3_predictions(spark, sf_dir).withColumn("y", F.when(F.col("user_id") % 3 != 0, F.col("y")).otherwise(0).cast("long"))
+    r = best_threshold(pr, "y", "score", by=["user_id"])
+    return r.select("user_id", r6("threshold").alias("threshold"), r6("f1").alias("f1"))
+
+
 QUERIES = {
     "encode_minmax_bits": q_encode_minmax_bits,
     "encoded_label_means": flagship,
@@ -689,4 +777,14 @@ QUERIES = {
     "metrics_roundtrip": q_metrics_roundtrip,
     "quantile_encode_uniform": q_quantile_encode_uniform,
     "utility_raw_gbt": q_utility_raw_gbt,
+    "quantile_encode_normal": q_quantile_encode_normal,
+    "group_quantiles": q_group_quantiles,
+    "running_totals": q_running_totals,
+    "ordered_target_stats": q_ordered_target_stats,
+    "evaluation_report": q_evaluation_report,
+    "knn_join_cells": q_knn_join_cells,
+    "label_codes": q_label_codes,
+    "decode_saturating": q_decode_saturating,
+    "split_keys_null": q_split_keys_null,
+    "threshold_sparse": q_threshold_sparse,
 }

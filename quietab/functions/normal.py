@@ -146,50 +146,64 @@ def normal_cdf(x: Column) -> Column:
     return F.when(F.isnan(x), x).when(x > 0, 1 - upper).otherwise(upper)
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the CDF: -inf at 0, +inf at 1, NaN outside."""
+def _quantile_variable(p: Column) -> Column:
+    """The variable of AS 241's polynomials: of the centre or of a tail."""
     q = p - 0.5
-    central = F.lit(0.180625) - q * q
-    tail = F.sqrt(-F.log(F.when(q < 0, p).otherwise(1 - p)))
-    size = F.when(tail <= 5, _horner(_C[::-1], tail - 1.6) / _horner(_D[::-1], tail - 1.6)) \
-        .otherwise(_horner(_E[::-1], tail - 5) / _horner(_F[::-1], tail - 5))
-    return (F.when(p == 0, F.lit(-math.inf)).when(p == 1, F.lit(math.inf)).when(F.isnan(p) | (p < 0) | (p > 1), F.lit(math.nan))
-            .when(F.abs(q) <= 0.425, q * _horner(_A[::-1], central) / _horner(_B[::-1], central))
-            .otherwise(F.when(q < 0, -size).otherwise(size)))
-
-
-def with_knots(df: DataFrame, knots: dict[str, tuple[str, np.ndarray]]) -> DataFrame:
-    """Adds for each ``out: (column, quantiles)`` the number of different quantiles up to the value."""
-    made = {f"{out}_x": F.col(c).cast("double") for out, (c, _) in knots.items()}
-    found = Bucketizer(inputCols=list(made), outputCols=list(knots), handleInvalid="keep",
-                       splitsArray=[[-math.inf, *np.unique(np.asarray(q) + 0.0).tolist(), math.inf] for _, q in knots.values()])
-    return found.transform(df.withColumns(made)).drop(*made)
+    return F.when(F.abs(q) <= 0.425, F.lit(0.180625) - q * q).otherwise(F.sqrt(-F.log(F.when(q < 0, p).otherwise(1 - p))))
 
 
-def to_uniform(x: Column, knot: Column, quantiles: np.ndarray, references: np.ndarray) -> Column:
-    """Piecewise-linear CDF of a value with its ``knot`` (mean of forward and backward interpolation, so
-    tied quantiles map to the middle of their reference range), saturating at both ends; null is NaN."""
-    q, first = np.unique(quantiles + 0.0, return_index=True)
-    low = references[first]
-    high = references[np.append(first[1:], len(quantiles)) - 1]  # references of the first and last of equal quantiles
-    at = [F.lit(a.tolist()) for a in (q, low, high)]
-    i = knot.cast("int") - 1
-    q0, low0, high0 = (F.get(a, i) for a in at)
-    q1, low1, _ = (F.get(a, i + 1) for a in at)
-    forward = (low1 - high0) / (q1 - q0) * (x - q0) + high0
-    backward = (low1 - high0) / (q1 - q0) * (q1 - x) - low1
-    inside = F.when(x == q0, 0.5 * (high0 + low0)).otherwise(0.5 * (forward - backward))
-    return (F.when(x.isNull() | F.isnan(x), F.lit(math.nan))
-            .when(x - BOUNDS_THRESHOLD < float(q[0]), F.lit(float(references[0])))
-            .when(x + BOUNDS_THRESHOLD > float(q[-1]), F.lit(float(references[-1]))).otherwise(inside))
+def _quantile_at(p: Column, r: Column) -> Column:
+    q = p - 0.5
+    size = F.when(r <= 5, _horner(_C[::-1], r - 1.6) / _horner(_D[::-1], r - 1.6)) \
+        .otherwise(_horner(_E[::-1], r - 5) / _horner(_F[::-1], r - 5))
+    return (F.when(p == 0, F.lit(-math.inf)).when(p == 1, F.lit(math.inf)).when(F.isnan(p) | (p < 0) | (p > 1), F.lit(math.nan))
+            .when(F.abs(q) <= 0.425, q * _horner(_A[::-1], r) / _horner(_B[::-1], r))
+            .otherwise(F.when(q < 0, -size).otherwise(size)))
 
 
-def to_normal(u: Column) -> Column:
-    return F.when(F.isnan(u), u).otherwise(F.least(F.greatest(normal_quantile(u), F.lit(CLIP_MIN)), F.lit(CLIP_MAX)))
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the CDF: -inf at 0, +inf at 1, NaN outside.  Where p is itself an expression, add its
+    stages as columns (:func:`with_normal`): an expression repeats what it uses."""
+    return _quantile_at(p, _quantile_variable(p))
+
+
+def with_uniform(df: DataFrame, maps: dict[str, tuple[str, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Adds for each ``out: (column, quantiles, references)`` the piecewise-linear CDF of the value (mean of
+    forward and backward interpolation, so tied quantiles map to the middle of their reference
+    range), saturating at both ends; null is NaN.  One projection a stage: x, knot, its neighbours, result."""
+    knots = {out: np.unique(q + 0.0, return_index=True) for out, (_, q, _) in maps.items()}
+    df = df.withColumns({f"{out}_x": F.col(c).cast("double") for out, (c, _, _) in maps.items()})
+    df = Bucketizer(inputCols=[f"{out}_x" for out in maps], outputCols=[f"{out}_k" for out in maps], handleInvalid="keep",
+                    splitsArray=[[-math.inf, *q.tolist(), math.inf] for q, _ in knots.values()]).transform(df)
+    near = {}
+    for out, (_, quantiles, references) in maps.items():
+        q, first = knots[out]
+        low = references[first]
+        high = references[np.append(first[1:], len(quantiles)) - 1]  # references of the first and last of equal quantiles
+        i = F.col(f"{out}_k").cast("int") - 1
+        for name, values, at in (("q0", q, i), ("q1", q, i + 1), ("low0", low, i), ("low1", low, i + 1), ("high0", high, i)):
+            near[f"{out}_{name}"] = F.get(F.lit(values.tolist()), at)
+    df, made = df.withColumns(near), {}
+    for out, (_, quantiles, references) in maps.items():
+        x, q0, q1, low0, low1, high0 = (F.col(f"{out}_{n}") for n in ("x", "q0", "q1", "low0", "low1", "high0"))
+        slope = (low1 - high0) / (q1 - q0)
+        inside = F.when(x == q0, 0.5 * (high0 + low0)).otherwise(0.5 * ((slope * (x - q0) + high0) - (slope * (q1 - x) - low1)))
+        made[out] = (F.when(x.isNull() | F.isnan(x), F.lit(math.nan))
+                     .when(x - BOUNDS_THRESHOLD < float(quantiles[0]), F.lit(float(references[0])))
+                     .when(x + BOUNDS_THRESHOLD > float(quantiles[-1]), F.lit(float(references[-1]))).otherwise(inside))
+    return df.withColumns(made)
+
+
+def with_normal(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds for each ``out: uniform`` the normal quantile, clipped."""
+    df = df.withColumns({f"{out}_r": _quantile_variable(F.col(u)) for out, u in columns.items()})
+    df = df.withColumns({f"{out}_n": _quantile_at(F.col(u), F.col(f"{out}_r")) for out, u in columns.items()})
+    return df.withColumns({out: F.when(F.isnan(f"{out}_n"), F.col(f"{out}_n")).otherwise(
+        F.least(F.greatest(f"{out}_n", F.lit(CLIP_MIN)), F.lit(CLIP_MAX))) for out in columns})
 
 
 def from_uniform(u: Column, quantiles: np.ndarray, references: np.ndarray) -> Column:
-    """The inverse map; references are evenly spaced, so the knot needs no search."""
+    """The inverse map of a plain column; references are evenly spaced, so the knot needs no search."""
     n = len(quantiles)
     if n == 1:
         return F.when(F.isnan(u), u).otherwise(F.lit(float(quantiles[0])))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import (UNROLL_MAX, argmax, bit_width, bits_to_code, clip_code, code_to_bits,
                                 code_to_onehot)
-from ..functions.normal import from_uniform, normal_cdf, to_normal, to_uniform, with_knots
+from ..functions.normal import from_uniform, normal_cdf, with_normal, with_uniform
 from ..spec import TableSpec
 from .dictjoin import dictionary_join
 from .quantiles import exact_quantiles
@@ -213,8 +213,7 @@ class EncoderModel:
             return x * F.lit(p["scale"]) + F.lit(p["offset"])
         if p["kind"] == "standard":
             return (x - F.lit(p["mean"])) / F.lit(p["scale"])
-        u = to_uniform(x, F.col(f"__knot_{c}"), np.asarray(p["quantiles"]), np.asarray(p["references"]))
-        return to_normal(u) if p.get("output", "normal") == "normal" else u
+        return F.col(f"__q_{c}")  # added by _with_quantiles
 
     def code_expr(self, c: str) -> Column:
         """Dictionary code of column ``c`` (literal map path); -1 if unseen/null."""
@@ -248,6 +247,20 @@ class EncoderModel:
         code = self._finish_code(F.coalesce(F.col(f"__c_{c}"), F.lit(-1)).cast("long"), c)
         return j.withColumn(f"__code_{c}", code).drop(f"__k_{c}", f"__c_{c}")
 
+    def _quantile_columns(self) -> dict:
+        return {c: p for c, p in self.num_params.items() if p["kind"] == "quantile"}
+
+    def _with_quantiles(self, df: DataFrame) -> DataFrame:
+        """Adds ``__q_<col>`` for every quantile-encoded column, stage by stage."""
+        own = self._quantile_columns()
+        if not own:
+            return df
+        df = with_uniform(df, {f"__u_{c}": (c, np.asarray(p["quantiles"]), np.asarray(p["references"])) for c, p in own.items()})
+        normal = [c for c, p in own.items() if p.get("output", "normal") == "normal"]
+        if normal:
+            df = with_normal(df, {f"__z_{c}": f"__u_{c}" for c in normal})
+        return df.withColumns({f"__q_{c}": F.col(f"__z_{c}" if c in normal else f"__u_{c}") for c in own})
+
     def feature_exprs(self) -> list[Column]:
         parts = [F.array(*[self._num_expr(c).cast("float") for c in self.spec.num_cols])] \
             if self.spec.num_cols else []
@@ -261,10 +274,7 @@ class EncoderModel:
 
     def encode(self, df: DataFrame, keep=(), features: str = "features") -> DataFrame:
         """One projection: ``keep`` columns + ``features ARRAY<FLOAT>``."""
-        coded = self.with_codes(df)
-        knots = {f"__knot_{c}": (c, np.asarray(p["quantiles"])) for c, p in self.num_params.items() if p["kind"] == "quantile"}
-        if knots:
-            coded = with_knots(coded, knots)
+        coded = self._with_quantiles(self.with_codes(df))
         parts = self.feature_exprs()
         feat = F.concat(*parts) if len(parts) > 1 else parts[0]
         return coded.select(*keep, feat.alias(features))
@@ -285,8 +295,7 @@ class EncoderModel:
         elif p["kind"] == "standard":
             x = y * F.lit(p["scale"]) + F.lit(p["mean"])
         else:
-            u = normal_cdf(y) if p.get("output", "normal") == "normal" else y
-            x = from_uniform(u, np.asarray(p["quantiles"]), np.asarray(p["references"]))
+            x = from_uniform(F.col(f"__u_{c}"), np.asarray(p["quantiles"]), np.asarray(p["references"]))  # added by decode
         if clip and p.get("min") is not None:  # optional: keep decoded values inside the fitted range
             x = F.least(F.greatest(x, F.lit(float(p["min"]))), F.lit(float(p["max"])))
         dt = self.dtypes.get(c)
@@ -334,6 +343,11 @@ class EncoderModel:
             d = d.where(self.valid_predicate())
         layout = {r["col"]: r for r in self.layout}
         out = {}
+        uniform = {f"__u_{c}": F.col(features)[layout[c]["offset"]].cast("double") for c in self._quantile_columns()}
+        if uniform:
+            d = d.withColumns(uniform)
+            d = d.withColumns({f"__u_{c}": normal_cdf(F.col(f"__u_{c}")) for c, p in self._quantile_columns().items()
+                               if p.get("output", "normal") == "normal"})
         for c in self.spec.num_cols:
             out[c] = self._num_inverse(c, F.col(features)[layout[c]["offset"]], clip_numeric)
         joins = []

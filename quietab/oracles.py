@@ -487,7 +487,7 @@ UNION ALL SELECT event_type, 'roc_auc', roc_auc FROM m""",
 })
 
 
-def _quantile_uniform_sql() -> str:
+def _quantile_uniform_sql(kind: str = "FLOAT") -> str:
     """Knots exactly as fitted (linear interpolation between order statistics,
     Spark's form), then numpy-interp semantics forward and backward."""
     knots = []
@@ -517,7 +517,7 @@ def _quantile_uniform_sql() -> str:
              ELSE ((f.rj1 - f.rj) / (f.qj1 - f.qj)) * ({x} - f.qj) + f.rj END)
        - (CASE WHEN g.b >= kl.idx + 1 THEN -1.0 WHEN g.b = 0 OR {x} = k0.q THEN -0.0 WHEN {x} = g.qb THEN -g.rb
                ELSE ((g.rb - g.ra) / (g.qb - g.qa)) * (g.qb - {x}) - g.rb END)) END
-   AS FLOAT) AS DOUBLE)
+   AS {kind}) AS DOUBLE)
    FROM (SELECT * FROM {k} WHERE idx = 0) k0,
         (SELECT * FROM {k} WHERE idx = m - 1) kl,
         (SELECT {cle} - 1 AS j, max(CASE WHEN idx = {cle} - 1 THEN q END) AS qj,
@@ -533,3 +533,79 @@ FROM events e"""
 
 
 ORACLES["quantile_encode_uniform"] = _quantile_uniform_sql()
+
+
+def _normal_quantile_sql(p: str) -> str:
+    """AS 241 with the same coefficients, clipped as the encoder clips."""
+    from .functions import normal as nm
+
+    def horner(coefs, x):
+        out = D(coefs[-1])
+        for c in reversed(coefs[:-1]):
+            out = f"({out} * {x} + {D(c)})"
+        return out
+    q, r = f"({p} - 0.5)", f"({D(0.180625)} - ({p} - 0.5) * ({p} - 0.5))"
+    t = f"sqrt(-ln(CASE WHEN {q} < 0 THEN {p} ELSE 1.0 - {p} END))"
+    near, far = f"({t} - {D(1.6)})", f"({t} - {D(5)})"
+    size = (f"(CASE WHEN {t} <= 5 THEN {horner(nm._C, near)} / {horner(nm._D, near)}"
+            f" ELSE {horner(nm._E, far)} / {horner(nm._F, far)} END)")
+    return (f"least(greatest(CASE WHEN {p} <= 0 THEN {D(nm.CLIP_MIN)} WHEN {p} >= 1 THEN {D(nm.CLIP_MAX)}"
+            f" WHEN abs({q}) <= 0.425 THEN {q} * {horner(nm._A, r)} / {horner(nm._B, r)}"
+            f" ELSE CASE WHEN {q} < 0 THEN -{size} ELSE {size} END END, {D(nm.CLIP_MIN)}), {D(nm.CLIP_MAX)})")
+
+
+def _target_stats_sql() -> str:
+    stats = []
+    for c in ("lang", "source"):
+        w = f"OVER (PARTITION BY {c} ORDER BY u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        stats.append(R6(f"(coalesce(sum(y) {w}, 0) + prior) / (count(*) {w} + 1.0)") + f" AS {c}_stat")
+    return f"""
+WITH d AS (SELECT d.doc_id, d.lang, d.source, CAST(l.quality = 1 AS BIGINT) AS y, {U(3, 'd.doc_id', "'order'")} AS u
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL),
+e AS (SELECT *, avg(y) OVER () AS prior FROM d)
+SELECT doc_id, {', '.join(stats)} FROM e"""
+
+
+_REPORT_ROWS = f"""(WITH p AS {PRED_FX3},
+ s AS (SELECT y, CASE event_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, least(score, 1.0) AS s FROM p)
+ SELECT 'a|' || split AS ms, y, s AS score FROM s UNION ALL SELECT 'b|' || split, y, {D(1)} - s * s FROM s)"""
+
+_SPARSE_ROWS = f"""(SELECT event_id, user_id, CASE WHEN user_id % 3 <> 0 THEN y ELSE 0 END AS y, score FROM {PRED_FX3})"""
+
+_SAT_ROWS = """(SELECT event_id, CAST(user_id % 250 - 125 AS BIGINT) AS t,
+  CASE WHEN event_id % 5 <> 0 THEN value > 50 END AS flag FROM events)"""
+
+ORACLES.update({
+    "quantile_encode_normal": f"""
+SELECT event_id, {', '.join(R6(f'CAST(CAST({_normal_quantile_sql(f"num_{i}")} AS FLOAT) AS DOUBLE)') + f' AS num_{i}' for i in (0, 1))}
+FROM ({_quantile_uniform_sql('DOUBLE')})""",
+    "group_quantiles": f"""
+SELECT user_id, count(value) AS n, {', '.join(R6(f'quantile_cont(value, {q})') + f' AS p{k}' for q, k in ((0.1, 10), (0.5, 50), (0.9, 90)))}
+FROM events GROUP BY user_id""",
+    "running_totals": """
+WITH e AS (SELECT event_id, value, user_id, CASE event_id % 3 WHEN 0 THEN 'hot' WHEN 1 THEN event_type END AS g FROM events)
+SELECT event_id, g, row_number() OVER w AS rank,
+       CAST(sum(user_id) OVER (PARTITION BY g ORDER BY value, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS users
+FROM e WINDOW w AS (PARTITION BY g ORDER BY value, event_id)""",
+    "ordered_target_stats": _target_stats_sql(),
+    "evaluation_report": f"""
+WITH r AS ({_binary_report_sql('ms').replace(PRED_FX3, _REPORT_ROWS)})
+SELECT split_part(ms, '|', 1) AS model, split_part(ms, '|', 2) AS split, metric, {R6('value')} AS value FROM (
+  SELECT ms, 'f1' AS metric, f1 AS value FROM r UNION ALL SELECT ms, 'accuracy', accuracy FROM r
+  UNION ALL SELECT ms, 'roc_auc', roc_auc FROM r)""",
+    "knn_join_cells": ORACLES["knn_join"],
+    "label_codes": """
+WITH o AS (SELECT CAST(o_custkey % 37 * 3 AS INTEGER) AS y FROM orders),
+c AS (SELECT y, count(*) AS n FROM o GROUP BY y)
+SELECT y, row_number() OVER (ORDER BY y) - 1 AS least, row_number() OVER (ORDER BY y) - 1 AS most, n FROM c""",
+    "decode_saturating": f"""
+WITH e AS {_SAT_ROWS}, p AS (SELECT {D(2)} / (max(t) - min(t)) AS s, {D(-1)} - min(t) * ({D(2)} / (max(t) - min(t))) AS o FROM e),
+x AS (SELECT event_id, flag, (CAST(CAST(CAST(t AS DOUBLE) * s + o AS FLOAT) AS DOUBLE) * {D(3)} - o) / s AS v FROM e, p)
+SELECT event_id, CAST(least(greatest(round_even(v, 0), -128), 127) AS INTEGER) AS t, flag FROM x""",
+    "split_keys_null": """
+WITH e AS (SELECT CASE WHEN user_id % 7 <> 0 THEN user_id END AS k, value FROM events)
+SELECT k, CASE WHEN bool_or(value > 95) THEN 'allowed' ELSE 'rejected' END AS part FROM e GROUP BY k""",
+    "threshold_sparse": ORACLES["best_threshold"].replace(PRED_FX3, _SPARSE_ROWS).replace("event_type", "user_id")
+    .replace("tp / pp AS rec", "CASE WHEN pp > 0 THEN tp / pp END AS rec")
+    .replace(f"{R6('score')} AS threshold", R6("CASE WHEN f1 IS NOT NULL THEN score END") + " AS threshold"),
+})

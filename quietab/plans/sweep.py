@@ -70,3 +70,41 @@ def sweep(param_table: DataFrame, run, metric: str = "roc_auc", split: str = "va
     scored = per_run.join(param_table, "run_id")
     pcols = [c for c in param_table.columns if c != "run_id"]
     return runs, best_run(scored, "score", "run_id", pcols)
+
+
+def layer_widths(p: dict) -> tuple:
+    """Hidden layers from a drawn number of them and log2 widths of the first, the middle and the last."""
+    n = int(p["n_layers"])
+    first, middle, last = (2 ** int(p[f"{k}_log2"]) for k in ("first", "middle", "last"))
+    return (first,) if n == 1 else (first, *[middle] * (n - 2), last)
+
+
+#: the denoiser's search space: layers of 128 to 1024 units, learning rate, steps
+GENERATOR_SPACE = {"n_layers": ("int", 1, 4), "first_log2": ("int", 7, 10), "middle_log2": ("int", 7, 10), "last_log2": ("int", 7, 10),
+                   "lr": ("loguniform", 1e-5, 3e-3), "steps": ("choice", [500, 1000, 2000])}
+
+
+def tune_generator(df: DataFrame, spec, cfg, folder: str, n_trials: int = 30, seeds=range(5), space: dict | None = None,
+                   metric: str = "roc_auc", split: str = "val", seed: int = 0) -> dict:
+    """M10 over M11: every trial fits a denoiser of drawn layers, widths, rate and steps, samples it with each of the
+    seeds and scores the samples; the best mean validation score wins.  All trials share the stages of one run
+    folder (splits, encoders and histogram are made once, a killed sweep resumes).
+
+    Returns ``runs`` (all metrics), ``best`` (its parameters and score), ``config`` (of the best) and ``report``, the best
+    trial's metrics averaged over the seeds."""
+    from dataclasses import replace
+
+    from .end_to_end import run_end_to_end
+    table = draw_params(df.sparkSession, space or GENERATOR_SPACE, n_trials, seed)
+
+    def config(p: dict, s: int):
+        changed = {k: type(getattr(cfg.generator, k))(p[k]) for k in ("lr", "steps") if k in p}
+        if "n_layers" in p:
+            changed["d_layers"] = layer_widths(p)
+        return replace(cfg, generator=replace(cfg.generator, **changed), sample_seed=s)
+
+    runs, best = sweep(table, lambda p, s: run_end_to_end(df, spec, config(p, s), folder)["metrics"], metric, split, tuple(seeds))
+    won = best.first().asDict()
+    own = runs.where(F.col("run_id") == won["run_id"])
+    return {"runs": runs, "best": best, "config": config(won, tuple(seeds)[0]),
+            "report": average_metrics(own, by=("model", "split", "metric"))}

@@ -112,7 +112,7 @@ def test_top_up_until_n_rows_are_finite(spark, monkeypatch):
     monkeypatch.setattr(g, "_reverse_chain", broken)
     got = sorted(r["id"] for r in model.generate(spark, 100, 5).select("id").collect())
     assert got == [i for i in range(200) if i % 3][:100]
-    monkeypatch.setattr(g, "_reverse_chain", lambda p, s, b, ids, seed: plain(p, s, b, ids, seed).assign(ok=False))
+    monkeypatch.setattr(g, "_reverse_chain", lambda p, s, b, ids, seed: {**plain(p, s, b, ids, seed), "ok": np.zeros(len(ids), bool)})
     with pytest.raises(RuntimeError, match="finite"):
         model.generate(spark, 10, 5)
 
