@@ -6,8 +6,10 @@ logistic model over the words a text holds and their beginnings (the first
 categories are further inputs of the later models.  In training these inputs
 are out-of-fold predictions (``folds`` folds by a hash of the id), so a later model
 learns from probabilities as uncertain as those it will meet.  The last category
-is ``toxic``, the label itself; an earlier one holds for toxic rows with a word of
-its seed list (a parameter).
+is ``toxic``, the label itself.  The earlier ones are kinds of toxicity found in the
+sample: its toxic rows are clustered by their telling words (spherical k-means, ``kinds`` of them, the
+larger ones first), so that each language or manner of abuse can be a kind.  A caller with categories of their own gives
+seed words instead (``seeds``): a category holds for toxic rows with one of its words.
 
 Learning uses a bounded sample: about ``max_rows`` labelled rows, chosen by a
 seeded hash of the id.  Its words and beginnings are counted by Spark; at most
@@ -19,7 +21,8 @@ Words: A-Z lower-cased, everything outside letters, digits and non-ASCII separat
 Defined cases: a null or empty text, or one without a word, is not toxic with
 score 0 in every category; without labelled rows of both kinds nothing is
 toxic and all scores are 0; a null label is no label; of several labels of an
-id the largest counts; repeated rows get equal results.
+id the largest counts; of several texts of an id the one with the smallest hash is
+learned from; repeated rows get equal results; a kind without rows has probabilities near 0.
 """
 
 from __future__ import annotations
@@ -38,12 +41,6 @@ from pyspark.sql import types as T
 from quietab.llm import linear
 from quietab.llm.common import WORD_TABLE, blocks, map_text, narrow, small_batches, table, written
 
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown", "fool", "dumb", "imbecile", "jerk"),
-    "contempt": ("worthless", "pathetic", "disgusting", "trash", "garbage", "scum", "filth", "vermin", "useless"),
-}
-
-
 PREFIXES = (4, 5, 6, 7)
 CACHE_WORDS = 400_000
 
@@ -57,7 +54,13 @@ class ToxicConfig:
     folds: int = 5
     l2: float = 0.3
     threshold: float = 0.5
-    seeds: dict = field(default_factory=lambda: dict(SEEDS))
+    kinds: int = 4
+    seeds: dict = field(default_factory=dict)
+
+    @property
+    def earlier(self) -> list[str]:
+        """The categories before ``toxic``."""
+        return list(self.seeds) or [f"kind{k}" for k in range(1, self.kinds + 1)]
 
 
 @dataclass
@@ -98,7 +101,7 @@ class Inputs:
 
 def fields(cfg: ToxicConfig) -> list[T.StructField]:
     return ([T.StructField("toxic", T.BooleanType()), T.StructField("score", T.DoubleType())]
-            + [T.StructField(f"p_{c}", T.DoubleType()) for c in cfg.seeds])
+            + [T.StructField(f"p_{c}", T.DoubleType()) for c in cfg.earlier])
 
 
 def sample(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig) -> DataFrame:
@@ -111,7 +114,9 @@ def sample(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig) -> DataFrame:
     chosen = (known.filter(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20))
               .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(cfg.folds)).cast("int")))
     return (narrow(docs, "doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
-            .dropDuplicates(["doc_id"]).select("text", (F.col("toxic") > 0).alias("toxic"), "fold"))
+            # of several texts of an id always the same one
+            .groupBy("doc_id", "fold").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+            .select("text", (F.col("toxic") > 0).alias("toxic"), "fold"))
 
 
 def telling_words(rows: DataFrame, cfg: ToxicConfig) -> tuple[dict[bytes, int], int]:
@@ -158,6 +163,40 @@ def telling_words(rows: DataFrame, cfg: ToxicConfig) -> tuple[dict[bytes, int],
     return {w: i for i, w in enumerate(sorted({bytes(r["word"]) for r in top} | seeds))}, k
 
 
+def kinds_of(row: np.ndarray, col: np.ndarray, n: int, d: int, toxic: np.ndarray, k: int) -> list[np.ndarray]:
+    """Masks of ``k`` kinds of the toxic rows, the larger first (rows without an input are none)."""
+    at = np.flatnonzero(toxic)
+    x = np.zeros((len(at), d), np.float32)
+    place = np.full(n, -1)
+    place[at] = np.arange(len(at))
+    own = place[row] >= 0
+    x[place[row[own]], col[own]] = 1.0
+    x *= np.log((len(at) + 1) / (x.sum(0) + 1)).astype(np.float32)  # words that most toxic rows hold tell no kind
+    norm = np.sqrt((x * x).sum(1))
+    some = norm > 0
+    x[some] /= norm[some][:, None]
+    kind = np.full(len(at), -1)
+    if some.any():
+        centres = x[some][:1]
+        while len(centres) < min(k, int(some.sum())):  # the row farthest from all centres is the next
+            centres = np.vstack((centres, x[some][(x[some] @ centres.T).max(1).argmin()]))
+        for _ in range(30):
+            near = (x[some] @ centres.T).argmax(1)
+            sums = np.stack([x[some][near == c].sum(0) for c in range(len(centres))])
+            moved = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)
+            if np.allclose(moved, centres):
+                break
+            centres = moved
+        kind[some] = near
+    sizes = np.bincount(kind[kind >= 0], minlength=k)
+    masks = []
+    for c in np.argsort(-sizes, kind="stable")[:k]:
+        mask = np.zeros(n, bool)
+        mask[at[kind == c]] = True
+        masks.append(mask)
+    return masks
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig()) -> ToxicModel | None:
     small_batches(docs.sparkSession)
     rows = written(sample(docs, labels, cfg), "toxic-sample")
@@ -181,13 +220,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig
     row = np.repeat(np.arange(len(order)), size)
     col = np.array([i for _, _, a in order for i in a], np.int64)
     val = np.ones(len(col))
-    names = [*cfg.seeds, "toxic"]
+    names = [*cfg.earlier, "toxic"]
+    if cfg.seeds:
+        targets = [toxic & (np.bincount(row, np.isin(col, [words[w.encode()] for w in ws]), len(order)) > 0) for ws in cfg.seeds.values()]
+    else:
+        targets = kinds_of(row, col, len(order), len(words), toxic, cfg.kinds)
     weights = []
-    for j, name in enumerate(names):
-        y = toxic
-        if name in cfg.seeds:
-            own = [words[w.encode()] for w in cfg.seeds[name]]
-            y = toxic & (np.bincount(row, np.isin(col, own), len(order)) > 0)
+    for j, y in enumerate([*targets, toxic]):
         x = linear.Rows(row, col, val, len(order), len(words) + j)
         out_of_fold = np.zeros(len(order))
         for f in range(cfg.folds):
@@ -204,7 +243,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig
 
 def predict(model: ToxicModel | None, inputs: Inputs, block: list, cfg: ToxicConfig) -> dict:
     n = len(block)
-    p = {c: np.zeros(n) for c in [*cfg.seeds, "toxic"]}
+    p = {c: np.zeros(n) for c in [*cfg.earlier, "toxic"]}
     if model is not None:
         d = len(model.words)
         found = [words_of(t) for t in block]
@@ -217,7 +256,7 @@ def predict(model: ToxicModel | None, inputs: Inputs, block: list, cfg: ToxicCon
             z = np.bincount(row, w[col], n) + w[-1] + sum(w[d + i] * p[c] for i, c in enumerate(model.names[:j]))
             p[name] = np.where(some, linear.sigmoid(z), 0.0)
     return ({"toxic": p["toxic"] >= cfg.threshold, "score": p["toxic"].round(6)}
-            | {f"p_{c}": p[c].round(6) for c in cfg.seeds})
+            | {f"p_{c}": p[c].round(6) for c in cfg.earlier})
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicConfig = ToxicConfig(),

@@ -45,9 +45,9 @@ def odd(spark, small):
 
 def test_toxicity_odd_and_learned(spark, small, odd):
     got = toxicity.toxicity(odd, small["labels"], keep=["doc_id"])
-    assert got.columns == ["doc_id", "toxic", "score", "p_insult", "p_contempt"] and got.count() == odd.count()
+    assert got.columns == ["doc_id", "toxic", "score", "p_kind1", "p_kind2", "p_kind3", "p_kind4"] and got.count() == odd.count()
     by = {r["doc_id"]: r for r in got.collect()}
-    assert not by[1]["toxic"] and by[2]["score"] == 0 == by[4]["p_insult"] * 0
+    assert not by[1]["toxic"] and by[2]["score"] == 0 == by[4]["p_kind1"] * 0
     none = toxicity.toxicity(odd, small["labels"].limit(0), keep=["doc_id"])
     assert {(r["toxic"], r["score"]) for r in none.collect()} == {(False, 0.0)}
     everything = toxicity.toxicity(odd, small["labels"])  # results replace columns of their names
