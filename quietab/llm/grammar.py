@@ -192,13 +192,16 @@ class Shard:
 def packed_shard(ids: np.ndarray, counts: np.ndarray, doc_ids: list, terminals: int, **options) -> bytes:
     """The shard file of documents with ``counts`` ids each (at least one each)."""
     symbols, ends, rules = re_pair(ids, np.cumsum(counts), terminals, **options)
-    width = 2 if terminals + len(rules) <= 1 << 16 else 4
+    top = terminals + len(rules)
+    width = 2 if top <= 1 << 16 else 3 if top <= 1 << 24 else 4
+    low, high = symbols.astype(np.uint32) & 0xFFFF, symbols.astype(np.uint32) >> 16
+    coded = symbols.astype("<u4").tobytes() if width == 4 else low.astype("<u2").tobytes() + (high.astype("u1").tobytes() if width == 3 else b"")
     known = np.array([d is not None for d in doc_ids], np.uint8)
     return b"".join((
         HEAD.pack(MAGIC, len(counts), len(ids), len(rules), len(symbols), terminals, width),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), ends.astype("<u4").tobytes(),
         rules.astype("<u4").tobytes(), expansion_lengths(rules, terminals).astype("<u4").tobytes(),
-        symbols.astype(f"<u{width}").tobytes()))
+        coded))
 
 
 def opened(data: bytes) -> Shard:
@@ -215,5 +218,8 @@ def opened(data: bytes) -> Shard:
 
     doc_ids, known, ends = take("<i8", docs), take("u1", docs), take("<u4", docs)
     rules = take("<u4", 2 * n_rules).reshape(-1, 2).astype(np.int64)
-    return Shard(doc_ids, known.astype(bool), ends, rules, take("<u4", n_rules), take(f"<u{width}", n_symbols),
-                 terminals, n_ids)
+    lengths = take("<u4", n_rules)
+    symbols = take("<u4" if width == 4 else "<u2", n_symbols)
+    if width == 3:  # the third bytes follow, nearly all zero
+        symbols = symbols.astype(np.uint32) | take("u1", n_symbols).astype(np.uint32) << 16
+    return Shard(doc_ids, known.astype(bool), ends, rules, lengths, symbols, terminals, n_ids)

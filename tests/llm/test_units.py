@@ -363,3 +363,15 @@ def test_re_pair_goes_on_until_no_pair_is_frequent():
     code = symbols[:-1].astype(np.int64) << 31 | symbols[1:]
     assert Counter(code[inside[:-1]].tolist()).most_common(1)[0][1] < 8
     assert len(rules) > 50 and len(symbols) < 0.5 * len(ids)
+
+
+def test_symbols_of_every_width():
+    import numpy as np
+    from quietab.llm import grammar
+    rng = np.random.default_rng(6)
+    for terminals, width in ((40_000, 2), (65_530, 3), (1 << 24, 4)):
+        ids = np.concatenate([rng.integers(terminals - 300, terminals, 20)] * 200).astype(np.uint32)
+        shard = grammar.opened(grammar.packed_shard(ids, np.full(200, 20), list(range(200)), terminals))
+        assert len(shard.rules) > 6 and np.array_equal(shard.all_ids() if terminals < 1 << 20 else
+                                                       np.concatenate([shard.document(k) for k in range(200)]), ids)
+        assert shard.symbols.dtype.itemsize == (2 if width == 2 else 4)
