@@ -9,8 +9,6 @@ Python tasks as UTF-8 bytes in Arrow batches, in blocks of bounded size.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quietab.session import checkpoint_dir, ship_package
+from quietab.session import scratch_folder, ship_package
 
 #: bytes of text handled at once inside a task (a longer text is a block of its own)
 BLOCK_BYTES = 2 << 20
@@ -54,7 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written under the shared checkpoint folder and read back: cuts the
     lineage, so that a lost executor's successor reads files."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quietab.llm.common import WORD_TABLE, blocks, map_text, narrow, small_batches, table
 
@@ -185,6 +186,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig())
     kinds = narrow(docs, "doc_id").schema[0], narrow(benchmark, "item_id").schema[0]
     out = T.StructType([kinds[0], kinds[1], T.StructField("n_edits", T.LongType()),
                         T.StructField("n_bytes", T.LongType()), T.StructField("ends_at", T.LongType())])
+    item_kind = to_arrow_schema(out).field("item_id").type
     rows = narrow(docs, "doc_id", "text")
     result = spark.createDataFrame([], out)
     for items in item_blocks(benchmark):
@@ -199,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cfg: LeakConfig = LeakConfig())
                     if got:
                         d, one, e, n, end = zip(*got)
                         yield pa.RecordBatch.from_arrays(
-                            [b.column("doc_id").slice(lo, hi - lo).take(pa.array(d)), pa.array(one, pa.int64()),
+                            [b.column("doc_id").slice(lo, hi - lo).take(pa.array(d)), pa.array(one, item_kind),
                              pa.array(e), pa.array(n), pa.array(end)], out.names)
 
         result = result.unionAll(rows.mapInArrow(search, out))

@@ -33,7 +33,6 @@ training text every probability is 1 (the one unknown token); very long texts ar
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -48,14 +47,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quietab.llm.common import LOWER_TABLE, map_text, narrow, small_batches, table, word_ids, written
-from quietab.session import checkpoint_dir
+from quietab.session import scratch_folder
 
 U64 = np.uint64
 #: tokens that no text holds (words have no space)
 END, START = U64(xxhash.xxh64_intdigest(b" end")), U64(xxhash.xxh64_intdigest(b" start"))
 #: bytes of text counted or scored at once inside a task
-RUN_BYTES = 12 << 20
-SCORE_BYTES = 8 << 20
+RUN_BYTES = 8 << 20
+SCORE_BYTES = 6 << 20
 #: bytes of training text for each shard of the model
 SHARD_BYTES = 16 << 20
 #: share of all tokens that makes a context hot
@@ -374,7 +373,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     texts = narrow(docs, "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + size // SHARD_BYTES
-    uri = os.path.join(checkpoint_dir(spark), f"ngrams-{uuid.uuid4().hex[:12]}")
+    uri = scratch_folder(spark, "ngrams")
     hot = hot_contexts(texts, order)
     shared = spark.sparkContext.broadcast(hot)
 

@@ -29,8 +29,6 @@ are ranked each on their own.  No documents, no rows.
 from __future__ import annotations
 
 import math
-import os
-import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -43,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quietab.llm.common import WORD_TABLE, blocks, narrow, small_batches, table, word_ids
-from quietab.session import checkpoint_dir
+from quietab.session import scratch_folder
 
 TOP = 10
 #: bytes of item text searched with one index
@@ -245,7 +243,7 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[object, Counter]]]:
 
 def _write(df: DataFrame, name: str) -> DataFrame:
     """As common.written, for rows of large binary arrays: row groups of few rows, packed by zstd."""
-    path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = scratch_folder(df.sparkSession, name)
     df.write.options(**{"compression": "zstd", "parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1,
                         "parquet.block.size.row.check.min": 1}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -80,7 +80,9 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 1, spaced: bool = Fals
         if counts:
             yield file()
 
-    rows = narrow(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    # the files hold 64-bit ids
+    rows = (narrow(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+            .withColumn("row", F.monotonically_increasing_id()))
     return (rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "row")
             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").select("doc_id", "text")
             .mapInArrow(run, SHARDS))
