@@ -4,7 +4,8 @@ benchmark decontamination, packing.
 Each stage takes what its predecessor kept; all but the last return the columns
 of ``documents``.  ``run`` writes every stage's result as Parquet under the
 shared checkpoint folder and reads it again, so that a lost executor costs one
-stage's tasks at most.  An empty table passes through all stages.
+stage's tasks at most; a stage's own intermediate tables and its predecessor's result are
+deleted once its result is written.  An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quietab.llm.common import table, written
+from quietab.llm.common import table
 from quietab.llm.decontam import without_leaks
 from quietab.llm.langid import keep_languages
 from quietab.llm.packing import pack
 from quietab.llm.quality import quality
 from quietab.llm.simhash import one_of_each
+from quietab.session import drop_folder, scratch, scratch_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch_folder(spark, name)
+        with scratch(spark):  # what the stage writes besides its result goes with it
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.schema(kept.schema).parquet(path), path
     return docs
