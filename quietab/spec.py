@@ -61,11 +61,12 @@ def canonical(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def infer_task(df: DataFrame, label: str) -> tuple[str, int]:
-    """A5: 2 distinct -> binclass, < 100 -> multiclass, else regression."""
+    """A5: 2 distinct -> binclass, < 100 -> multiclass, else regression (whose number of
+    distinct values is approximate: a continuous label is not shuffled to count it)."""
     n = df.select(label).where(F.col(label).isNotNull()).distinct().limit(100).count()  # 100 decide it
     if n < 100:
         return ("binclass" if n == 2 else "multiclass"), int(n)
-    return "regression", int(df.agg(F.count_distinct(F.col(label)).alias("n")).first()["n"])
+    return "regression", int(df.agg(F.approx_count_distinct(F.col(label)).alias("n")).first()["n"])
 
 
 def profile_df(splits: DataFrame, spec: TableSpec, name: str, split_col: str = "split") -> DataFrame:
