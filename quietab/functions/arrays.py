@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,3 +85,14 @@ def has_nan(vec: Column) -> Column:
 def drop_nan_rows(df, features: str = "features"):
     """Drop rows whose vector holds any NaN (labels stay aligned: same row)."""
     return df.where(~has_nan(F.col(features)))
+
+
+def literal_array(values) -> Column:
+    """A constant array of numbers or booleans, parsed in one call (``F.lit`` of a list makes a call for each)."""
+    def text(v) -> str:
+        if isinstance(v, bool):
+            return "true" if v else "false"
+        if isinstance(v, int):
+            return f"{v}L"
+        return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+    return F.expr(f"array({', '.join(map(text, values))})") if len(values) else F.expr("array()")

@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import literal_array
+
 # fixed coefficients of AS 241 (PPND16), Wichura 1988, Applied Statistics 37(3)
 _A = [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
       1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
@@ -182,7 +184,7 @@ def with_uniform(df: DataFrame, maps: dict[str, tuple[str, np.ndarray, np.ndarra
         high = references[np.append(first[1:], len(quantiles)) - 1]  # references of the first and last of equal quantiles
         i = F.col(f"{out}_k").cast("int") - 1
         for name, values, at in (("q0", q, i), ("q1", q, i + 1), ("low0", low, i), ("low1", low, i + 1), ("high0", high, i)):
-            near[f"{out}_{name}"] = F.get(F.lit(values.tolist()), at)
+            near[f"{out}_{name}"] = F.get(literal_array(values.tolist()), at)
     df, made = df.withColumns(near), {}
     for out, (_, quantiles, references) in maps.items():
         x, q0, q1, low0, low1, high0 = (F.col(f"{out}_{n}") for n in ("x", "q0", "q1", "low0", "low1", "high0"))
@@ -207,7 +209,7 @@ def from_uniform(u: Column, quantiles: np.ndarray, references: np.ndarray) -> Co
     n = len(quantiles)
     if n == 1:
         return F.when(F.isnan(u), u).otherwise(F.lit(float(quantiles[0])))
-    q, r = F.lit(quantiles.tolist()), F.lit(references.tolist())
+    q, r = literal_array(quantiles.tolist()), literal_array(references.tolist())
     i = F.greatest(F.least(F.floor(u * (n - 1)), F.lit(n - 2)), F.lit(0)).cast("int")
     q0, q1, r0, r1 = F.get(q, i), F.get(q, i + 1), F.get(r, i), F.get(r, i + 1)
     return (F.when(u.isNull() | F.isnan(u), F.lit(math.nan))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import (UNROLL_MAX, argmax, bit_width, bits_to_code, clip_code, code_to_bits,
-                                code_to_onehot)
+                                code_to_onehot, literal_array)
 from ..functions.normal import from_uniform, normal_cdf, with_normal, with_uniform
 from ..spec import TableSpec
 from .dictjoin import dictionary_join
@@ -93,7 +93,7 @@ def _fit_quantiles(df, cols, params, method):
         else:
             probs[c] = p["references"]
     if probs and method == "approx":
-        aggs = [F.percentile_approx(_clean(c), F.array(*[F.lit(float(v)) for v in probs[c]]), 10000)
+        aggs = [F.percentile_approx(_clean(c), literal_array([float(v) for v in probs[c]]), 10000)
                 .alias(f"q{i}") for i, c in enumerate(probs)]
         r = df.agg(*aggs).first()
         for i, c in enumerate(probs):

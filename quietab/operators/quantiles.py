@@ -23,6 +23,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import literal_array
 from .bounded import broadcast_checked
 
 #: values that the brackets of all columns may hold when they are fetched
@@ -68,7 +69,7 @@ def _scan(df: DataFrame, edges: dict[str, np.ndarray], wanted: dict[str, np.ndar
     parts = []
     for i, c in enumerate(cols):
         b = F.col(f"b{i}").cast("int")
-        inside = F.get(F.lit(wanted[c].tolist()), b) if wanted[c].any() else F.lit(False)
+        inside = F.get(literal_array(wanted[c].tolist()), b) if wanted[c].any() else F.lit(False)
         parts.append(F.struct(F.lit(i).alias("c"), b.alias("b"), F.when(inside, F.col(f"x{i}")).alias("v"),
                               F.col(f"x{i}").isNotNull().alias("ok")))
     got = (split.select(F.explode(F.array(*parts)).alias("r")).select("r.*").where("ok")
@@ -86,7 +87,7 @@ def _scan(df: DataFrame, edges: dict[str, np.ndarray], wanted: dict[str, np.ndar
 
 
 def _approximate(df: DataFrame, cols: list[str], points: dict[str, list[float]], accuracy: int) -> dict[str, list]:
-    row = df.agg(*[F.percentile_approx(_number(c), points[c], accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.percentile_approx(_number(c), literal_array(points[c]), accuracy).alias(f"q{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"q{i}"] or [] for i, c in enumerate(cols)}
 
 
@@ -168,7 +169,7 @@ def _grids(df: DataFrame, edges: dict, left: dict) -> dict:
         flags[list(left[c])] = True
         b = F.col(f"b{i}").cast("int")
         parts.append(F.struct(F.lit(i).alias("c"), b.alias("b"),
-                              F.when(F.col(f"x{i}").isNotNull() & F.get(F.lit(flags.tolist()), b), F.col(f"x{i}")).alias("v")))
+                              F.when(F.col(f"x{i}").isNotNull() & F.get(literal_array(flags.tolist()), b), F.col(f"x{i}")).alias("v")))
     rows = (split.select(F.explode(F.array(*parts)).alias("r")).select("r.*").where("v is not null").groupBy("c", "b")
             .agg(F.percentile_approx("v", [k / GRID for k in range(1, GRID)], 10 * GRID).alias("g")).collect())
     return {(cols[r["c"]], r["b"]): r["g"] for r in rows}  # one row an interval
