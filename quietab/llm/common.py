@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,7 +81,7 @@ def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[in
         texts = texts.combine_chunks()
     kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
     texts = texts.cast(kind)
-    lens = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lens = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lens)
     i, n = 0, len(texts)
     while i < n:

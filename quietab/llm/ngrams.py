@@ -39,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
@@ -251,7 +252,7 @@ def _merge(level: int, order: int, shards: int, uri: str, shared):
     the lower order's n-grams and its part of the hot contexts' statistics."""
     def run(t: pa.Table) -> pa.Table:
         store, shard, hot = Store(uri), t.column("shard")[0].as_py(), shared.value
-        pick = lambda kind: t.filter(pa.compute.equal(t.column("kind"), kind))
+        pick = lambda kind: t.filter(pc.equal(t.column("kind"), kind))
         blobs = lambda rows, name: rows.column(name).to_pylist()
         hashes = lambda rows, name, each=1: np.concatenate(
             [np.frombuffer(x, U64).reshape(each, -1) for x in blobs(rows, name)] or [np.zeros((each, 0), U64)], axis=1)

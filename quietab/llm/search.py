@@ -34,6 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -303,7 +304,7 @@ def build_index(vectors: DataFrame, weights: np.ndarray, n_docs: int, n_terms: i
 
     def row(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(waiting).combine_chunks()
-        t = t.take(pa.compute.sort_indices(t, [("doc_id", "ascending")], null_placement="at_end"))
+        t = t.take(pc.sort_indices(t, [("doc_id", "ascending")], null_placement="at_end"))
         parts = [np.frombuffer(x, np.int32) for x in t.column("terms").to_pylist()]
         lens = np.array([len(p) for p in parts], np.int64)
         starts = np.concatenate(([0], np.cumsum(lens)))
@@ -320,7 +321,7 @@ def build_index(vectors: DataFrame, weights: np.ndarray, n_docs: int, n_terms: i
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, postings, docs = [], 0, 0
         for b in batches:
-            ends = np.cumsum(pa.compute.binary_length(b.column("terms")).to_numpy(zero_copy_only=False) // 4)
+            ends = np.cumsum(pc.binary_length(b.column("terms")).to_numpy(zero_copy_only=False) // 4)
             at = 0
             while at < len(b):
                 base = ends[at - 1] if at else 0
