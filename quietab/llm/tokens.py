@@ -109,11 +109,15 @@ class Encoder:
             return [c.encode() for c in number], np.array(flat, np.int64), np.array([len(x) for x in lists])
         lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         first = np.cumsum(lens) - lens
-        at, counts = cuts(np.frombuffer(data, np.uint8), first, self.spaced)
-        chunks = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+        raw = np.frombuffer(data, np.uint8)
+        at, counts = cuts(raw, first, self.spaced)
+        lens = np.diff(at)  # what does not count is left out of the bytes, too
+        ends = np.concatenate(([0], np.cumsum(lens[counts]))).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [
+            None, pa.py_buffer(ends), pa.py_buffer(raw[np.repeat(counts, lens)])])
         coded = chunks.dictionary_encode()
         upto = np.concatenate(([0], np.cumsum(counts)))
-        return (coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()[counts],
+        return (coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(),
                 np.diff(upto[np.searchsorted(at, np.append(first, len(data)))]))
 
     def pieces(self, chunk: str) -> list[str]:
@@ -191,11 +195,11 @@ class Encoder:
                 new = chunks
             self.learn(new)
             slots = list(map(self.slot.__getitem__, chunks))
-        at = np.array(slots, np.int64)[number]
-        n = self.size[at]
+        at = np.array(slots, np.int64)
+        n = self.size[at][number]
         ends = np.cumsum(n)
         place = np.int32 if max(len(self.pool), int(n.sum())) < 1 << 30 else np.int64
-        where = np.repeat((self.first[at] - (ends - n)).astype(place), n)
+        where = np.repeat(self.first[at].astype(place)[number] - (ends - n).astype(place), n)
         where += np.arange(len(where), dtype=place)
         ids = self.pool[where]
         upto = np.concatenate(([0], ends))[np.cumsum(per_text)]
