@@ -63,7 +63,7 @@ class Plain:
 
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_equals_plain_dictionaries(spark, order, monkeypatch):
-    monkeypatch.setattr(ngrams, "SHARD_BYTES", 1500)
+    monkeypatch.setattr(ngrams, "SHARD_BYTES", 4000)
     monkeypatch.setattr(ngrams, "RUN_BYTES", 900)
     monkeypatch.setattr(ngrams, "HOT", {2: 0.01, 3: 1e-4, 4: 0.005}[order])
     rnd = random.Random(order)
@@ -107,7 +107,7 @@ def test_partitions_and_runs_do_not_matter(spark, small, monkeypatch):  # noqa:
     docs = small["documents"]
     one = {r["doc_id"]: tuple(r) for r in ngrams.score(docs, ngrams.train(docs.coalesce(1)), ["doc_id"]).collect()}
     monkeypatch.setattr(ngrams, "RUN_BYTES", 20_000)
-    monkeypatch.setattr(ngrams, "SHARD_BYTES", 40_000)
+    monkeypatch.setattr(ngrams, "SHARD_BYTES", 80_000)
     monkeypatch.setattr(ngrams, "SCORE_BYTES", 10_000)
     many = {r["doc_id"]: tuple(r) for r in ngrams.score(docs.repartition(7), ngrams.train(docs.repartition(5)), ["doc_id"]).collect()}
     assert one.keys() == many.keys()
