@@ -18,7 +18,9 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"RPG1"
-HEAD = struct.Struct("<4sIQIQIB")  # magic, documents, ids, rules, symbols, terminals, bytes a symbol
+HEAD = struct.Struct("<4sIQIQIBQ")  # magic, documents, ids, rules, symbols, terminals, bytes a length, escaped symbols
+#: a symbol that does not fit 16 bits is written as this and listed behind the others
+ESCAPE = (1 << 16) - 1
 
 
 CELLS = 1 << 20
@@ -192,20 +194,20 @@ class Shard:
 def packed_shard(ids: np.ndarray, counts: np.ndarray, doc_ids: list, terminals: int, **options) -> bytes:
     """The shard file of documents with ``counts`` ids each (at least one each)."""
     symbols, ends, rules = re_pair(ids, np.cumsum(counts), terminals, **options)
-    top = terminals + len(rules)
-    width = 2 if top <= 1 << 16 else 3 if top <= 1 << 24 else 4
-    low, high = symbols.astype(np.uint32) & 0xFFFF, symbols.astype(np.uint32) >> 16
-    coded = symbols.astype("<u4").tobytes() if width == 4 else low.astype("<u2").tobytes() + (high.astype("u1").tobytes() if width == 3 else b"")
+    rare = symbols >= ESCAPE if terminals + len(rules) > ESCAPE else np.zeros(0, bool)
+    lengths = expansion_lengths(rules, terminals)
+    sizes = "<u2" if lengths.max(initial=0) < 1 << 16 else "<u4"
     known = np.array([d is not None for d in doc_ids], np.uint8)
     return b"".join((
-        HEAD.pack(MAGIC, len(counts), len(ids), len(rules), len(symbols), terminals, width),
+        HEAD.pack(MAGIC, len(counts), len(ids), len(rules), len(symbols), terminals, int(sizes[-1]), int(rare.sum())),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), ends.astype("<u4").tobytes(),
-        rules.astype("<u4").tobytes(), expansion_lengths(rules, terminals).astype("<u4").tobytes(),
-        coded))
+        rules.astype("<u4").tobytes(), lengths.astype(sizes).tobytes(),
+        (np.where(rare, ESCAPE, symbols) if len(rare) else symbols).astype("<u2").tobytes(),
+        symbols[rare].astype("<u4").tobytes() if len(rare) else b""))
 
 
 def opened(data: bytes) -> Shard:
-    magic, docs, n_ids, n_rules, n_symbols, terminals, width = HEAD.unpack_from(data)
+    magic, docs, n_ids, n_rules, n_symbols, terminals, size, n_rare = HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a shard file")
     at = HEAD.size
@@ -218,8 +220,8 @@ def opened(data: bytes) -> Shard:
 
     doc_ids, known, ends = take("<i8", docs), take("u1", docs), take("<u4", docs)
     rules = take("<u4", 2 * n_rules).reshape(-1, 2).astype(np.int64)
-    lengths = take("<u4", n_rules)
-    symbols = take("<u4" if width == 4 else "<u2", n_symbols)
-    if width == 3:  # the third bytes follow, nearly all zero
-        symbols = symbols.astype(np.uint32) | take("u1", n_symbols).astype(np.uint32) << 16
+    lengths, symbols = take(f"<u{size}", n_rules), take("<u2", n_symbols)
+    if n_rare:
+        symbols = symbols.astype(np.uint32)
+        symbols[symbols == ESCAPE] = take("<u4", n_rare)
     return Shard(doc_ids, known.astype(bool), ends, rules, lengths, symbols, terminals, n_ids)

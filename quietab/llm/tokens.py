@@ -111,14 +111,16 @@ class Encoder:
         first = np.cumsum(lens) - lens
         raw = np.frombuffer(data, np.uint8)
         at, counts = cuts(raw, first, self.spaced)
-        lens = np.diff(at)  # what does not count is left out of the bytes, too
-        ends = np.concatenate(([0], np.cumsum(lens[counts]))).astype(np.int32)
-        chunks = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [
-            None, pa.py_buffer(ends), pa.py_buffer(raw[np.repeat(counts, lens)])])
-        coded = chunks.dictionary_encode()
         upto = np.concatenate(([0], np.cumsum(counts)))
-        return (coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(),
-                np.diff(upto[np.searchsorted(at, np.append(first, len(data)))]))
+        per_text = np.diff(upto[np.searchsorted(at, np.append(first, len(data)))])
+        if self.spaced:
+            ends, whole = at.astype(np.int32), data
+        else:  # half of the chunks is white space: leave it out of the bytes
+            lens = np.diff(at)
+            ends = np.concatenate(([0], np.cumsum(lens[counts]))).astype(np.int32)
+            whole, counts = raw[np.repeat(counts, lens)], slice(None)
+        coded = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(whole)]).dictionary_encode()
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()[counts], per_text
 
     def pieces(self, chunk: str) -> list[str]:
         norm = self.tokenizer.normalizer
