@@ -161,3 +161,36 @@ def test_trees_fit_a_column_of_many_values(spark):
     m = evaluate_raw(df.where("id < 20000"), df.where("id >= 20000 and id % 2 = 0"), df.where("id >= 20000 and id % 2 = 1"), spec, lab, ("tree",), key="id")
     auc = {r["split"]: r["value"] for r in m.where("metric = 'roc_auc'").collect()}
     assert auc["test"] > 0.95  # the column tells the label of a value seen before
+
+
+def test_cells_without_structure_send_no_copies(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(700, 40))
+    v[600:] = v[5]  # one large group of copies
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, features array<double>")
+
+    def sent(*_):
+        raise AssertionError("a copy of each query row is sent to every cell")
+
+    monkeypatch.setattr(knn, "_visiting", sent)
+    got = knn.knn_join(df, df, 3, exclude_self=True, block_rows=50, method="cells")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1, int(j)) for i in range(700) for r, j in enumerate(np.lexsort((np.arange(700), d[i]))[:3])}
+    assert {(r["q_key"], r["rank"], r["r_key"]) for r in got.collect()} == want
+
+
+def test_cells_are_found_by_descent_and_hold_every_near_row():
+    rng = np.random.default_rng(4)
+    ref, query = rng.integers(0, 30, (4000, 3)).astype(float), rng.uniform(-3, 33, (200, 3))
+    cells = knn.Cells(ref[:1000], 64)
+    own = cells.find(ref)
+    low, high = (np.array([f(ref[own == c], 0) for c in range(len(cells.counts))]) for f in (np.min, np.max))
+    cells.measure(np.bincount(own, minlength=len(cells.counts)), low, high)
+    bound = rng.uniform(0, 6, 200)
+    at = cells.find(query)
+    i, c = cells.visits(query, at, bound)
+    seen = set(zip(i.tolist(), c.tolist())) | set(enumerate(at.tolist()))
+    near = np.sqrt(((query[:, None] - ref[None]) ** 2).sum(2)) <= bound[:, None]
+    assert all((a, own[b]) in seen for a, b in zip(*np.nonzero(near)))
+    assert len(i) < 0.5 * 200 * 64
