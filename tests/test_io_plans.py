@@ -182,3 +182,11 @@ def test_multiclass_utility_models(spark):
                  params={"gbt": {"iterations": 5}, "mlp": {"max_iter": 5}}).collect()
     assert len(raw) == 9 and len(m) == 27
     assert all(r["value"] is None or 0 <= r["value"] <= 1 for r in raw + m)
+
+
+def test_training_view_means_make_no_row_for_every_element(spark):
+    from quietab.catalog import q_training_view
+    got = q_training_view(spark, SF_SMALL)
+    assert "Generate posexplode" in (plan := got._jdf.queryExecution().optimizedPlan().toString())
+    assert plan.index("Generate posexplode") < plan.index("Aggregate")  # the means are taken apart, not the rows
+    assert [r["pos"] for r in got.orderBy("pos").collect()] == list(range(9))
